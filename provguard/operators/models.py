@@ -160,7 +160,10 @@ def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
 
 
 def _feature_pipeline(df: DataFrame, label: str, max_categories: int = 32):
-    """Index strings; dates become day numbers; wide categoricals become ordinals."""
+    """Index strings; dates become day numbers; wide categoricals become ordinals.
+
+    Returns ``(data, features, columns, max_categories)``.
+    """
     feats = [c for c in df.columns if c != label]
     data = df
     for f in df.schema.fields:
@@ -169,6 +172,9 @@ def _feature_pipeline(df: DataFrame, label: str, max_categories: int = 32):
             data = data.withColumn(f.name, F.unix_date(F.col(f.name).cast("date")))
     strings = [f.name for f in data.schema.fields
                if f.name in feats and isinstance(f.dataType, T.StringType)]
+    # MLlib caps the bin count at the number of training rows, so a small
+    # input can only carry categoricals with fewer levels than half its rows.
+    max_categories = min(max_categories, max(2, data.count() // 2))
     label_ix = StringIndexer(inputCol=label, outputCol="label",
                              stringOrderType="alphabetAsc").fit(data)
     data = label_ix.transform(data)
@@ -184,7 +190,7 @@ def _feature_pipeline(df: DataFrame, label: str, max_categories: int = 32):
         else:
             data = data.withColumn(f"{c}__ix", F.col(c).cast("double"))
             cols.append(f"{c}__ix")
-    return data, feats, cols
+    return data, feats, cols, max_categories
 
 
 def forest_importance(df: DataFrame, label: str, num_trees: int = 100, seed: int = 0,
@@ -195,7 +201,7 @@ def forest_importance(df: DataFrame, label: str, num_trees: int = 100, seed: int
     ``MeanDecreaseGini`` (long form of the matching ``Mean*`` columns) and
     the variables ordered by importance.
     """
-    data, feats, cols = _feature_pipeline(df, label, max_categories)
+    data, feats, cols, max_categories = _feature_pipeline(df, label, max_categories)
     data = VectorAssembler(inputCols=cols, outputCol="features",
                            handleInvalid="keep").transform(data)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
@@ -228,7 +234,7 @@ def permutation_importance(df: DataFrame, label: str, num_trees: int = 50, seed:
     MLlib forests have no out-of-bag scores, so a hash-split hold-out plays
     their part.  Rows ``(vars, MeanDecreaseAccuracy, base_accuracy)``.
     """
-    data, feats, cols = _feature_pipeline(df, label, max_categories)
+    data, feats, cols, max_categories = _feature_pipeline(df, label, max_categories)
     data = data.select("label", *cols)
     h = F.xxhash64(*[F.col(c) for c in data.columns], F.lit(seed))
     bucket = F.pmod(h, F.lit(1000))

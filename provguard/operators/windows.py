@@ -17,15 +17,16 @@ from provguard.operators.joins import sized_broadcast
 
 def ordinal(grouped: DataFrame, order: Sequence[Column], name: str = "order") -> DataFrame:
     """1..n over sorted grouped rows (``mutate(order = 1:n)``)."""
-    return grouped.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return grouped.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def level_order(grouped: DataFrame, by: str, name: str | None = None,
-                descending: bool = False, tie: str | None = None) -> DataFrame:
+                descending: bool = False) -> DataFrame:
     """Integer order of levels by a value (``fct_reorder``); ties share a rank."""
     v = F.col(by)
     o = [v.desc() if descending else v.asc()]
-    return grouped.withColumn(name or f"{by}_ord", F.dense_rank().over(Window.orderBy(*o)))
+    rank = F.dense_rank().over(Window.orderBy(*o)).cast("long")
+    return grouped.withColumn(name or f"{by}_ord", rank)
 
 
 def top_levels(df: DataFrame, column: str, n: int, weight: str | None = None) -> DataFrame:
