@@ -246,6 +246,55 @@ def q_monthly_avg(spark, base):
     return out.withColumns({"count": r6("count"), "avg_count": r6("avg_count")})
 
 
+_PHYS_INDIV = f"""type = 'Individual' AND general IN {sql_in(PHYSICIAN_GENERALS)}"""
+
+
+@register("year_class_counts", EXCL + """
+SELECT CAST(date_trunc('year', excldate) AS DATE) AS year, type, exclusion, count(*) AS exclusions
+FROM excl GROUP BY 1, 2, 3""")
+def q_year_class_counts(spark, base):
+    return PL.year_class_counts(_clean(spark, base))
+
+
+@register("md_year_exclusion", EXCL + f"""
+SELECT CAST(date_trunc('year', excldate) AS DATE) AS year, exclusion, general, count(*) AS value
+FROM excl WHERE {_PHYS_INDIV} GROUP BY 1, 2, 3""")
+def q_md_year_exclusion(spark, base):
+    return PL.md_year_exclusion(_clean(spark, base))
+
+
+@register("md_year_general", EXCL + f"""
+SELECT CAST(date_trunc('year', excldate) AS DATE) AS year, general, count(*) AS n
+FROM excl WHERE general IN {sql_in(PHYSICIAN_GENERALS)} GROUP BY 1, 2""")
+def q_md_year_general(spark, base):
+    return PL.md_year_general(_clean(spark, base))
+
+
+def _code_cols_sql(codes, null_label=True):
+    key = "coalesce(excltype, 'NA')" if null_label else "excltype"
+    return ",\n       ".join(f"count(*) FILTER (WHERE {key} = '{c}') AS \"{c}\"" for c in codes)
+
+
+@register("state_statute_matrix", EXCL + f"""
+SELECT state,
+       {_code_cols_sql(ITEMISED + ("NA",))}
+FROM excl GROUP BY state""")
+def q_state_statute_matrix(spark, base):
+    return PL.state_statute_matrix(_clean(spark, base), ITEMISED + ("NA",))
+
+
+@register("specialty_statute_matrix", EXCL + f"""
+SELECT specialty,
+       {_code_cols_sql(ITEMISED, null_label=False)}
+FROM excl
+WHERE {_PHYS_INDIV}
+  AND NOT coalesce(specialty IN {sql_in(NON_PHYSICIAN_SPECIALTIES)}, false)
+  AND specialty IS NOT NULL
+GROUP BY specialty""")
+def q_specialty_statute_matrix(spark, base):
+    return PL.specialty_statute_matrix(_clean(spark, base), ITEMISED)
+
+
 # =============================================================================
 # Sources and sinks
 # =============================================================================

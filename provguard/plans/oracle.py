@@ -64,7 +64,7 @@ EXCL_RAW_CTE = f"""excl_raw AS (
 
 _TOKENS = sql_in(NULL_TOKENS)
 EXCL_TOK_CTE = "excl_tok AS (\n  SELECT\n" + ",\n".join(
-    f"    CASE WHEN trim({c}) IN {_TOKENS} THEN NULL ELSE trim({c}) END AS {c}"
+    f"    CASE WHEN {c} IN {_TOKENS} THEN NULL ELSE {c} END AS {c}"
     for c in EXCLUSION_COLUMNS) + "\n  FROM excl_raw\n)"
 
 EXCL_CTE = f"""excl AS (

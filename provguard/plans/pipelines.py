@@ -252,3 +252,19 @@ def md_year_exclusion(clean: DataFrame) -> DataFrame:
     df = (clean.where(F.col("type") == "Individual")
                .where(F.col("general").isin(list(PHYSICIAN_GENERALS))))
     return A.count_by_year(df, "excldate", ["exclusion", "general"], "value")
+
+
+def year_class_counts(clean: DataFrame) -> DataFrame:
+    """Yearly counts by type and exclusion class."""
+    return A.count_by_year(clean, "excldate", ["type", "exclusion"], "exclusions")
+
+
+def md_year_general(clean: DataFrame) -> DataFrame:
+    """Yearly counts of the two physician professions."""
+    df = clean.where(F.col("general").isin(list(PHYSICIAN_GENERALS)))
+    return A.count_by_year(df, "excldate", ["general"], "n")
+
+
+def state_statute_matrix(clean: DataFrame, statutes: Sequence[str]) -> DataFrame:
+    """State x statute counts, zeros filled; a null code is the ``NA`` column."""
+    return R.pivot_count(clean, ["state"], "excltype", statutes, fill=0, null_label="NA")

@@ -55,10 +55,16 @@ EXCLUSION_CUTOFF = "2001-01-01"
 STATE_LIST_START = "1996-01-01"
 
 
+def _array_literal(values) -> Column:
+    """A constant string array (one expression; folded by the optimizer)."""
+    items = ", ".join("NULL" if v is None else "'" + v.replace("'", "\\'") + "'"
+                      for v in values)
+    return F.expr(f"array({items})")
+
+
 def _pick(values, index: Column) -> Column:
     """``values[index]`` with a 1-based index."""
-    arr = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.element_at(arr, index.cast("int"))
+    return F.element_at(_array_literal(values), index.cast("int"))
 
 
 def _s(c: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provguard.functions.exprs import null_if_token
 
 # One-letter column type codes, as in ``col_types = "ccccii"``.
 TYPE_CODES = {
@@ -90,14 +89,16 @@ def apply_null_tokens(df: DataFrame, tokens: Iterable[str],
                       columns: Sequence[str] | None = None) -> DataFrame:
     """Turn any of several text tokens into null, in string columns only.
 
-    Spark's CSV ``nullValue`` takes a single token, so this is one projection
-    over the string columns (it fuses into the scan's codegen stage).
+    Spark's CSV ``nullValue`` takes a single token, so this is one
+    ``na.replace`` over the string columns (a single projection that fuses
+    into the scan's codegen stage).  Surrounding blanks are removed at the
+    scan (``trim_ws``), as the study's reader does.
     """
-    tokens = list(tokens)
     strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     targets = [c for c in (columns or df.columns) if c in strings]
-    return df.withColumns({c: null_if_token(F.trim(F.col(c)), tokens)
-                           .alias(c) for c in targets})
+    if not targets:
+        return df
+    return df.na.replace(list(tokens), None, subset=targets)
 
 
 # --- scans -------------------------------------------------------------------
@@ -106,16 +107,20 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str],
              schema: T.StructType | None = None, header: bool = True,
              null_tokens: Iterable[str] | None = None, headers: str | None = None,
              columns: Sequence[str] | None = None, infer: bool = False,
-             limit: int | None = None, persist: bool = False) -> DataFrame:
+             limit: int | None = None, persist: bool = False,
+             trim_ws: bool = True) -> DataFrame:
     """Scan CSV with a fixed schema.
 
     ``headers`` repairs names (``lower`` / ``snake``); ``columns`` prunes at
     the scan (the CSV reader parses only the requested columns);
-    ``null_tokens`` turns several tokens into null; ``limit`` caps rows
+    ``null_tokens`` turns several tokens into null; ``trim_ws`` strips
+    blanks around values; ``limit`` caps rows
     (``n_max``), unlimited by default; ``persist`` keeps the table in memory
     and disk (``memory = TRUE``).
     """
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", header).option("mode", "PERMISSIVE")
+              .option("ignoreLeadingWhiteSpace", trim_ws)
+              .option("ignoreTrailingWhiteSpace", trim_ws))
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
