@@ -5,6 +5,10 @@ most ``max_rows + 1`` rows of the candidate side (each partition stops after
 that many, so the check is cheap even on a big table) and hints a broadcast
 only when the side is under the bound.  Beyond it the join is left to the
 planner (sort-merge with adaptive skew splitting of the large side).
+Small sides that are themselves aggregates are not hinted: adaptive
+execution measures the materialised stage and converts to a broadcast join
+when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, without
+computing the aggregate twice.
 """
 
 from __future__ import annotations
@@ -42,10 +46,16 @@ def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
     """Add ``label``: ``yes`` when the fact's key is on the list, else ``no``.
 
     The list is reduced to distinct keys first, so a key listed twice never
-    multiplies fact rows, and the fact row count is unchanged.
+    multiplies fact rows, and the fact row count is unchanged.  The size
+    check runs on the list rows themselves (an upper bound on its distinct
+    keys, and cheap: no aggregation); a longer list joins by shuffle, where
+    adaptive execution splits hot fact keys.
     """
-    keys = membership_keys(members, member_key or fact_key)
-    keys = sized_broadcast(keys, max_broadcast_rows)
+    src = members.select(F.col(member_key or fact_key).alias("_member_key"))
+    src = src.where(F.col("_member_key").isNotNull())
+    keys = src.distinct().withColumn("_member_hit", F.lit(True))
+    if fits_broadcast(src, max_broadcast_rows):
+        keys = F.broadcast(keys)
     joined = facts.join(keys, facts[fact_key] == keys["_member_key"], "left")
     return (joined
             .withColumn(label, F.when(F.col("_member_hit").isNotNull(), F.lit(yes))

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provguard.operators.joins import sized_broadcast
 
 
 def _kind(dt: T.DataType) -> str:
@@ -112,8 +111,9 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float =
     """Five-number summary with whiskers and outlier count per group.
 
     Whiskers are the most extreme values within ``coef`` IQRs of the box.
-    Two passes: quartiles per group, then a join back (groups are few; the
-    stats side is broadcast only after a size check) for whiskers/outliers.
+    Two passes: quartiles per group, then a join back for whiskers and
+    outliers.  The fences side has one row per group; adaptive execution
+    broadcasts it once its measured size is under the threshold.
     """
     if not keys:
         one = df.withColumn("_all", F.lit(1))
@@ -130,7 +130,7 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float =
         "lower_fence": F.col("q1") - F.lit(coef) * (F.col("q3") - F.col("q1")),
         "upper_fence": F.col("q3") + F.lit(coef) * (F.col("q3") - F.col("q1")),
     })
-    s = sized_broadcast(stats.select(*keys, "lower_fence", "upper_fence"))
+    s = stats.select(*keys, "lower_fence", "upper_fence")
     joined = df.where(x.isNotNull()).join(s, list(keys), "left")
     inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
     ext = joined.groupBy(*keys).agg(

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provguard.operators.joins import sized_broadcast
 
 
 def ordinal(grouped: DataFrame, order: Sequence[Column], name: str = "order") -> DataFrame:
@@ -49,7 +48,7 @@ def lump_top_n(df: DataFrame, column: str, n: int, other: str = "Other",
     n_lumped = lumped_levels.agg(F.count(F.lit(1))).scalar()
     keep = (ranked.where((F.col("_rank") <= n) | (n_lumped <= 1))
             .select(F.col(column).alias("_lvl"), F.lit(True).alias("_keep")))
-    keep = sized_broadcast(keep)
+    # One row per kept level; adaptive execution broadcasts it at run time.
     out = df.join(keep, df[column] == keep["_lvl"], "left")
     c = F.col(column)
     lumped = F.when(c.isNull(), F.lit(None)).when(F.col("_keep"), c).otherwise(F.lit(other))

@@ -341,8 +341,7 @@ SELECT *, 2001 AS claim_year FROM claims WHERE year = 2001
 UNION ALL SELECT *, 2000 AS claim_year FROM claims WHERE year = 2000
 UNION ALL SELECT *, 1999 AS claim_year FROM claims WHERE year = 1999""")
 def q_stack_years(spark, base):
-    cl = _claims(spark, base)
-    frames = {y: cl.where(F.col("year") == y) for y in (2001, 2000, 1999)}
+    frames = {y: S.claims(spark, base, year=y) for y in (2001, 2000, 1999)}
     return CSV.stack_frames(frames, "claim_year")
 
 

@@ -16,6 +16,8 @@ are written independently in SQL in ``provguard.plans.oracle``.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +106,19 @@ def exclusion_raw(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, base: str) -> DataFrame:
-    """Part B style claim lines: provider x code x place of service."""
+def claims(spark: SparkSession, base: str, year: int | None = None) -> DataFrame:
+    """Part B style claim lines: provider x code x place of service.
+
+    ``year`` keeps one claim year with a ship-date range on the scan (pushed
+    to Parquet row-group statistics), like reading one yearly file.
+    """
     li = read_table(spark, base, "lineitem",
                     ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_returnflag", "l_shipdate"])
+    if year is not None:
+        d = F.col("l_shipdate")
+        li = li.where((d >= F.lit(_dt.datetime(year, 1, 1))) &
+                      (d < F.lit(_dt.datetime(year + 1, 1, 1))))
     p = read_table(spark, base, "part", ["p_partkey", "p_brand"])
     s = read_table(spark, base, "supplier", ["s_suppkey", "s_nationkey"])
     j = (li.join(p, li.l_partkey == p.p_partkey, "left")
