@@ -4,8 +4,8 @@
   partitioning (``randomSplit`` changes after a repartition).
 * Models are MLlib estimators; each fit is a distributed pass (or a few).
 * Summaries are turned into small DataFrames of one row per term.
-* Permutation importance permutes one column of the hold-out set with a
-  hash-ordered join on distributed row ids (no driver-side shuffling).
+* Permutation importance permutes one column of the hold-out set by joining
+  two hash orderings inside hash buckets (no driver-side shuffling).
 """
 
 from __future__ import annotations
@@ -17,12 +17,11 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provguard.functions.exprs import col
-from provguard.operators.windows import row_ids
 
 
 # --- splits ------------------------------------------------------------------
@@ -65,7 +64,7 @@ def _formula(formula: str, drop: Sequence[str]) -> str:
 def formula_features(df: DataFrame, formula: str, drop: Sequence[str] = (),
                      keep: Sequence[str] = ()) -> DataFrame:
     """``label ~ . - x`` to ``(label, features)`` with RFormula (nulls filled)."""
-    data = fill_numeric_nulls(df)
+    data = fill_numeric_nulls(df).persist(StorageLevel.MEMORY_AND_DISK)  # one pass per indexer
     rf = RFormula(formula=_formula(formula, drop), featuresCol="features", labelCol="label",
                   handleInvalid="keep")
     out = rf.fit(data).transform(data)
@@ -97,9 +96,11 @@ def fit_linear_predict(df: DataFrame, formula: str, key: Sequence[str], seed: in
                        train_fraction: float = 0.5) -> DataFrame:
     """Fit least squares on the hash-split training side; predict the test side."""
     train, test = hash_split(df, key, train_fraction, seed)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # formula fit + solver pass
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label").fit(train)
     lr = LinearRegression(featuresCol="features", labelCol="label", solver="normal")
     model = lr.fit(rf.transform(train))
+    train.unpersist()
     pred = model.transform(rf.transform(test))
     return pred.select(*key, "label", "prediction")
 
@@ -146,12 +147,17 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
 
 def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
                          key: str = "rndrng_npi", positive: str = "true",
-                         max_iter: int = 50) -> DataFrame:
-    """Weighted logistic regression on the label; per-row positive probability."""
+                         max_iter: int = 25) -> DataFrame:
+    """Weighted logistic regression on the label; per-row positive probability.
+
+    ``max_iter`` defaults to 25, the iteration cap of R's ``glm``.
+    """
     data = fill_numeric_nulls(df)
     rf = RFormula(formula=_formula(formula, [key, *drop]), featuresCol="features",
                   labelCol="label", handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # indexers and fit re-read it
     prepared = class_weights(rf.fit(data).transform(data), "label", "weight")
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # one pass per iteration
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                maxIter=max_iter).fit(prepared)
     pred = model.transform(prepared)
@@ -165,7 +171,7 @@ def _feature_pipeline(df: DataFrame, label: str, max_categories: int = 32):
     Returns ``(data, features, columns, max_categories)``.
     """
     feats = [c for c in df.columns if c != label]
-    data = df
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted and indexed several times
     for f in df.schema.fields:
         if f.name in feats and isinstance(f.dataType, (T.DateType, T.TimestampType,
                                                         T.TimestampNTZType)):
@@ -204,9 +210,11 @@ def forest_importance(df: DataFrame, label: str, num_trees: int = 100, seed: int
     data, feats, cols, max_categories = _feature_pipeline(df, label, max_categories)
     data = VectorAssembler(inputCols=cols, outputCol="features",
                            handleInvalid="keep").transform(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
                                 seed=seed, maxBins=max(32, max_categories + 1))
     model = rf.fit(data)
+    data.unpersist()
     imp = model.featureImportances.toArray()
     rows = [(f, float(imp[i])) for i, f in enumerate(feats)]
     wide = df.sparkSession.createDataFrame(rows, "vars string, MeanDecreaseGini double")
@@ -216,15 +224,27 @@ def forest_importance(df: DataFrame, label: str, num_trees: int = 100, seed: int
     return level_order(long, "value", "vars_ord")
 
 
-def _permute_column(test: DataFrame, column: str, seed: int) -> DataFrame:
-    """Replace ``column`` by the same values in a hash-shuffled row order."""
-    others = [c for c in test.columns if c != column]
-    h1 = F.xxhash64(*[F.col(c) for c in test.columns], F.lit(seed))
-    base = row_ids(test.withColumn("_h", h1), ["_h", *test.columns], "_rid").drop("_h")
-    h2 = F.xxhash64(F.col(column), F.lit(seed + 1), h1)
-    src = row_ids(test.select(column, h2.alias("_h2")), ["_h2", column], "_rid")
-    return (base.drop(column).join(src.select("_rid", column), "_rid")
-            .select(*others, column))
+def _permute_column(test: DataFrame, column: str, seed: int,
+                    buckets: int | None = None) -> DataFrame:
+    """Replace ``column`` by the same values in a hash-shuffled row order.
+
+    Rows are spread over ``buckets`` hash buckets; inside each bucket they
+    are numbered twice, in two independent hash orders, and the column is
+    moved from one numbering to the other by an equi-join on
+    ``(bucket, position)``.  Windows are partitioned by bucket (parallel,
+    deterministic), so no single task sees all rows and nothing is
+    collected.
+    """
+    n = buckets or int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = test.columns
+    h1 = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    t = test.withColumns({"_h1": h1, "_b": F.pmod(h1, F.lit(n))})
+    t = t.withColumn("_h2", F.xxhash64(F.col("_h1"), F.lit(seed + 1)))
+    w1 = Window.partitionBy("_b").orderBy("_h1", *cols)
+    w2 = Window.partitionBy("_b").orderBy("_h2", *cols)
+    base = t.withColumn("_p", F.row_number().over(w1)).drop(column, "_h1", "_h2")
+    src = t.select("_b", F.row_number().over(w2).alias("_p"), column)
+    return base.join(src, ["_b", "_p"]).select(*cols)
 
 
 def permutation_importance(df: DataFrame, label: str, num_trees: int = 50, seed: int = 0,
@@ -239,12 +259,13 @@ def permutation_importance(df: DataFrame, label: str, num_trees: int = 50, seed:
     h = F.xxhash64(*[F.col(c) for c in data.columns], F.lit(seed))
     bucket = F.pmod(h, F.lit(1000))
     cut = int(train_fraction * 1000)
-    train = data.where(bucket < cut)
+    train = data.where(bucket < cut).persist(StorageLevel.MEMORY_AND_DISK)
     test = data.where(bucket >= cut).persist(StorageLevel.MEMORY_AND_DISK)
     assemble = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
                                 seed=seed, maxBins=max(32, max_categories + 1))
     model = rf.fit(assemble.transform(train))
+    train.unpersist()
 
     def accuracy(d: DataFrame) -> float:
         pred = model.transform(assemble.transform(d))

@@ -111,18 +111,22 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float =
     """Five-number summary with whiskers and outlier count per group.
 
     Whiskers are the most extreme values within ``coef`` IQRs of the box.
-    Two passes: quartiles per group, then a join back for whiskers and
-    outliers.  The fences side has one row per group; adaptive execution
-    broadcasts it once its measured size is under the threshold.
+    The rows are first reduced to ``(group, value, count)`` (map-side partial
+    aggregation, one shuffle): a hot group shrinks to its distinct values.
+    Quartiles (weighted by the counts) and whiskers are then computed from
+    that small table, joined to its own per-group fences.
     """
     if not keys:
         one = df.withColumn("_all", F.lit(1))
         return boxplot_stats(one, ["_all"], column, coef, approx).drop("_all")
     x = F.col(column).cast("double")
+    vc = (df.where(x.isNotNull()).groupBy(*keys, x.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qa = F.percentile_approx(x, q, 10000) if approx else F.percentile(x, q)
-    stats = (df.where(x.isNotNull()).groupBy(*keys)
-             .agg(qa.alias("_q"), F.count(x).alias("n"))
+    qa = (F.percentile_approx(F.col("_v"), q, 10000) if approx
+          else F.percentile(F.col("_v"), q, F.col("_c")))
+    stats = (vc.groupBy(*keys)
+             .agg(qa.alias("_q"), F.sum("_c").alias("n"))
              .select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                      F.col("_q")[2].alias("q3")))
     stats = stats.withColumns({
@@ -130,13 +134,14 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float =
         "lower_fence": F.col("q1") - F.lit(coef) * (F.col("q3") - F.col("q1")),
         "upper_fence": F.col("q3") + F.lit(coef) * (F.col("q3") - F.col("q1")),
     })
-    s = stats.select(*keys, "lower_fence", "upper_fence")
-    joined = df.where(x.isNotNull()).join(s, list(keys), "left")
-    inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
+    fences = stats.select(*keys, "lower_fence", "upper_fence")
+    joined = vc.join(fences, list(keys), "inner")
+    v = F.col("_v")
+    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     ext = joined.groupBy(*keys).agg(
-        F.min(F.when(inside, x)).alias("whisker_low"),
-        F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
+        F.min(F.when(inside, v)).alias("whisker_low"),
+        F.max(F.when(inside, v)).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("_c")).otherwise(F.lit(0))).alias("n_outliers"))
     return stats.join(ext, list(keys), "inner")
 
 

@@ -370,7 +370,7 @@ def q_cached_view(spark, base):
                              "pg_part_labelled")
 
 
-@register("scan_typed_csv")
+@register("scan_typed_csv", EXCL + "SELECT * FROM excl")
 def q_scan_typed_csv(spark, base):
     raw = _raw(spark, base)
     path = sinks.scratch_path(spark, "exclusion-csv")
@@ -380,7 +380,7 @@ def q_scan_typed_csv(spark, base):
     return C.clean_exclusions(df, S.EXCLUSION_CUTOFF)
 
 
-@register("scan_gzip")
+@register("scan_gzip", with_ctes(CLAIMS_CTE) + "SELECT * FROM claims")
 def q_scan_gzip(spark, base):
     cl = _claims(spark, base)
     path = sinks.scratch_path(spark, "claims-gz")
