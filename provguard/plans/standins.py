@@ -16,7 +16,6 @@ are written independently in SQL in ``provguard.plans.oracle``.
 
 from __future__ import annotations
 
-import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,7 +98,8 @@ def exclusion_raw(spark: SparkSession, base: str) -> DataFrame:
         F.lpad(_s(cu % 100000), 5, "0").alias("zip"),
         _pick(EXCLTYPE_CYCLE, F.floor(F.sqrt(k % 625)) + 1).alias("excltype"),
         F.when((k % 101) == 0, F.lit("00000000"))
-         .otherwise(F.date_format(F.col("o_orderdate"), "yyyyMMdd")).alias("excldate"),
+         .otherwise(F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd"))
+         .alias("excldate"),
         F.when((k % 97) == 5, F.lit("20020101")).otherwise(tok).alias("reindate"),
         F.when((k % 89) == 7, F.lit("20030301")).otherwise(tok).alias("waiverdate"),
         F.when((k % 89) == 7, F.lit("NY")).otherwise(tok).alias("wvrstate"),
@@ -116,9 +116,11 @@ def claims(spark: SparkSession, base: str, year: int | None = None) -> DataFrame
                     ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_returnflag", "l_shipdate"])
     if year is not None:
+        # Wall-clock bounds of the same type as the column: no time zone enters.
         d = F.col("l_shipdate")
-        li = li.where((d >= F.lit(_dt.datetime(year, 1, 1))) &
-                      (d < F.lit(_dt.datetime(year + 1, 1, 1))))
+        lo = F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz")
+        hi = F.lit(f"{year + 1}-01-01 00:00:00").cast("timestamp_ntz")
+        li = li.where((d >= lo) & (d < hi))
     p = read_table(spark, base, "part", ["p_partkey", "p_brand"])
     s = read_table(spark, base, "supplier", ["s_suppkey", "s_nationkey"])
     j = (li.join(p, li.l_partkey == p.p_partkey, "left")
@@ -154,7 +156,8 @@ def state_list_ca(spark: SparkSession, base: str) -> DataFrame:
     li = read_table(spark, base, "lineitem", ["l_orderkey", "l_returnflag", "l_shipdate"])
     return li.where(F.col("l_returnflag") == "R").select(
         F.when((F.col("l_orderkey") % 50) == 0, F.lit("N/A"))
-         .otherwise(F.date_format("l_shipdate", "M/d/yyyy")).alias("Date of Suspension"),
+         .otherwise(F.date_format(F.col("l_shipdate").cast("date"), "M/d/yyyy"))
+         .alias("Date of Suspension"),
         F.concat(F.lit("ORD"), _s(F.col("l_orderkey"))).alias(
             "A.K.A.(also known as)/D.B.A.(doing business as)"),
     )
@@ -165,7 +168,8 @@ def state_list_ny(spark: SparkSession, base: str) -> DataFrame:
     o = read_table(spark, base, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])
     return o.where(F.col("o_orderstatus") == "O").select(
         F.col("o_orderkey").alias("provider_id"),
-        F.date_format("o_orderdate", "M/d/yyyy").alias("exclusion_effective_date"))
+        F.date_format(F.col("o_orderdate").cast("date"), "M/d/yyyy")
+         .alias("exclusion_effective_date"))
 
 
 def state_list_tx(spark: SparkSession, base: str) -> DataFrame:
