@@ -5,6 +5,9 @@ most ``max_rows + 1`` rows of the candidate side (each partition stops after
 that many, so the check is cheap even on a big table) and hints a broadcast
 only when the side is under the bound.  Beyond it the join is left to the
 planner (sort-merge with adaptive skew splitting of the large side).
+Hot keys on the large side are found from a key-only sample and salted
+(``hot_keys``): the adaptive skew split cannot help when the small side is
+an aggregate placed directly under the join.
 Small sides that are themselves aggregates are not hinted: adaptive
 execution measures the materialised stage and converts to a broadcast join
 when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, without
@@ -13,12 +16,14 @@ computing the aggregate twice.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key list of a few million short strings stays well under the default
 # broadcast size limit; above it the shuffle join is the right plan.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = int(os.environ.get("PROVGUARD_MAX_BROADCAST_ROWS", 2_000_000))
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
@@ -39,24 +44,75 @@ def membership_keys(members: DataFrame, key: str, alias: str = "_member_key") ->
             .withColumn("_member_hit", F.lit(True)))
 
 
+# Hot-key handling for shuffle joins (see ``hot_keys``).
+DEFAULT_SALT_BUCKETS = 32
+DEFAULT_HOT_SHARE = 0.01
+DEFAULT_SAMPLE_FRACTION = 0.01
+
+
+def hot_keys(df: DataFrame, key: str, share: float = DEFAULT_HOT_SHARE,
+             fraction: float = DEFAULT_SAMPLE_FRACTION, seed: int = 17) -> list:
+    """Keys holding at least ``share`` of the rows, estimated from a sample.
+
+    Only the key column is read (column pruning), the sample is counted per
+    key with partial aggregation, and at most ``1 / share`` keys can pass the
+    threshold, so the list that reaches the driver is bounded.
+    """
+    sample = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull())
+    sample = sample.sample(False, fraction, seed)
+    counts = sample.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    total = sample.agg(F.count(F.lit(1))).scalar()
+    hot = (counts.where(F.col("_n") >= total * F.lit(share))
+                 .orderBy(F.col("_n").desc()).limit(int(1 / share) + 1))
+    return [r["_k"] for r in hot.collect()]
+
+
+def _salted_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                      hot: list, buckets: int) -> DataFrame:
+    """Left join where rows of hot keys are spread over ``buckets`` salts.
+
+    A left row of a hot key gets a salt from a hash of the row; every right
+    row of a hot key is repeated once per salt, other keys use salt 0.  Each
+    left row therefore meets exactly the right rows of its key, as in the
+    plain join, but a hot key's rows are spread over ``buckets`` tasks.
+    """
+    lk, rk = F.col(left_key), F.col(right_key)
+    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
+    l2 = left.withColumn("_salt", F.when(lk.isin(hot), F.pmod(row_hash, F.lit(buckets)))
+                         .otherwise(F.lit(0)))
+    salts = F.when(rk.isin(hot), F.sequence(F.lit(0), F.lit(buckets - 1))) \
+             .otherwise(F.array(F.lit(0)))
+    r2 = right.withColumn("_rsalt", F.explode(salts))
+    cond = (l2[left_key] == r2[right_key]) & (l2["_salt"] == r2["_rsalt"])
+    return l2.join(r2, cond, "left").drop("_salt", "_rsalt")
+
+
 def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
                         member_key: str | None = None, label: str = "fraud",
                         yes: object = "yes", no: object = "no",
-                        max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                        max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                        salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                        hot_share: float = DEFAULT_HOT_SHARE) -> DataFrame:
     """Add ``label``: ``yes`` when the fact's key is on the list, else ``no``.
 
     The list is reduced to distinct keys first, so a key listed twice never
     multiplies fact rows, and the fact row count is unchanged.  The size
     check runs on the list rows themselves (an upper bound on its distinct
-    keys, and cheap: no aggregation); a longer list joins by shuffle, where
-    adaptive execution splits hot fact keys.
+    keys, and cheap: no aggregation).  A longer list joins by shuffle; then
+    fact keys holding ``hot_share`` or more of the rows are salted over
+    ``salt_buckets`` tasks so no single task receives a hot key's rows.
     """
     src = members.select(F.col(member_key or fact_key).alias("_member_key"))
     src = src.where(F.col("_member_key").isNotNull())
     keys = src.distinct().withColumn("_member_hit", F.lit(True))
     if fits_broadcast(src, max_broadcast_rows):
-        keys = F.broadcast(keys)
-    joined = facts.join(keys, facts[fact_key] == keys["_member_key"], "left")
+        joined = facts.join(F.broadcast(keys), facts[fact_key] == keys["_member_key"], "left")
+    else:
+        hot = hot_keys(facts, fact_key, hot_share)
+        if hot:
+            joined = _salted_left_join(facts, keys, fact_key, "_member_key", hot, salt_buckets)
+        else:
+            joined = facts.join(keys, facts[fact_key] == keys["_member_key"], "left")
     return (joined
             .withColumn(label, F.when(F.col("_member_hit").isNotNull(), F.lit(yes))
                         .otherwise(F.lit(no)))
@@ -65,16 +121,26 @@ def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
 
 def left_join_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                      right_cols: list[str] | None = None, null_safe: bool = False,
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                     salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                     hot_share: float = DEFAULT_HOT_SHARE) -> DataFrame:
     """Left outer join on differently named keys; repeated right keys fan out.
 
-    Only ``right_cols`` (plus the key) are carried from the right side.
+    Only ``right_cols`` (plus the key) are carried from the right side.  In
+    the shuffle path, hot left keys are salted as in ``label_by_membership``
+    (their right rows are repeated per salt, so the fan-out is unchanged).
     """
     cols = [right_key] + [c for c in (right_cols or []) if c != right_key]
-    r = sized_broadcast(right.select(*cols), max_broadcast_rows)
-    cond = (left[left_key].eqNullSafe(r[right_key]) if null_safe
-            else left[left_key] == r[right_key])
-    out = left.join(r, cond, "left")
+    r = right.select(*cols)
+    if null_safe or fits_broadcast(r, max_broadcast_rows):
+        r = F.broadcast(r) if fits_broadcast(r, max_broadcast_rows) else r
+        cond = (left[left_key].eqNullSafe(r[right_key]) if null_safe
+                else left[left_key] == r[right_key])
+        out = left.join(r, cond, "left")
+    else:
+        hot = hot_keys(left, left_key, hot_share)
+        out = (_salted_left_join(left, r, left_key, right_key, hot, salt_buckets) if hot
+               else left.join(r, left[left_key] == r[right_key], "left"))
     return out.drop(r[right_key]) if right_key != left_key else out
 
 

@@ -44,3 +44,37 @@ def test_no_python_udf_in_any_sql_query(spark):
         df = catalog.QUERIES[key](spark, SF_SMALL)
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert "PythonUDF" not in text and "BatchEvalPython" not in text, key
+
+
+def test_hot_key_label_join_is_salted_not_dropped(spark):
+    """One provider holds a third of all claim lines and the list is too long
+    to broadcast: the hot key is salted over many tasks, and no row is lost."""
+    from pyspark.sql import functions as F
+    from provguard.operators.joins import hot_keys, label_by_membership, left_join_fanout
+    n = 60000
+    facts = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string"))
+        .alias("npi"), (F.col("id") * 1.0).alias("v"))
+    listed = spark.range(0, n, 7).select(F.col("id").cast("string").alias("npi")).union(
+        spark.createDataFrame([("HOT",), ("HOT",)], "npi string"))
+    assert hot_keys(facts, "npi", fraction=0.1) == ["HOT"]
+    out = label_by_membership(facts, listed, "npi", max_broadcast_rows=0)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tagged = out.withColumn("pid", F.spark_partition_id())
+        parts = [r.n for r in tagged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = {r.fraud: r.n for r in out.groupBy("fraud").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(got.values()) == n
+    assert got["yes"] == n // 3 + sum(1 for i in range(n) if i % 3 and i % 7 == 0)
+    assert max(parts) < n / 4  # the hot third is spread over several tasks
+    fan = left_join_fanout(facts, listed.withColumn("x", F.lit(1)), "npi", "npi", ["x"],
+                           max_broadcast_rows=0)
+    assert fan.count() == n + n // 3  # HOT listed twice: its rows appear twice
