@@ -80,7 +80,12 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # A row hash after the order keys splits long runs of equal keys across
+    # range partitions; it only orders rows the caller's keys leave tied.
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
+    keyed = df.withColumn("_tie", tie)
+    sort_cols = [*order, "_tie"]
+    ranged = keyed.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
     tagged = ranged.withColumns({
         "_pid": F.spark_partition_id(),
         "_mono": F.monotonically_increasing_id(),
@@ -94,4 +99,4 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
     out = tagged.join(F.broadcast(offsets), "_pid")
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (out.withColumn(name, F.col("_off") + local + F.lit(1))
-            .drop("_pid", "_mono", "_off"))
+            .drop("_pid", "_mono", "_off", "_tie"))
