@@ -82,17 +82,19 @@ def monthly_average(df: DataFrame, date_col: str, years: float | None = None,
     """Events per calendar month divided by the number of years covered.
 
     ``years`` defaults to the distinct calendar years in the data (the study
-    typed a fixed number).  Adds the month label and the mean over months
-    (a scalar subquery, joined as a literal column).
+    typed a fixed number).  Adds the month label and the mean over months.
+    Everything derives from one (year, month) pre-aggregate of the input, so
+    the scan and its shuffle are shared by the two scalar subqueries.
     """
     d = F.col(date_col)
+    ym = (df.where(d.isNotNull())
+            .groupBy(F.year(d).alias("_y"), F.month(d).alias("month"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(d).alias("_d")))
     if years is None:
-        years_col = df.agg(F.count_distinct(F.year(d))).scalar()
+        years_col = ym.agg(F.count_distinct("_y")).scalar()
     else:
         years_col = F.lit(float(years))
-    per_month = (df.where(d.isNotNull())
-                 .groupBy(F.month(d).alias("month"))
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min(d).alias("_d")))
+    per_month = ym.groupBy("month").agg(F.sum("_n").alias("_n"), F.min("_d").alias("_d"))
     per_month = per_month.select(
         "month", month_abbr("_d").alias("month_label"),
         (F.col("_n") / years_col).alias(name))
