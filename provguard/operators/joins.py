@@ -145,9 +145,17 @@ def left_join_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key
 
 
 def enrich(left: DataFrame, lookup: DataFrame, on: str, null_safe: bool = False,
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left join a lookup on a shared key name; unmatched left rows are kept."""
-    lk = sized_broadcast(lookup, max_broadcast_rows)
+           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           known_rows: int | None = None) -> DataFrame:
+    """Left join a lookup on a shared key name; unmatched left rows are kept.
+
+    ``known_rows`` states a fixed lookup size (e.g. a constant table), which
+    proves the bound without a counting job.
+    """
+    if known_rows is not None and known_rows <= max_broadcast_rows:
+        lk = F.broadcast(lookup)
+    else:
+        lk = sized_broadcast(lookup, max_broadcast_rows)
     if not null_safe:
         return left.join(lk, on, "left")
     renamed = lk.withColumnRenamed(on, "_lk_key")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provguard.session import ensure_checkpoint_dir
+
 
 
 def ordinal(grouped: DataFrame, order: Sequence[Column], name: str = "order") -> DataFrame:
@@ -79,6 +81,7 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
     (unique key, or all columns) for a deterministic result.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A row hash after the order keys splits long runs of equal keys across
     # range partitions; it only orders rows the caller's keys leave tied.

@@ -87,7 +87,7 @@ FROM (SELECT excltype AS statute, count(*) AS n_count FROM excl GROUP BY excltyp
 LEFT JOIN statute_lookup l ON c.statute = l.statute
 ORDER BY c.n_count DESC, c.statute NULLS LAST""")
 def q_statute_counts(spark, base):
-    return PL.statute_counts(_clean(spark, base), S.statute_lookup(spark))
+    return PL.statute_counts(_clean(spark, base), S.statute_lookup(spark), len(STATUTE_LOOKUP))
 
 
 _PROVIDER_KEYS_SQL = ", ".join(PL.PROVIDER_KEYS)

@@ -27,15 +27,17 @@ PROVIDER_KEYS = ("rndrng_npi", "rndrng_prvdr_type", "rndrng_prvdr_gndr",
 
 # --- X05 statute table -------------------------------------------------------
 
-def statute_counts(clean: DataFrame, lookup: DataFrame) -> DataFrame:
+def statute_counts(clean: DataFrame, lookup: DataFrame,
+                   lookup_rows: int | None = None) -> DataFrame:
     """Exclusions per statute, enriched with the lookup, largest first.
 
     Counting happens before the join (the lookup meets one row per code);
     codes absent from the lookup are kept with null descriptions.
+    ``lookup_rows`` gives the size of a fixed lookup table.
     """
     counts = (A.count_by(clean, ["excltype"], "n_count")
               .withColumnRenamed("excltype", "statute"))
-    out = enrich(counts, lookup, "statute")
+    out = enrich(counts, lookup, "statute", known_rows=lookup_rows)
     out = R.select_range(out, "agency", "description", before=["statute"], after=["n_count"])
     return out.orderBy(F.col("n_count").desc(), F.col("statute").asc_nulls_last())
 

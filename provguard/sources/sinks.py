@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from provguard.session import scratch_path
+from provguard.session import ensure_checkpoint_dir, scratch_path
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, null_text: str = "",
@@ -52,4 +52,5 @@ def materialise(df: DataFrame, view: str | None = None,
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
