@@ -29,6 +29,21 @@ def distinct_values(df: DataFrame, column: str | Column,
     return [r["_v"] for r in vals]
 
 
+def top_values(df: DataFrame, column: str | Column, k: int,
+               weight: str | None = None) -> list:
+    """The ``k`` most frequent (or heaviest) non-null values, ties by value.
+
+    For pivots wider than the pivot limit: keep the top codes as columns and
+    leave the rest in long form.  At most ``k`` values reach the driver.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    agg = F.sum(weight) if weight else F.count(F.lit(1))
+    top = (df.select(c.alias("_v"), *([weight] if weight else [])).where(F.col("_v").isNotNull())
+             .groupBy("_v").agg(agg.alias("_n"))
+             .orderBy(F.col("_n").desc(), F.col("_v")).limit(k).collect())
+    return [r["_v"] for r in top]
+
+
 def pivot_agg(df: DataFrame, keys: Sequence[str], pivot: str | Column,
               agg: Column, values: Sequence | None = None, fill=None,
               null_label: str | None = None) -> DataFrame:

@@ -53,8 +53,15 @@ def clean_claims(claims: DataFrame, provider_type: str = "Internal Medicine") ->
               .drop("tot_srvcs", "tot_benes"))
 
 
-def provider_matrix(clean: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
-    """One row per provider, mean services per beneficiary per code."""
+def provider_matrix(clean: DataFrame, codes: Sequence[str] | None = None,
+                    top: int | None = None) -> DataFrame:
+    """One row per provider, mean services per beneficiary per code.
+
+    ``codes`` fixes the columns; ``top`` keeps the most frequent codes when
+    the full code list is wider than a pivot should be.
+    """
+    if codes is None and top is not None:
+        codes = R.top_values(clean, "hcpcs_cd", top)
     return R.pivot_agg(clean, list(PROVIDER_KEYS), "hcpcs_cd",
                        F.avg("srvcs_per_bene"), values=codes)
 

@@ -210,3 +210,9 @@ def test_corr_long(spark):
     assert out[("b", "a")] > 0.99
     full = P.corr_long(df, ["a", "b"], lower_only=False).count()
     assert full == 4
+
+
+def test_top_values(spark):
+    df = spark.createDataFrame([(v,) for v in "aaabbbccd"] + [(None,)], "x string")
+    assert R.top_values(df, "x", 2) == ["a", "b"]
+    assert R.top_values(df, "x", 10) == ["a", "b", "c", "d"]
