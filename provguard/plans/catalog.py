@@ -24,7 +24,8 @@ from provguard.operators import filters as FL
 from provguard.operators import profile as P
 from provguard.operators import reshape as R
 from provguard.operators import windows as W
-from provguard.operators.joins import left_join_fanout
+from provguard.operators import models as M
+from provguard.operators.joins import label_by_membership, left_join_fanout
 from provguard.plans import cleaning as C
 from provguard.plans import pipelines as PL
 from provguard.plans import standins as S
@@ -107,7 +108,6 @@ FROM (PIVOT cc ON hcpcs_cd USING round(avg(srvcs_per_bene), 6)
 def q_provider_features(spark, base):
     cc = PL.clean_claims(_claims(spark, base))
     matrix = R.pivot_agg(cc, list(PL.PROVIDER_KEYS), "hcpcs_cd", r6(F.avg("srvcs_per_bene")))
-    from provguard.operators.joins import label_by_membership
     npis = _clean(spark, base).select("npi")
     return label_by_membership(matrix, npis, "rndrng_npi", "npi", "fraud", "true", "false")
 
@@ -572,7 +572,6 @@ SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM excl e WHERE e.npi = c.rndrng_npi)
                  THEN 'yes' ELSE 'no' END AS fraud
 FROM claims c""")
 def q_label_join(spark, base):
-    from provguard.operators.joins import label_by_membership
     return label_by_membership(_claims(spark, base), _clean(spark, base).select("npi"),
                                "rndrng_npi", "npi", "fraud", "yes", "no")
 
@@ -937,9 +936,8 @@ SELECT o_orderkey,
             THEN 'training' ELSE 'test' END AS split
 FROM orders""")
 def q_hash_split(spark, base):
-    from provguard.operators.models import hash_split_label
     o = read_table(spark, base, "orders", ["o_orderkey"])
-    return o.withColumn("split", hash_split_label("o_orderkey", 0.5, seed=1099))
+    return o.withColumn("split", M.hash_split_label("o_orderkey", 0.5, seed=1099))
 
 
 @register("simple_ols", """
@@ -948,40 +946,35 @@ SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_r2(l_extendedprice, l_quantity), 6) AS r2
 FROM lineitem""")
 def q_simple_ols(spark, base):
-    from provguard.operators.models import ols_one
     li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity"])
-    return ols_one(li, "l_extendedprice", "l_quantity")
+    return M.ols_one(li, "l_extendedprice", "l_quantity")
 
 
 @register("linreg")
 def q_linreg(spark, base):
-    from provguard.operators.models import fit_linear_predict
     li = read_table(spark, base, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount"])
-    return fit_linear_predict(li, "l_extendedprice ~ l_quantity + l_discount",
+    return M.fit_linear_predict(li, "l_extendedprice ~ l_quantity + l_discount",
                               key=["l_orderkey", "l_linenumber"], seed=1099)
 
 
 @register("glm_fit")
 def q_glm_fit(spark, base):
-    from provguard.operators.models import glm_summary
     li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
-    return glm_summary(li, "l_extendedprice ~ l_quantity + l_discount")
+    return M.glm_summary(li, "l_extendedprice ~ l_quantity + l_discount")
 
 
 @register("formula_features")
 def q_formula_features(spark, base):
-    from provguard.operators.models import formula_features
     feats = q_provider_features(spark, base)
-    return formula_features(feats, "fraud ~ . - rndrng_prvdr_type",
+    return M.formula_features(feats, "fraud ~ . - rndrng_prvdr_type",
                             drop=["rndrng_npi", "rndrng_prvdr_zip5"])
 
 
 @register("logit_label")
 def q_logit_label(spark, base):
-    from provguard.operators.models import fit_logistic_predict
     feats = q_provider_features(spark, base)
-    return fit_logistic_predict(feats, "fraud ~ . - rndrng_prvdr_type",
+    return M.fit_logistic_predict(feats, "fraud ~ . - rndrng_prvdr_type",
                                 drop=["rndrng_npi", "rndrng_prvdr_zip5"], positive="true")
 
 
@@ -994,16 +987,14 @@ def _physician_model_frame(spark, base):
 
 @register("forest_importance")
 def q_forest_importance(spark, base):
-    from provguard.operators.models import forest_importance
     df = _physician_model_frame(spark, base)
-    return forest_importance(df, "npi_or_upin", seed=1099)
+    return M.forest_importance(df, "npi_or_upin", seed=1099)
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, base):
-    from provguard.operators.models import permutation_importance
     df = _physician_model_frame(spark, base)
-    return permutation_importance(df, "npi_or_upin", seed=1099)
+    return M.permutation_importance(df, "npi_or_upin", seed=1099)
 
 
 def queries() -> dict[str, Query]:
