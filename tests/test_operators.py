@@ -216,3 +216,14 @@ def test_top_values(spark):
     df = spark.createDataFrame([(v,) for v in "aaabbbccd"] + [(None,)], "x string")
     assert R.top_values(df, "x", 2) == ["a", "b"]
     assert R.top_values(df, "x", 10) == ["a", "b", "c", "d"]
+
+
+def test_corr_mllib_matches_aggregate(spark):
+    df = spark.range(200).select((F.col("id") * 1.0).alias("a"),
+                                 (F.col("id") % 7 * 1.0).alias("b"),
+                                 (F.col("id") * F.col("id") * 1.0).alias("c"))
+    agg = {(r.x, r.y): r.r for r in P.corr_long(df, ["a", "b", "c"]).collect()}
+    ml = {(r.x, r.y): r.r for r in P.corr_matrix_mllib(df, ["a", "b", "c"]).collect()}
+    assert len(ml) == 9 and math.isclose(ml[("a", "a")], 1.0)
+    for k, v in agg.items():
+        assert math.isclose(v, ml[k], rel_tol=1e-9, abs_tol=1e-12)
