@@ -57,10 +57,16 @@ def share_of_total(grouped: DataFrame, value: str = "n", name: str = "n_pct") ->
 
 def count_distinct_by(df: DataFrame, keys: Sequence[str], column: str,
                       name: str = "n_distinct", approx: bool = False,
-                      rsd: float = 0.01) -> DataFrame:
-    """Distinct non-null values per group; ``approx`` uses HyperLogLog++."""
+                      rsd: float = 0.01, include_null: bool = False) -> DataFrame:
+    """Distinct values per group; ``approx`` uses HyperLogLog++.
+
+    SQL counts only non-null values; ``include_null`` counts a null as one
+    more value, as R's ``n_distinct`` does by default.
+    """
     agg = (F.approx_count_distinct(column, rsd) if approx
            else F.count_distinct(F.col(column)))
+    if include_null:
+        agg = agg + F.max(F.col(column).isNull().cast("long"))
     return df.groupBy(*keys).agg(agg.alias(name))
 
 

@@ -227,3 +227,11 @@ def test_corr_mllib_matches_aggregate(spark):
     assert len(ml) == 9 and math.isclose(ml[("a", "a")], 1.0)
     for k, v in agg.items():
         assert math.isclose(v, ml[k], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_count_distinct_null_rule(people):
+    sql = {r.state: r.n_distinct for r in A.count_distinct_by(people, ["state"], "code").collect()}
+    r = {r.state: r.n_distinct
+         for r in A.count_distinct_by(people, ["state"], "code", include_null=True).collect()}
+    assert sql["NY"] == 1 and r["NY"] == 2  # x2 and NA
+    assert sql["TX"] == 1 and r["TX"] == 1
