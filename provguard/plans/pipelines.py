@@ -68,9 +68,13 @@ def provider_matrix(clean: DataFrame, codes: Sequence[str] | None = None,
 
 
 def provider_features(claims: DataFrame, excluded: DataFrame, codes: Sequence[str] | None = None,
-                      provider_type: str = "Internal Medicine", label: str = "fraud") -> DataFrame:
-    """Provider matrix labelled ``true`` when the NPI is on the exclusion list."""
-    matrix = provider_matrix(clean_claims(claims, provider_type), codes)
+                      provider_type: str = "Internal Medicine", label: str = "fraud",
+                      top: int | None = None) -> DataFrame:
+    """Provider matrix labelled ``true`` when the NPI is on the exclusion list.
+
+    ``codes`` / ``top`` choose the code columns (see ``provider_matrix``).
+    """
+    matrix = provider_matrix(clean_claims(claims, provider_type), codes, top)
     npis = excluded.select("npi").where(F.col("npi") != F.lit("NA"))
     return label_by_membership(matrix, npis, "rndrng_npi", "npi", label, "true", "false")
 
