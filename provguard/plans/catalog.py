@@ -950,6 +950,42 @@ def q_simple_ols(spark, base):
     return M.ols_one(li, "l_extendedprice", "l_quantity")
 
 
+_OLS_SQL = """
+WITH s AS (
+  SELECT count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my,
+         var_pop(l_quantity) * count(*) AS s11, var_pop(l_discount) * count(*) AS s22,
+         covar_pop(l_quantity, l_discount) * count(*) AS s12,
+         covar_pop(l_quantity, l_extendedprice) * count(*) AS s1y,
+         covar_pop(l_discount, l_extendedprice) * count(*) AS s2y,
+         var_pop(l_extendedprice) * count(*) AS syy
+  FROM lineitem
+), b AS (
+  SELECT *, s11 * s22 - s12 * s12 AS d,
+         (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2
+  FROM s
+), e AS (
+  SELECT *, my - b1 * m1 - b2 * m2 AS b0, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS sigma2 FROM b
+), t AS (
+  SELECT 'l_quantity' AS term, b1 AS estimate, sqrt(sigma2 * s22 / d) AS std_err FROM e
+  UNION ALL SELECT 'l_discount', b2, sqrt(sigma2 * s11 / d) FROM e
+  UNION ALL SELECT '(Intercept)', b0,
+         sqrt(sigma2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)) FROM e
+)
+SELECT term, round(estimate, 3) AS estimate, round(std_err, 3) AS std_err,
+       round(estimate / std_err, 3) AS t_value
+FROM t"""
+
+
+@register("ols_terms", _OLS_SQL)
+def q_ols_terms(spark, base):
+    """Least-squares term table (M06/M07) on the whole table, closed form in SQL."""
+    li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
+    terms = M.linear_summary(li, "l_extendedprice ~ l_quantity + l_discount")
+    return terms.select("term", *[F.round(c, 3).alias(c)
+                                  for c in ("estimate", "std_err", "t_value")])
+
+
 @register("linreg")
 def q_linreg(spark, base):
     li = read_table(spark, base, "lineitem",
