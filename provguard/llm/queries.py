@@ -5,13 +5,17 @@ from __future__ import annotations
 from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .mixing import OP5_SQL, op5_mix_sources
+from .quality_rules import op1_quality_rules
+from .site_quality import op10_site_quality
 from .token_count import op9_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_site_quality": op10_site_quality,
 }
 
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL}
