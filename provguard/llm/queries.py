@@ -7,12 +7,16 @@ from .license_scan import op2_license_scan
 from .mixing import OP5_SQL, op5_mix_sources
 from .quality_rules import op1_quality_rules
 from .site_quality import op10_site_quality
+from .substring_dedup import op7_substring_dedup
+from .suffix_dedup import op4_suffix_dedup
 from .token_count import op9_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_site_quality": op10_site_quality,
