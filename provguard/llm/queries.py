@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .mixing import OP5_SQL, op5_mix_sources
+from .ngram_join import op6_ngram_join
 from .quality_rules import op1_quality_rules
 from .site_quality import op10_site_quality
 from .substring_dedup import op7_substring_dedup
@@ -14,8 +16,10 @@ from .token_count import op9_token_counts
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
