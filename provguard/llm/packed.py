@@ -20,6 +20,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from .common import U64, checked_columns, map_arrow, ship
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id: larger than any other
 
 
-def write_chunks(docs: DataFrame, name: str, chunk_bytes: int = 4 << 20, buckets: int | None = None) -> DataFrame:
-    """(chunk_id, n_bytes, body) rows of all (doc_id, text) rows, as a bucketed scratch table."""
+def write_chunks(docs: DataFrame, name: str, chunk_bytes: int = 4 << 20, buckets: int | None = None,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, n_bytes, body) rows of all (doc_id, text, *carry) rows, as a bucketed scratch table."""
     spark = docs.sparkSession
 
     def run(batches):
@@ -48,7 +50,7 @@ def write_chunks(docs: DataFrame, name: str, chunk_bytes: int = 4 << 20, buckets
                 names=["chunk_id", "n_bytes", "body"])
 
         for b in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
             at = 0
             for i, n in enumerate(lengths):
                 size += int(n)
@@ -61,7 +63,8 @@ def write_chunks(docs: DataFrame, name: str, chunk_bytes: int = 4 << 20, buckets
         if held:
             yield body()
 
-    rows = checked_columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = checked_columns(docs, ["doc_id", "text", *carry]).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
     chunks = map_arrow(rows, run, "chunk_id long, n_bytes long, body binary")
     path, table = scratch_path(spark, name), f"provguard_{name}_{uuid.uuid4().hex[:12]}"
     n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -141,58 +141,73 @@ def repeated_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
-def judge(docs: DataFrame, refs: dict[str, dict], min_words: int = 50, max_repeat: int = 50, min_chars: int = 500,
-          min_common_words: int = 50, max_class: float = 0.22, max_common: float = 0.5) -> DataFrame:
-    """Counts, base rules and distances of every text; ``kept`` needs all rules.
+LIMITS = {"min_words": 50, "max_repeat": 50, "min_chars": 500, "min_common_words": 50, "max_class": 0.22, "max_common": 0.5}
+
+
+def judge_batch(text: pa.Array, lang: pa.Array, refs: dict[str, dict], limits: dict) -> dict[str, np.ndarray]:
+    """Counts, base rules and distances of a batch of texts; ``kept`` needs all rules.
 
     ``min_chars``, ``min_common_words``: texts with fewer characters or words aren't judged
     by that histogram; ``max_class``, ``max_common``: largest distances kept.
     """
-    names = list(refs)
+    names, k = list(refs), len(text)
+    data, off = text_bytes(text)
+    s, e, woff = word_spans(data, off)
+    h = span_hashes(data, s, e)
+    n_words = np.diff(woff).astype(np.int64)
+    chars = _text_numbers(data, off, ~FOLLOWS[data] & ~SPACE[data])
+    symbols = _text_numbers(data, off, SYMBOL[data])
+    lines = np.array([repeated_lines(t) for t in text.to_pylist()], np.int64)
+    repeat = repeated_words(h, woff).astype(np.int64)
+    failed = (n_words < limits["min_words"]) | (100 * repeat > limits["max_repeat"] * n_words)
+    table = _class_table(data, off)
+    d = text_of_item(woff)
+    by_class, by_word = np.zeros((k, len(names))), np.zeros((k, len(names)))
+    for j, x in enumerate(names):
+        ref = refs[x]
+        by_class[:, j] = js_distance(table, ref["classes"])
+        m = len(ref["words"])
+        at = np.minimum(np.searchsorted(ref["words"], h), max(0, m - 1))
+        slot = np.where(ref["words"][at] == h, at, m) if m else np.zeros(len(h), np.int64)
+        hist = np.bincount(d * (m + 1) + slot, minlength=k * (m + 1)).reshape(k, m + 1)
+        by_word[:, j] = js_distance(hist, ref["shares"])
+    if names:
+        number = {x: j for j, x in enumerate(names)}
+        own = np.array([number.get(x, -1) for x in lang.to_pylist()])
+        pick = np.where(own >= 0, own, (by_class + by_word).argmin(1))
+        by_class, by_word = by_class[np.arange(k), pick], by_word[np.arange(k), pick]
+    else:
+        by_class, by_word = np.zeros(k), np.zeros(k)
+    far = (((chars >= limits["min_chars"]) & (by_class > limits["max_class"]))
+           | ((n_words >= limits["min_common_words"]) & (by_word > limits["max_common"])))
+    return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeat,
+            "base_failed": failed, "kept": ~failed & ~far, "class_distance": by_class, "common_distance": by_word}
+
+
+def quality_rules(docs: DataFrame, common_share: float = 0.004, **limits) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, distances) of every row."""
+    refs, limits = language_references(docs, common_share), LIMITS | limits
 
     def run(batches):
         for b in slices(batches):
-            data, off = text_bytes(b.column(1))
-            k = b.num_rows
-            s, e, woff = word_spans(data, off)
-            h = span_hashes(data, s, e)
-            n_words = np.diff(woff).astype(np.int64)
-            chars = _text_numbers(data, off, ~FOLLOWS[data] & ~SPACE[data])
-            symbols = _text_numbers(data, off, SYMBOL[data])
-            lines = np.array([repeated_lines(t) for t in b.column(1).to_pylist()], np.int64)
-            repeat = repeated_words(h, woff)
-            failed = (n_words < min_words) | (100 * repeat > max_repeat * n_words)
-            table = _class_table(data, off)
-            d = text_of_item(woff)
-            by_class, by_word = np.zeros((k, len(names))), np.zeros((k, len(names)))
-            for j, x in enumerate(names):
-                ref = refs[x]
-                by_class[:, j] = js_distance(table, ref["classes"])
-                m = len(ref["words"])
-                at = np.minimum(np.searchsorted(ref["words"], h), max(0, m - 1))
-                slot = np.where(ref["words"][at] == h, at, m) if m else np.zeros(len(h), np.int64)
-                hist = np.bincount(d * (m + 1) + slot, minlength=k * (m + 1)).reshape(k, m + 1)
-                by_word[:, j] = js_distance(hist, ref["shares"])
-            number = {x: j for j, x in enumerate(names)}
-            own = np.array([number.get(x, -1) for x in b.column(2).to_pylist()])
-            if names:
-                pick = np.where(own >= 0, own, (by_class + by_word).argmin(1))
-                cls, com = by_class[np.arange(k), pick], by_word[np.arange(k), pick]
-            else:
-                cls, com = np.zeros(k), np.zeros(k)
-            far = ((chars >= min_chars) & (cls > max_class)) | ((n_words >= min_common_words) & (com > max_common))
-            cols = [b.column(0), n_words, chars, symbols, lines, repeat.astype(np.int64), failed, ~failed & ~far, cls, com]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols],
-                                             names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                                    "base_failed", "kept", "class_distance", "common_distance"])
+            got = judge_batch(b.column(1), b.column(2), refs, limits)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, got.values())], names=["doc_id", *got])
 
     rows = checked_columns(docs, ["doc_id", "text", "lang"])
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, "
                                 "n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, common_distance double")
 
 
-def quality_rules(docs: DataFrame, common_share: float = 0.004, **limits) -> DataFrame:
-    return judge(docs, language_references(docs, common_share), **limits)
+def keep_good(docs: DataFrame, common_share: float = 0.004, **limits) -> DataFrame:
+    """The rows that the rules keep, with all their columns; nothing is shuffled but the counts."""
+    refs, limits = language_references(docs, common_share), LIMITS | limits
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array(judge_batch(b.column(text), b.column(lang), refs, limits)["kept"]))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -132,11 +132,12 @@ def ask_windows(found: DataFrame, block: int, window: int, buckets: int, ranges:
     return P.ask(map_arrow(found, run, P.PACKED), answer)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256): every text without the words of
-    ``window``-word strings that a document with a smaller id also holds."""
+def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, kept_sha256, *carry): every text without the words of
+    ``window``-word strings that a document with a smaller id also holds.  ``kept`` is the
+    text as it was if nothing goes, else the words left, joined by spaces."""
     block = (window + 1) // 2
-    chunks = P.write_chunks(docs, "chunks", chunk_bytes)
+    chunks = P.write_chunks(docs, "chunks", chunk_bytes, carry=carry)
     buckets = P.bucket_count(chunks, 1 / 6)
     blocks = write_scratch(ask_blocks(chunks, block, buckets), "block-hits")
     found = P.replies_by(chunks, blocks=blocks)
@@ -157,19 +158,23 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20
                 keep = np.cumsum(mark[:-1]) == 0
                 removed = np.concatenate([[0], np.cumsum(~keep)])
                 removed = removed[c.woff[1:]] - removed[c.woff[:-1]]
-                kept = []
+                kept, sha = [], []
                 for i, t in enumerate(c.table.column(1).to_pylist()):
                     words = t.encode().split() if t else []
                     if removed[i]:
                         words = list(itertools.compress(words, keep[c.woff[i]:c.woff[i + 1]].tolist()))
-                    kept.append(b" ".join(words))
+                    left = b" ".join(words)
+                    sha.append(hashlib.sha256(left).hexdigest())
+                    kept.append(left if removed[i] else t.encode() if t else b"")
                 yield pa.RecordBatch.from_arrays(
                     [c.table.column(0).combine_chunks(), pa.array(np.diff(c.woff), pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                    names=[*OUT, "kept_sha256"])
+                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string()),
+                     *[c.table.column(x).combine_chunks() for x in carry]],
+                    names=[*OUT, "kept_sha256", *carry])
 
     return map_arrow(P.replies_by(chunks, blocks=blocks, windows=windows), run,
-                     "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+                     ", ".join(["doc_id long, n_words long, n_removed long, kept string, kept_sha256 string",
+                                *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
