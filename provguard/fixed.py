@@ -14,7 +14,6 @@ from __future__ import annotations
 NULL_TOKENS = ("00000000", "0000000000", "0", "")
 
 # Token that means "missing" in the California state list.
-CA_NULL_TOKEN = "N/A"
 
 # Headers of the raw exclusion list, in file order (18 text columns).
 EXCLUSION_COLUMNS = (
@@ -52,7 +51,6 @@ TERRITORIES_2000 = ("DC", "VI", "XX", "FM", "GU", "MP", "PR", "AE")
 TERRITORIES_2021 = ("DC", "PR")
 
 # Agency labels of the federal-against-state comparison.
-AGENCIES = ("cms_oig", "ca_hhs", "ny_omig", "tx_oig")
 
 # --- fixed values: statute lookup (statute, agency, exclusion, description) ---
 STATUTE_LOOKUP = (

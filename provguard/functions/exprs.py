@@ -28,9 +28,6 @@ def null_if_token(c: str | Column, tokens: Iterable[str]) -> Column:
     return F.when(c.isin(list(tokens)), F.lit(None)).otherwise(c)
 
 
-def fill_null(c: str | Column, value) -> Column:
-    return F.coalesce(col(c), F.lit(value))
-
 
 def presence_flag(*cols: str | Column) -> Column:
     """1 when any of the columns is present, else 0 (``is.na(a) & is.na(b)``)."""
@@ -39,9 +36,6 @@ def presence_flag(*cols: str | Column) -> Column:
 
 # --- membership and text tests ---------------------------------------------
 
-def in_list(c: str | Column, values: Iterable) -> Column:
-    return col(c).isin(list(values))
-
 
 def not_in_keep_null(c: str | Column, values: Iterable) -> Column:
     """True unless the value is in the list; a null value is kept (True)."""
@@ -59,9 +53,6 @@ def contains_or_false(c: str | Column, needle: str) -> Column:
     return F.coalesce(col(c).contains(needle), F.lit(False))
 
 
-def replace_text(c: str | Column, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(col(c), pattern, replacement)
-
 
 # --- dates -------------------------------------------------------------------
 

@@ -1,53 +1,36 @@
 """Joins: label by membership, fan-out left join, lookup enrichment.
 
-Broadcast is used only behind a size check: ``sized_broadcast`` counts at
-most ``max_rows + 1`` rows of the candidate side (each partition stops after
-that many, so the check is cheap even on a big table) and hints a broadcast
-only when the side is under the bound.  Beyond it the join is left to the
-planner (sort-merge with adaptive skew splitting of the large side).
-Hot keys on the large side are found from a key-only sample and salted
-(``hot_keys``): the adaptive skew split cannot help when the small side is
-an aggregate placed directly under the join.
-Small sides that are themselves aggregates are not hinted: adaptive
-execution measures the materialised stage and converts to a broadcast join
-when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, without
-computing the aggregate twice.
+No broadcast is hinted on a guess: Spark broadcasts a side whose size in bytes it knows or
+measures (adaptive execution) to be under its threshold.  The one hint is for lookups of
+a stated number of rows.
+
+Where the list may be long, the join is by shuffle.  Fact rows with a null key match
+nothing; they are spread over salts instead of meeting in one task.  Hot keys are found
+from a key-only sample and salted too (``hot_keys``): the adaptive skew split cannot help
+when the small side is an aggregate placed directly under the join.  On a stream there is
+no sample to take; there only null keys are spread.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key list of a few million short strings stays well under the default
-# broadcast size limit; above it the shuffle join is the right plan.
-DEFAULT_MAX_BROADCAST_ROWS = int(os.environ.get("PROVGUARD_MAX_BROADCAST_ROWS", 2_000_000))
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows (bounded check)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+from provguard.session import plan_bytes
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side proven to be small."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
-def membership_keys(members: DataFrame, key: str, alias: str = "_member_key") -> DataFrame:
-    """Distinct non-null keys of a list, with a hit marker."""
-    return (members.select(F.col(key).alias(alias))
-            .where(F.col(alias).isNotNull())
-            .distinct()
-            .withColumn("_member_hit", F.lit(True)))
+def surely_broadcast(df: DataFrame) -> bool:
+    """True when Spark will broadcast a frame by its size estimate in bytes."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return plan_bytes(df) <= limit
 
 
 # Hot-key handling for shuffle joins (see ``hot_keys``).
 DEFAULT_SALT_BUCKETS = 32
 DEFAULT_HOT_SHARE = 0.01
 DEFAULT_SAMPLE_FRACTION = 0.01
+FIXED_LOOKUP_ROWS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = DEFAULT_HOT_SHARE,
@@ -69,50 +52,47 @@ def hot_keys(df: DataFrame, key: str, share: float = DEFAULT_HOT_SHARE,
 
 def _salted_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                       hot: list, buckets: int) -> DataFrame:
-    """Left join where rows of hot keys are spread over ``buckets`` salts.
+    """Left join where rows of hot and null keys are spread over ``buckets`` salts.
 
-    A left row of a hot key gets a salt from a hash of the row; every right
+    A left row of such a key gets a salt from a hash of the row; every right
     row of a hot key is repeated once per salt, other keys use salt 0.  Each
     left row therefore meets exactly the right rows of its key, as in the
     plain join, but a hot key's rows are spread over ``buckets`` tasks.
     """
     lk, rk = F.col(left_key), F.col(right_key)
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    l2 = left.withColumn("_salt", F.when(lk.isin(hot), F.pmod(row_hash, F.lit(buckets)))
-                         .otherwise(F.lit(0)))
+    hashed = [F.col(f.name) for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    row_hash = F.pmod(F.xxhash64(*hashed), F.lit(buckets)).cast("int")
+    l2 = left.withColumn("_salt", F.when(lk.isNull() | lk.isin(hot), row_hash).otherwise(F.lit(0)))
     salts = F.when(rk.isin(hot), F.sequence(F.lit(0), F.lit(buckets - 1))) \
              .otherwise(F.array(F.lit(0)))
-    r2 = right.withColumn("_rsalt", F.explode(salts))
+    r2 = right.withColumn("_rsalt", F.explode(salts) if hot else F.lit(0))
     cond = (l2[left_key] == r2[right_key]) & (l2["_salt"] == r2["_rsalt"])
     return l2.join(r2, cond, "left").drop("_salt", "_rsalt")
 
 
+def spread_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                     salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                     hot_share: float = DEFAULT_HOT_SHARE) -> DataFrame:
+    """Left join that stands null and hot left keys, by broadcast if the right side is small."""
+    if surely_broadcast(right):
+        return left.join(right, left[left_key] == right[right_key], "left")
+    hot = [] if left.isStreaming else hot_keys(left, left_key, hot_share)
+    return _salted_left_join(left, right, left_key, right_key, hot, salt_buckets)
+
+
 def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
                         member_key: str | None = None, label: str = "fraud",
                         yes: object = "yes", no: object = "no",
-                        max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                         salt_buckets: int = DEFAULT_SALT_BUCKETS,
                         hot_share: float = DEFAULT_HOT_SHARE) -> DataFrame:
     """Add ``label``: ``yes`` when the fact's key is on the list, else ``no``.
 
     The list is reduced to distinct keys first, so a key listed twice never
-    multiplies fact rows, and the fact row count is unchanged.  The size
-    check runs on the list rows themselves (an upper bound on its distinct
-    keys, and cheap: no aggregation).  A longer list joins by shuffle; then
-    fact keys holding ``hot_share`` or more of the rows are salted over
-    ``salt_buckets`` tasks so no single task receives a hot key's rows.
+    multiplies fact rows, and the fact row count is unchanged.
     """
-    src = members.select(F.col(member_key or fact_key).alias("_member_key"))
-    src = src.where(F.col("_member_key").isNotNull())
-    keys = src.distinct().withColumn("_member_hit", F.lit(True))
-    if fits_broadcast(src, max_broadcast_rows):
-        joined = facts.join(F.broadcast(keys), facts[fact_key] == keys["_member_key"], "left")
-    else:
-        hot = hot_keys(facts, fact_key, hot_share)
-        if hot:
-            joined = _salted_left_join(facts, keys, fact_key, "_member_key", hot, salt_buckets)
-        else:
-            joined = facts.join(keys, facts[fact_key] == keys["_member_key"], "left")
+    keys = (members.select(F.col(member_key or fact_key).alias("_member_key"))
+            .where(F.col("_member_key").isNotNull()).distinct().withColumn("_member_hit", F.lit(True)))
+    joined = spread_left_join(facts, keys, fact_key, "_member_key", salt_buckets, hot_share)
     return (joined
             .withColumn(label, F.when(F.col("_member_hit").isNotNull(), F.lit(yes))
                         .otherwise(F.lit(no)))
@@ -121,41 +101,31 @@ def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
 
 def left_join_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                      right_cols: list[str] | None = None, null_safe: bool = False,
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      salt_buckets: int = DEFAULT_SALT_BUCKETS,
                      hot_share: float = DEFAULT_HOT_SHARE) -> DataFrame:
     """Left outer join on differently named keys; repeated right keys fan out.
 
-    Only ``right_cols`` (plus the key) are carried from the right side.  In
-    the shuffle path, hot left keys are salted as in ``label_by_membership``
-    (their right rows are repeated per salt, so the fan-out is unchanged).
+    Only ``right_cols`` (plus the key) are carried from the right side.
     """
     cols = [right_key] + [c for c in (right_cols or []) if c != right_key]
-    r = right.select(*cols)
-    if null_safe or fits_broadcast(r, max_broadcast_rows):
-        r = F.broadcast(r) if fits_broadcast(r, max_broadcast_rows) else r
-        cond = (left[left_key].eqNullSafe(r[right_key]) if null_safe
-                else left[left_key] == r[right_key])
-        out = left.join(r, cond, "left")
+    r = right.select(F.col(right_key).alias("_right_key"), *cols[1:])
+    if null_safe:
+        out = left.join(r, left[left_key].eqNullSafe(r["_right_key"]), "left")
     else:
-        hot = hot_keys(left, left_key, hot_share)
-        out = (_salted_left_join(left, r, left_key, right_key, hot, salt_buckets) if hot
-               else left.join(r, left[left_key] == r[right_key], "left"))
-    return out.drop(r[right_key]) if right_key != left_key else out
+        out = spread_left_join(left, r, left_key, "_right_key", salt_buckets, hot_share)
+    if right_key == left_key:
+        return out.withColumnRenamed("_right_key", right_key)
+    return out.drop("_right_key")
 
 
 def enrich(left: DataFrame, lookup: DataFrame, on: str, null_safe: bool = False,
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
            known_rows: int | None = None) -> DataFrame:
     """Left join a lookup on a shared key name; unmatched left rows are kept.
 
     ``known_rows`` states a fixed lookup size (e.g. a constant table), which
-    proves the bound without a counting job.
+    proves a bound for a broadcast; other lookups are left to Spark's sizes.
     """
-    if known_rows is not None and known_rows <= max_broadcast_rows:
-        lk = F.broadcast(lookup)
-    else:
-        lk = sized_broadcast(lookup, max_broadcast_rows)
+    lk = F.broadcast(lookup) if known_rows is not None and known_rows <= FIXED_LOOKUP_ROWS else lookup
     if not null_safe:
         return left.join(lk, on, "left")
     renamed = lk.withColumnRenamed(on, "_lk_key")

@@ -4,8 +4,8 @@
   partitioning (``randomSplit`` changes after a repartition).
 * Models are MLlib estimators; each fit is a distributed pass (or a few).
 * Summaries are turned into small DataFrames of one row per term.
-* Permutation importance permutes one column of the hold-out set by joining
-  two hash orderings inside hash buckets (no driver-side shuffling).
+* One forest gives both importances.  Permutation importance moves each column of the hold-out
+  along one random order of all its rows, by an equi-join on dense row numbers.
 """
 
 from __future__ import annotations
@@ -14,31 +14,32 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import RFormula, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provguard.functions.exprs import col
 from provguard.operators.reshape import unpivot_matching
-from provguard.operators.windows import level_order
+from provguard.operators.windows import level_order, row_ids
 
 
 # --- splits ------------------------------------------------------------------
 
 def hash_split_label(key: str | Column, train_fraction: float = 0.5, seed: int = 0,
                      names: tuple[str, str] = ("training", "test")) -> Column:
-    """``training`` / ``test`` from the first byte of ``md5(seed:key)``.
+    """``training`` / ``test`` from the first 60 bits of ``md5(seed:key)``.
 
-    Granularity is 1/256; the split is stable under any repartitioning.
+    The split is stable under any repartitioning; a null key counts as empty text.
     """
-    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 2)
-    cut = int(round(train_fraction * 256))
-    if cut >= 256:
+    key = F.coalesce(col(key).cast("string"), F.lit(""))
+    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 15)
+    cut = round(train_fraction * (1 << 60))
+    if cut >= 1 << 60:
         return F.lit(names[0])
-    return F.when(h < F.lit(format(cut, "02x")), F.lit(names[0])).otherwise(F.lit(names[1]))
+    return F.when(h < F.lit(format(cut, "015x")), F.lit(names[0])).otherwise(F.lit(names[1]))
 
 
 def hash_split(df: DataFrame, key: str | Sequence[str], train_fraction: float = 0.5,
@@ -66,11 +67,19 @@ def _formula(formula: str, drop: Sequence[str]) -> str:
 def formula_features(df: DataFrame, formula: str, drop: Sequence[str] = (),
                      keep: Sequence[str] = ()) -> DataFrame:
     """``label ~ . - x`` to ``(label, features)`` with RFormula (nulls filled)."""
-    data = fill_numeric_nulls(df).persist(StorageLevel.MEMORY_AND_DISK)  # one pass per indexer
+    data = fill_numeric_nulls(df)
     rf = RFormula(formula=_formula(formula, drop), featuresCol="features", labelCol="label",
-                  handleInvalid="keep")
-    out = rf.fit(data).transform(data)
-    return out.select(*keep, "label", "features")
+                  handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
+    return rf.fit(data).transform(data).select(*keep, "label", "features")
+
+
+def feature_sums(data: DataFrame) -> DataFrame:
+    """Each term's features added up over all rows: (term, total, n_rows)."""
+    names = _terms(data)
+    table = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(i), F.lit(t))])
+    return (data.select(F.posexplode(vector_to_array("features")).alias("_i", "_x")).groupBy("_i")
+            .agg(F.round(F.sum("_x"), 3).alias("total"), F.count(F.lit(1)).alias("n_rows"))
+            .select(table[F.col("_i")].alias("term"), "total", "n_rows"))
 
 
 # --- linear models -------------------------------------------------------------
@@ -94,17 +103,20 @@ def _terms(model_frame: DataFrame, features_col: str = "features") -> list[str]:
     return [a.get("name", f"x{a['idx']}") for a in attrs]
 
 
+def fit_linear(df: DataFrame, formula: str, key: Sequence[str], seed: int = 0,
+               train_fraction: float = 0.5):
+    """Least squares on the hash-split training side: (fitted formula, model, test side)."""
+    train, test = hash_split(df, key, train_fraction, seed)
+    rf = RFormula(formula=formula, featuresCol="features", labelCol="label").fit(train)
+    data = rf.transform(train)
+    return rf, LinearRegression(featuresCol="features", labelCol="label", solver="normal").fit(data), test
+
+
 def fit_linear_predict(df: DataFrame, formula: str, key: Sequence[str], seed: int = 0,
                        train_fraction: float = 0.5) -> DataFrame:
     """Fit least squares on the hash-split training side; predict the test side."""
-    train, test = hash_split(df, key, train_fraction, seed)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # formula fit + solver pass
-    rf = RFormula(formula=formula, featuresCol="features", labelCol="label").fit(train)
-    lr = LinearRegression(featuresCol="features", labelCol="label", solver="normal")
-    model = lr.fit(rf.transform(train))
-    train.unpersist()
-    pred = model.transform(rf.transform(test))
-    return pred.select(*key, "label", "prediction")
+    rf, model, test = fit_linear(df, formula, key, seed, train_fraction)
+    return model.transform(rf.transform(test)).select(*key, "label", "prediction")
 
 
 def linear_summary(df: DataFrame, formula: str) -> DataFrame:
@@ -139,142 +151,142 @@ def glm_summary(df: DataFrame, formula: str, family: str = "gaussian",
 # --- classification -----------------------------------------------------------
 
 def class_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """Balanced weights ``n / (k * n_class)`` joined as a column (k classes)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
-    w = counts.select(label, (total / (k * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)  # one row per class: bounded
+    """Balanced weights ``n / (k * n_class)`` as a column (k classes; a null label is none
+    of them and gets a null weight)."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_nc"))
+    total, k = counts.agg(F.sum("_nc"), F.count(F.lit(1))).first()  # two numbers
+    w = counts.select("_class", (F.lit(total or 0) / (F.lit(max(k, 1)) * F.col("_nc"))).alias(name))
+    return df.join(w, df[label] == w["_class"], "left").drop("_class")
 
 
-def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
-                         key: str = "rndrng_npi", positive: str = "true",
-                         max_iter: int = 25) -> DataFrame:
-    """Weighted logistic regression on the label; per-row positive probability.
+def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100,
+                 tol: float = 1e-6):
+    """Weighted logistic regression on the label: (rows with features, weight, model).
 
-    ``max_iter`` defaults to 25, the iteration cap of R's ``glm``.
-    """
+    ``max_iter`` is MLlib's default of 100; a fit that stops there has not converged and
+    raises an error."""
     data = fill_numeric_nulls(df)
-    rf = RFormula(formula=_formula(formula, [key, *drop]), featuresCol="features",
-                  labelCol="label", handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # indexers and fit re-read it
-    prepared = class_weights(rf.fit(data).transform(data), "label", "weight")
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # one pass per iteration
-    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                               maxIter=max_iter).fit(prepared)
+    rf = RFormula(formula=_formula(formula, drop), featuresCol="features", labelCol="label",
+                  handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
+    prepared = class_weights(rf.fit(data).transform(data).where(F.col("label").isNotNull()))
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # a pass per iteration
+    try:
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                   maxIter=max_iter, tol=tol).fit(prepared)
+        if model.summary.totalIterations >= max_iter:
+            raise RuntimeError(f"no convergence in {max_iter} iterations")
+    finally:
+        prepared.unpersist()
+    return prepared, model
+
+
+def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
+                         key: str = "rndrng_npi", max_iter: int = 100) -> DataFrame:
+    """Weighted logistic regression on the label; per-row positive probability."""
+    prepared, model = fit_logistic(df, formula, [key, *drop], max_iter)
     pred = model.transform(prepared)
     return pred.select(key, "label", "prediction",
                        vector_to_array("probability")[1].alias("p_positive"))
 
 
-def _feature_pipeline(df: DataFrame, label: str, max_categories: int = 32):
-    """Index strings; dates become day numbers; wide categoricals become ordinals.
+def logistic_scores(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100) -> DataFrame:
+    """(term, score): weighted sums of residual times feature, zero for a fit without penalty."""
+    prepared, model = fit_logistic(df, formula, drop, max_iter)
+    names = [*_terms(prepared), "(Intercept)"]
+    table = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(i), F.lit(t))])
+    residual = F.col("weight") * (F.col("label") - vector_to_array("probability")[1])
+    rows = model.transform(prepared).select(residual.alias("_r"), F.posexplode(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).alias("_i", "_x"))
+    return rows.groupBy("_i").agg(F.sum(F.col("_r") * F.col("_x")).alias("score")).select(table[F.col("_i")].alias("term"), "score")
 
-    Returns ``(data, features, columns, max_categories)``.
-    """
-    feats = [c for c in df.columns if c != label]
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted and indexed several times
+
+# --- forests ------------------------------------------------------------------
+
+_LEVEL_NULL = "\0null"
+
+
+def numeric_features(df: DataFrame, label: str) -> DataFrame:
+    """All columns but the label as numbers: dates as days, text levels as below."""
+    out = df
     for f in df.schema.fields:
-        if f.name in feats and isinstance(f.dataType, (T.DateType, T.TimestampType,
-                                                        T.TimestampNTZType)):
-            data = data.withColumn(f.name, F.unix_date(F.col(f.name).cast("date")))
-    strings = [f.name for f in data.schema.fields
-               if f.name in feats and isinstance(f.dataType, T.StringType)]
-    # MLlib caps the bin count at the number of training rows, so a small
-    # input can only carry categoricals with fewer levels than half its rows.
-    max_categories = min(max_categories, max(2, data.count() // 2))
-    label_ix = StringIndexer(inputCol=label, outputCol="label",
-                             stringOrderType="alphabetAsc").fit(data)
-    data = label_ix.transform(data)
-    cols = []
-    for c in feats:
-        if c in strings:
-            ix = StringIndexer(inputCol=c, outputCol=f"{c}__ix", handleInvalid="keep",
-                               stringOrderType="alphabetAsc").fit(data)
-            data = ix.transform(data)
-            if len(ix.labels) + 1 > max_categories:
-                data = data.withColumn(f"{c}__ix", F.col(f"{c}__ix") * F.lit(1.0))
-            cols.append(f"{c}__ix")
-        else:
-            data = data.withColumn(f"{c}__ix", F.col(c).cast("double"))
-            cols.append(f"{c}__ix")
-    return data, feats, cols, max_categories
-
-
-def forest_importance(df: DataFrame, label: str, num_trees: int = 100, seed: int = 0,
-                      max_categories: int = 32) -> DataFrame:
-    """Random forest on all other columns; impurity importance per source column.
-
-    Result rows ``(vars, name, value, vars_ord)`` with ``name`` =
-    ``MeanDecreaseGini`` (long form of the matching ``Mean*`` columns) and
-    the variables ordered by importance.
-    """
-    data, feats, cols, max_categories = _feature_pipeline(df, label, max_categories)
-    data = VectorAssembler(inputCols=cols, outputCol="features",
-                           handleInvalid="keep").transform(data)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                seed=seed, maxBins=max(32, max_categories + 1))
-    model = rf.fit(data)
-    data.unpersist()
-    imp = model.featureImportances.toArray()
-    rows = [(f, float(imp[i])) for i, f in enumerate(feats)]
-    wide = df.sparkSession.createDataFrame(rows, "vars string, MeanDecreaseGini double")
-    long = unpivot_matching(wide, "Mean")
-    return level_order(long, "value", "vars_ord")
-
-
-def _permute_column(test: DataFrame, column: str, seed: int,
-                    buckets: int | None = None) -> DataFrame:
-    """Replace ``column`` by the same values in a hash-shuffled row order.
-
-    Rows are spread over ``buckets`` hash buckets; inside each bucket they
-    are numbered twice, in two independent hash orders, and the column is
-    moved from one numbering to the other by an equi-join on
-    ``(bucket, position)``.  Windows are partitioned by bucket (parallel,
-    deterministic), so no single task sees all rows and nothing is
-    collected.
+        if f.name != label and isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            out = out.withColumn(f.name, F.unix_date(F.col(f.name).cast("date")))
+    return out
+
+
+def encode_levels(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Replace text columns by their level's mean label on the training side.
+
+    Ordering levels by mean label is how a tree would best split a two-class factor, and it
+    treats columns alike whatever their number of levels.  One grouped pass counts the
+    levels of all columns; no level reaches the driver.  Null is a level of its own; a level
+    that training never saw gets the overall mean."""
+    if not columns:
+        return train, test
+    melted = train.select(F.col(label).alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_c"), F.coalesce(F.col(c), F.lit(_LEVEL_NULL)).alias("_v")) for c in columns])).alias("_p"))
+    means = melted.groupBy("_p._c", "_p._v").agg(F.avg("_y").alias("_m"))
+    overall = float(train.agg(F.avg(label)).first()[0] or 0.0)
+    out = []
+    for side in (train, test):
+        for c in columns:
+            m = means.where(F.col("_c") == c).select(F.col("_v").alias("_level"), F.col("_m").alias("_mean"))
+            side = (side.withColumn("_key", F.coalesce(F.col(c), F.lit(_LEVEL_NULL)))
+                    .join(m, F.col("_key") == F.col("_level"), "left")
+                    .withColumn(c, F.coalesce("_mean", F.lit(overall))).drop("_key", "_level", "_mean"))
+        out.append(side)
+    return out[0], out[1]
+
+
+def forest_importances(df: DataFrame, label: str, key: Sequence[str], num_trees: int = 500, max_depth: int = 30,
+                       seed: int = 0, train_fraction: float = 0.7) -> DataFrame:
+    """Both importances of one random forest: (vars, MeanDecreaseAccuracy, MeanDecreaseGini, base_accuracy).
+
+    500 trees grown out (30 levels, MLlib's most) are the settings of the study's forest.
+    MLlib keeps no out-of-bag scores: accuracy falls are measured on a hold-out, split by a
+    hash of the row key.  For each column the hold-out's values are moved along one random
+    order of its rows, each column by its own number of places, and all moved versions are
+    scored in one job.  Keys must be unique; neither partitions nor row order matter.
     """
-    n = buckets or int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = test.columns
-    h1 = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    t = test.withColumns({"_h1": h1, "_b": F.pmod(h1, F.lit(n))})
-    t = t.withColumn("_h2", F.xxhash64(F.col("_h1"), F.lit(seed + 1)))
-    w1 = Window.partitionBy("_b").orderBy("_h1", *cols)
-    w2 = Window.partitionBy("_b").orderBy("_h2", *cols)
-    base = t.withColumn("_p", F.row_number().over(w1)).drop(column, "_h1", "_h2")
-    src = t.select("_b", F.row_number().over(w2).alias("_p"), column)
-    return base.join(src, ["_b", "_p"]).select(*cols)
-
-
-def permutation_importance(df: DataFrame, label: str, num_trees: int = 50, seed: int = 0,
-                           train_fraction: float = 0.7, max_categories: int = 32) -> DataFrame:
-    """Accuracy drop on a hold-out when one column is permuted (per column).
-
-    MLlib forests have no out-of-bag scores, so a hash-split hold-out plays
-    their part.  Rows ``(vars, MeanDecreaseAccuracy, base_accuracy)``.
-    """
-    data, feats, cols, max_categories = _feature_pipeline(df, label, max_categories)
-    data = data.select("label", *cols)
-    h = F.xxhash64(*[F.col(c) for c in data.columns], F.lit(seed))
-    bucket = F.pmod(h, F.lit(1000))
-    cut = int(train_fraction * 1000)
-    train = data.where(bucket < cut).persist(StorageLevel.MEMORY_AND_DISK)
-    test = data.where(bucket >= cut).persist(StorageLevel.MEMORY_AND_DISK)
-    assemble = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                seed=seed, maxBins=max(32, max_categories + 1))
-    model = rf.fit(assemble.transform(train))
-    train.unpersist()
-
-    def accuracy(d: DataFrame) -> float:
-        pred = model.transform(assemble.transform(d))
-        hit = (F.col("prediction") == F.col("label")).cast("double")
-        return float(pred.agg(F.avg(hit)).first()[0] or 0.0)
-
-    base = accuracy(test)
-    rows = [(f, base - accuracy(_permute_column(test, c, seed)), base)
-            for f, c in zip(feats, cols)]
-    test.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "vars string, MeanDecreaseAccuracy double, base_accuracy double")
+    feats = [c for c in df.columns if c != label and c not in key]
+    names = [r[0] for r in df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]  # classes
+    rank = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(label).cast("string")).cast("double") - 1 if names else F.lit(None).cast("double")
+    data = numeric_features(df, label).where(F.col(label).isNotNull()).withColumn("_label", rank).drop(label)
+    text = [f.name for f in data.schema.fields if f.name in feats and isinstance(f.dataType, T.StringType)]
+    train, test = hash_split(data, key, train_fraction, seed)
+    train, test = encode_levels(train, test, text, "_label")
+    vector = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    cast = lambda d: d.select(*key, "_label", *[F.col(c).cast("double").alias(c) for c in feats])
+    train = vector.transform(cast(train)).select("_label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
+                                       minInstancesPerNode=1, seed=seed).fit(train)
+    finally:
+        train.unpersist()
+    gini = model.featureImportances.toArray()
+
+    place = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), *[F.col(c).cast("string") for c in key]))
+    ids = row_ids(cast(test).withColumn("_order", place).drop(*key), ["_order"], "_row").drop("_order")
+    n = ids.count()
+    values = F.array(*feats)
+    rows = ids.select("_row", "_label", values.alias("_x"))
+    if n < 2:
+        versions = rows.select("_label", "_x", F.lit(-1).alias("_j"))
+    else:
+        shift = F.lit(1) + F.pmod(F.xxhash64("_j", F.lit(seed)), F.lit(n - 1))
+        moved = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1)))) \
+                    .withColumn("_from", F.pmod(F.col("_row") - 1 + shift, F.lit(n)) + 1)
+        source = rows.select(F.col("_row").alias("_source"), F.col("_x").alias("_y"))
+        moved = moved.join(source, F.col("_from") == F.col("_source")).select(
+            "_label", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_y", F.col("_j"))).otherwise(v)).alias("_x"), "_j")
+        versions = rows.select("_label", "_x", F.lit(-1).alias("_j")).union(moved)
+    scored = model.transform(versions.withColumn("features", array_to_vector("_x")))
+    acc = {r["_j"]: r["acc"] for r in scored.groupBy("_j").agg(
+        F.avg((F.col("prediction") == F.col("_label")).cast("double")).alias("acc")).collect()}  # one row a column
+    base = acc.get(-1, 0.0)
+    out = [(c, float(base - acc.get(j, base)), float(gini[j]), float(base)) for j, c in enumerate(feats)]
+    return df.sparkSession.createDataFrame(out, "vars string, MeanDecreaseAccuracy double, MeanDecreaseGini double, base_accuracy double")
+
+
+def importance_long(wide: DataFrame) -> DataFrame:
+    """The ``Mean*`` columns in long form, variables ordered by value: (vars, name, value, vars_ord)."""
+    return level_order(unpivot_matching(wide.drop("base_accuracy"), "Mean"), "value", "vars_ord")

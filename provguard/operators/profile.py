@@ -95,9 +95,6 @@ def percentiles(df: DataFrame, column: str, probs: Sequence[float],
     return wide.select(*keys, F.inline(pairs))
 
 
-def percentile_scalar(df: DataFrame, column: str, prob: float, name: str) -> DataFrame:
-    return df.agg(F.percentile(F.col(column).cast("double"), F.lit(float(prob))).alias(name))
-
 
 def median_by(df: DataFrame, keys: Sequence[str], column: str, name: str = "median",
               approx: bool = False) -> DataFrame:

@@ -1,10 +1,9 @@
 """Pivot and unpivot.
 
-Pivots take an explicit value list whenever the caller has one, which saves
-Spark's extra distinct-values job and fixes the output columns.  When the
-list must come from the data it is read with a bounded query (at most
-``max_values`` values reach the driver) and an error is raised beyond that:
-a pivot that wide belongs in long form.
+Wide pivots take an explicit value list whenever the caller has one, which saves Spark's
+distinct-values job and fixes the output columns; otherwise all values of the data become
+columns.  Codes too many for columns go into the sparse form (``sparse_agg``): one map of
+code to value for each key, with no limit on the number of codes, built from the long form.
 """
 
 from __future__ import annotations
@@ -15,33 +14,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIVOT_VALUES = 10_000
 
-
-def distinct_values(df: DataFrame, column: str | Column,
-                    max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct non-null values, refusing more than ``max_values``."""
+def distinct_values(df: DataFrame, column: str | Column) -> list:
+    """Sorted distinct non-null values (the columns of a pivot: the driver plans them all)."""
     c = F.col(column) if isinstance(column, str) else column
-    vals = (df.select(c.alias("_v")).where(F.col("_v").isNotNull()).distinct()
-            .orderBy("_v").limit(max_values + 1).collect())
-    if len(vals) > max_values:
-        raise ValueError(f"more than {max_values} pivot values; use long form")
+    vals = df.select(c.alias("_v")).where(F.col("_v").isNotNull()).distinct().orderBy("_v").collect()
     return [r["_v"] for r in vals]
 
 
-def top_values(df: DataFrame, column: str | Column, k: int,
-               weight: str | None = None) -> list:
-    """The ``k`` most frequent (or heaviest) non-null values, ties by value.
+def long_agg(df: DataFrame, keys: Sequence[str], name: str | Column, agg: Column,
+             names_to: str = "name", values_to: str = "value",
+             null_label: str = "NA") -> DataFrame:
+    """One row per key and value of ``name`` (null becomes ``null_label``), holding ``agg``."""
+    c = F.col(name) if isinstance(name, str) else name
+    return df.groupBy(*keys, F.coalesce(c.cast("string"), F.lit(null_label)).alias(names_to)).agg(agg.alias(values_to))
 
-    For pivots wider than the pivot limit: keep the top codes as columns and
-    leave the rest in long form.  At most ``k`` values reach the driver.
-    """
-    c = F.col(column) if isinstance(column, str) else column
-    agg = F.sum(weight) if weight else F.count(F.lit(1))
-    top = (df.select(c.alias("_v"), *([weight] if weight else [])).where(F.col("_v").isNotNull())
-             .groupBy("_v").agg(agg.alias("_n"))
-             .orderBy(F.col("_n").desc(), F.col("_v")).limit(k).collect())
-    return [r["_v"] for r in top]
+
+def sparse_agg(df: DataFrame, keys: Sequence[str], name: str | Column, agg: Column,
+               column: str = "features", null_label: str = "NA") -> DataFrame:
+    """One row per key with a map from each of its names to ``agg``; absent names are absent."""
+    long = long_agg(df, keys, name, agg, "_name", "_value", null_label)
+    return long.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_value")))).alias(column))
 
 
 def pivot_agg(df: DataFrame, keys: Sequence[str], pivot: str | Column,

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provguard.session import ensure_checkpoint_dir
+from provguard.session import ensure_checkpoint_dir, input_bytes
 
+RANGE_BYTES = 256 << 20  # bytes of the tables read for each range of row ids
 
 
 def ordinal(grouped: DataFrame, order: Sequence[Column], name: str = "order") -> DataFrame:
@@ -82,7 +83,8 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          input_bytes(df) // RANGE_BYTES)
     # A row hash after the order keys splits long runs of equal keys across
     # range partitions; it only orders rows the caller's keys leave tied.
     tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")

@@ -94,22 +94,48 @@ def q_statute_counts(spark, base):
 _PROVIDER_KEYS_SQL = ", ".join(PL.PROVIDER_KEYS)
 
 
-@register("provider_features", with_ctes(*EXCL_BASE, CLAIMS_CTE) + f"""
-, cc AS (
+_CC_CTE = f""", cc AS (
   SELECT {_PROVIDER_KEYS_SQL}, hcpcs_cd,
          CASE WHEN tot_benes = 0 THEN NULL ELSE tot_srvcs / tot_benes END AS srvcs_per_bene
   FROM claims
   WHERE rndrng_prvdr_mdcr_prtcptg_ind = 'Y' AND rndrng_prvdr_type = 'Internal Medicine'
-)
-SELECT m.*, CASE WHEN EXISTS (SELECT 1 FROM excl e WHERE e.npi = m.rndrng_npi)
-                 THEN 'true' ELSE 'false' END AS fraud
-FROM (PIVOT cc ON hcpcs_cd USING round(avg(srvcs_per_bene), 6)
-      GROUP BY {_PROVIDER_KEYS_SQL}) m""")
+)"""
+_MEAN_COLS = ",\n       ".join(
+    f"round(avg(srvcs_per_bene) FILTER (WHERE coalesce(hcpcs_cd, 'NA') = '{c}'), 6) AS \"{c}\"" for c in S.CLAIM_CODES)
+_FRAUD_SQL = ("CASE WHEN EXISTS (SELECT 1 FROM excl e WHERE e.npi = m.rndrng_npi)"
+              " THEN 'true' ELSE 'false' END AS fraud")
+_FEATURES_SQL = with_ctes(*EXCL_BASE, CLAIMS_CTE) + _CC_CTE + f"""
+, m AS (SELECT {_PROVIDER_KEYS_SQL},
+       {_MEAN_COLS}
+  FROM cc GROUP BY {_PROVIDER_KEYS_SQL})
+"""
+
+
+@register("provider_features", _FEATURES_SQL + f"SELECT m.*, {_FRAUD_SQL} FROM m")
 def q_provider_features(spark, base):
-    cc = PL.clean_claims(_claims(spark, base))
-    matrix = R.pivot_agg(cc, list(PL.PROVIDER_KEYS), "hcpcs_cd", r6(F.avg("srvcs_per_bene")))
-    npis = _clean(spark, base).select("npi")
-    return label_by_membership(matrix, npis, "rndrng_npi", "npi", "fraud", "true", "false")
+    out = PL.provider_features(_claims(spark, base), _clean(spark, base), S.CLAIM_CODES)
+    return out.withColumns({c: r6(f"`{c}`") for c in S.CLAIM_CODES})
+
+
+@register("provider_features_long", with_ctes(*EXCL_BASE, CLAIMS_CTE) + _CC_CTE + f"""
+, m AS (SELECT {_PROVIDER_KEYS_SQL}, coalesce(hcpcs_cd, 'NA') AS hcpcs_cd, round(avg(srvcs_per_bene), 6) AS srvcs_per_bene
+  FROM cc GROUP BY ALL)
+SELECT m.*, {_FRAUD_SQL} FROM m""")
+def q_provider_features_long(spark, base):
+    out = PL.provider_features_long(_claims(spark, base), _clean(spark, base))
+    return out.withColumn("srvcs_per_bene", r6("srvcs_per_bene"))
+
+
+@register("provider_features_sparse", with_ctes(*EXCL_BASE, CLAIMS_CTE) + _CC_CTE + f"""
+, v AS (SELECT {_PROVIDER_KEYS_SQL}, coalesce(hcpcs_cd, 'NA') AS hcpcs_cd, avg(srvcs_per_bene) AS mean FROM cc GROUP BY ALL)
+, m AS (SELECT {_PROVIDER_KEYS_SQL}, count(*) AS n_codes, round(sum(mean), 6) AS sum_means FROM v GROUP BY ALL)
+SELECT m.*, {_FRAUD_SQL} FROM m""")
+def q_provider_features_sparse(spark, base):
+    """Size and sum of each provider's sparse features."""
+    out = PL.provider_features_sparse(_claims(spark, base), _clean(spark, base))
+    total = F.aggregate(F.map_values("features"), F.lit(None).cast("double"),
+                        lambda a, x: F.coalesce(a + x, x, a))
+    return out.select(*PL.PROVIDER_KEYS, F.size("features").cast("long").alias("n_codes"), r6(total).alias("sum_means"), "fraud")
 
 
 @register("labelled_claims", with_ctes(*EXCL_BASE[:2], CLAIMS_CTE, MANDATORY_CTE) + """
@@ -222,7 +248,7 @@ def q_agency_year_compare(spark, base):
 
 
 @register("distinct_codes", with_ctes(CLAIMS_CTE) + """
-SELECT rndrng_prvdr_type, rndrng_prvdr_state_abrvtn, count(DISTINCT hcpcs_cd) AS hcpcs_billed
+SELECT rndrng_prvdr_type, rndrng_prvdr_state_abrvtn, count(DISTINCT hcpcs_cd) + CAST(bool_or(hcpcs_cd IS NULL) AS INTEGER) AS hcpcs_billed
 FROM claims
 GROUP BY 1, 2
 HAVING rndrng_prvdr_state_abrvtn IN ('CA')
@@ -285,14 +311,14 @@ def q_state_statute_matrix(spark, base):
 
 @register("specialty_statute_matrix", EXCL + f"""
 SELECT specialty,
-       {_code_cols_sql(ITEMISED, null_label=False)}
+       {_code_cols_sql(ITEMISED + ("NA",))}
 FROM excl
 WHERE {_PHYS_INDIV}
   AND NOT coalesce(specialty IN {sql_in(NON_PHYSICIAN_SPECIALTIES)}, false)
   AND specialty IS NOT NULL
 GROUP BY specialty""")
 def q_specialty_statute_matrix(spark, base):
-    return PL.specialty_statute_matrix(_clean(spark, base), ITEMISED)
+    return PL.specialty_statute_matrix(_clean(spark, base), ITEMISED + ("NA",))
 
 
 # =============================================================================
@@ -614,17 +640,13 @@ def q_identifier_rates(spark, base):
     return out.withColumns({"pct_npi": r6("pct_npi"), "pct_upin": r6("pct_upin")})
 
 
-@register("pivot_mean", with_ctes(CLAIMS_CTE) + f"""
-, cc AS (
-  SELECT {_PROVIDER_KEYS_SQL}, hcpcs_cd,
-         CASE WHEN tot_benes = 0 THEN NULL ELSE tot_srvcs / tot_benes END AS srvcs_per_bene
-  FROM claims
-  WHERE rndrng_prvdr_mdcr_prtcptg_ind = 'Y' AND rndrng_prvdr_type = 'Internal Medicine'
-)
-PIVOT cc ON hcpcs_cd USING round(avg(srvcs_per_bene), 6) GROUP BY {_PROVIDER_KEYS_SQL}""")
+@register("pivot_mean", with_ctes(CLAIMS_CTE) + _CC_CTE + f"""
+SELECT {_PROVIDER_KEYS_SQL},
+       {_MEAN_COLS}
+FROM cc GROUP BY {_PROVIDER_KEYS_SQL}""")
 def q_pivot_mean(spark, base):
-    cc = PL.clean_claims(_claims(spark, base))
-    return R.pivot_agg(cc, list(PL.PROVIDER_KEYS), "hcpcs_cd", r6(F.avg("srvcs_per_bene")))
+    out = PL.provider_matrix(PL.clean_claims(_claims(spark, base)), S.CLAIM_CODES)
+    return out.withColumns({c: r6(f"`{c}`") for c in S.CLAIM_CODES})
 
 
 _LI_NUM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -806,23 +828,22 @@ def q_level_order(spark, base):
     return W.level_order(g, "n", "n_ord", descending=True)
 
 
-_ZCODES = ITEMISED
 
 
-@register("matrix_zscore", EXCL + f"""
+@register("matrix_zscore", EXCL + """
 , cells AS (
   SELECT g.general, c.code AS excltype,
          (SELECT count(*) FROM excl e WHERE e.general IS NOT DISTINCT FROM g.general
-                                      AND e.excltype = c.code) AS value
+                                      AND coalesce(e.excltype, 'NA') = c.code) AS value
   FROM (SELECT DISTINCT general FROM excl) g,
-       (SELECT unnest({'[' + ', '.join(q(c) for c in _ZCODES) + ']'}) AS code) c
+       (SELECT DISTINCT coalesce(excltype, 'NA') AS code FROM excl) c
 )
 SELECT general, excltype, CAST(value AS BIGINT) AS value,
        round((value - avg(value) OVER (PARTITION BY excltype))
              / nullif(stddev_samp(value) OVER (PARTITION BY excltype), 0), 6) AS z
 FROM cells""")
 def q_matrix_zscore(spark, base):
-    out = PL.matrix_zscores(_clean(spark, base), "general", "excltype", _ZCODES)
+    out = PL.matrix_zscores(_clean(spark, base), "general", "excltype")
     return out.withColumn("z", r6("z"))
 
 
@@ -837,22 +858,27 @@ def q_top_k_groups(spark, base):
 # Reshape
 # =============================================================================
 
-@register("pivot_composite", with_ctes(*EXCL_BASE[:2], CLAIMS_CTE, MANDATORY_CTE) + """
+_CODE_PLACES = [f"{c}_{p}" for c in S.CLAIM_CODES[:-1] for p in S.CLAIM_PLACES]
+_SUM_COLS = ",\n       ".join(
+    f"round(sum(tot_srvcs) FILTER (WHERE hcpcs_cd || '_' || place_of_srvc = '{c}'), 6) AS \"{c}\"" for c in _CODE_PLACES)
+
+
+@register("pivot_composite", with_ctes(*EXCL_BASE[:2], CLAIMS_CTE, MANDATORY_CTE) + f"""
 , l AS (
   SELECT c.rndrng_npi, c.rndrng_prvdr_type, c.place_of_srvc, c.hcpcs_cd, c.tot_srvcs,
          CASE WHEN EXISTS (SELECT 1 FROM mandatory m WHERE m.rndrng_npi = c.rndrng_npi)
               THEN 'yes' ELSE 'no' END AS fraud
   FROM claims c
 )
-PIVOT (SELECT * FROM l WHERE rndrng_npi IS NOT NULL AND rndrng_prvdr_type IS NOT NULL
-         AND place_of_srvc IS NOT NULL AND hcpcs_cd IS NOT NULL AND tot_srvcs IS NOT NULL)
-ON hcpcs_cd, place_of_srvc USING round(sum(tot_srvcs), 6)
+SELECT rndrng_npi, rndrng_prvdr_type, fraud,
+       {_SUM_COLS}
+FROM l WHERE rndrng_npi IS NOT NULL AND rndrng_prvdr_type IS NOT NULL
+         AND place_of_srvc IS NOT NULL AND hcpcs_cd IS NOT NULL AND tot_srvcs IS NOT NULL
 GROUP BY rndrng_npi, rndrng_prvdr_type, fraud""")
 def q_pivot_composite(spark, base):
     lab = PL.labelled_claims(_claims(spark, base), C.mandatory_npis(_raw(spark, base)))
-    df = FL.drop_null(lab)
-    return R.pivot_agg(df, ["rndrng_npi", "rndrng_prvdr_type", "fraud"],
-                       R.composite_key("hcpcs_cd", "place_of_srvc"), r6(F.sum("tot_srvcs")))
+    out = PL.composite_matrix(lab, _CODE_PLACES)
+    return out.withColumns({c: r6(f"`{c}`") for c in _CODE_PLACES})
 
 
 # =============================================================================
@@ -932,7 +958,7 @@ def q_corr_matrix(spark, base):
 
 @register("hash_split", """
 SELECT o_orderkey,
-       CASE WHEN substr(md5('1099:' || CAST(o_orderkey AS VARCHAR)), 1, 2) < '80'
+       CASE WHEN substr(md5('1099:' || CAST(o_orderkey AS VARCHAR)), 1, 15) < '800000000000000'
             THEN 'training' ELSE 'test' END AS split
 FROM orders""")
 def q_hash_split(spark, base):
@@ -950,15 +976,17 @@ def q_simple_ols(spark, base):
     return M.ols_one(li, "l_extendedprice", "l_quantity")
 
 
-_OLS_SQL = """
-WITH s AS (
-  SELECT count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my,
-         var_pop(l_quantity) * count(*) AS s11, var_pop(l_discount) * count(*) AS s22,
-         covar_pop(l_quantity, l_discount) * count(*) AS s12,
-         covar_pop(l_quantity, l_extendedprice) * count(*) AS s1y,
-         covar_pop(l_discount, l_extendedprice) * count(*) AS s2y,
-         var_pop(l_extendedprice) * count(*) AS syy
-  FROM lineitem
+def _ols_ctes(source: str, y: str, x1: str, x2: str) -> str:
+    """Closed form of least squares of y on x1 and x2 over ``source``; ``e`` has the estimates."""
+    return f"""
+s AS (
+  SELECT count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+         var_pop({x1}) * count(*) AS s11, var_pop({x2}) * count(*) AS s22,
+         covar_pop({x1}, {x2}) * count(*) AS s12,
+         covar_pop({x1}, {y}) * count(*) AS s1y,
+         covar_pop({x2}, {y}) * count(*) AS s2y,
+         var_pop({y}) * count(*) AS syy
+  FROM {source}
 ), b AS (
   SELECT *, s11 * s22 - s12 * s12 AS d,
          (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
@@ -966,18 +994,21 @@ WITH s AS (
   FROM s
 ), e AS (
   SELECT *, my - b1 * m1 - b2 * m2 AS b0, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS sigma2 FROM b
-), t AS (
+)"""
+
+
+_TERMS_SQL = """, t AS (
   SELECT 'l_quantity' AS term, b1 AS estimate, sqrt(sigma2 * s22 / d) AS std_err FROM e
   UNION ALL SELECT 'l_discount', b2, sqrt(sigma2 * s11 / d) FROM e
   UNION ALL SELECT '(Intercept)', b0,
          sqrt(sigma2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)) FROM e
 )
 SELECT term, round(estimate, 3) AS estimate, round(std_err, 3) AS std_err,
-       round(estimate / std_err, 3) AS t_value
-FROM t"""
+       round(estimate / std_err, 3) AS t_value"""
+_OLS_SQL = "WITH" + _ols_ctes("lineitem", "l_extendedprice", "l_quantity", "l_discount") + _TERMS_SQL
 
 
-@register("ols_terms", _OLS_SQL)
+@register("ols_terms", _OLS_SQL + "\nFROM t")
 def q_ols_terms(spark, base):
     """Least-squares term table (M06/M07) on the whole table, closed form in SQL."""
     li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
@@ -986,51 +1017,86 @@ def q_ols_terms(spark, base):
                                   for c in ("estimate", "std_err", "t_value")])
 
 
-@register("linreg")
+_SPLIT_SQL = "substr(md5('1099:' || CAST(o_orderkey AS VARCHAR)), 1, 15) < '800000000000000'"
+
+
+@register("linreg", f"""
+WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS day FROM orders),
+train AS (SELECT * FROM o WHERE {_SPLIT_SQL}),"""
+          + _ols_ctes("train", "o_totalprice", "o_custkey", "day") + f"""
+SELECT o_orderkey, round(o_totalprice, 2) AS label, round(b0 + b1 * o_custkey + b2 * day, 2) AS prediction
+FROM o, e WHERE NOT {_SPLIT_SQL}""")
 def q_linreg(spark, base):
-    li = read_table(spark, base, "lineitem",
-                    ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount"])
-    return M.fit_linear_predict(li, "l_extendedprice ~ l_quantity + l_discount",
-                              key=["l_orderkey", "l_linenumber"], seed=1099)
+    """Fit on the hash-split training side, predict the other side; orders have a unique key."""
+    o = read_table(spark, base, "orders", ["o_orderkey", "o_totalprice", "o_custkey", "o_orderdate"])
+    o = o.select("o_orderkey", "o_totalprice", "o_custkey", F.dayofyear("o_orderdate").alias("day"))
+    out = M.fit_linear_predict(o, "o_totalprice ~ o_custkey + day", key=["o_orderkey"], seed=1099)
+    return out.select("o_orderkey", F.round("label", 2).alias("label"), F.round("prediction", 2).alias("prediction"))
 
 
-@register("glm_fit")
+@register("glm_fit", _OLS_SQL + """,
+       round((SELECT sigma2 * (n - 3) FROM e) / 1e6, 3) AS deviance,
+       round((SELECT n * (ln(2 * pi() * sigma2 * (n - 3) / n) + 1) + 2 + 6 FROM e), 3) AS aic
+FROM t""")
 def q_glm_fit(spark, base):
+    """Gaussian terms, deviance (in millions) and AIC."""
     li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
-    return M.glm_summary(li, "l_extendedprice ~ l_quantity + l_discount")
+    out = M.glm_summary(li, "l_extendedprice ~ l_quantity + l_discount")
+    return out.select("term", *[F.round(c, 3).alias(c) for c in ("estimate", "std_err", "t_value")],
+                      F.round(F.col("deviance") / 1e6, 3).alias("deviance"), F.round("aic", 3).alias("aic"))
+
+
+_MODEL_TEXT = ("rndrng_prvdr_gndr", "rndrng_prvdr_state_abrvtn", "rndrng_prvdr_ruca")
+_MODEL_TERMS_SQL = "\nUNION ALL ".join(
+    [f"SELECT '{c}_' || {c} AS term, count(*)::DOUBLE AS total, count(*) AS n_rows FROM m GROUP BY {c}" for c in _MODEL_TEXT]
+    + [f"SELECT '{c}', round(coalesce(sum(\"{c}\"), 0), 3), count(*) FROM m" for c in S.CLAIM_CODES])
 
 
-@register("formula_features")
+@register("formula_features", _FEATURES_SQL + f"""
+SELECT term, total, (SELECT count(*) FROM m) AS n_rows FROM ({_MODEL_TERMS_SQL})""")
 def q_formula_features(spark, base):
+    """Features of ``fraud ~ . - x``, added up for each term."""
     feats = q_provider_features(spark, base)
-    return M.formula_features(feats, "fraud ~ . - rndrng_prvdr_type",
-                            drop=["rndrng_npi", "rndrng_prvdr_zip5"])
+    data = M.formula_features(feats, "fraud ~ . - rndrng_prvdr_type",
+                              drop=["rndrng_npi", "rndrng_prvdr_zip5"])
+    return M.feature_sums(data)
 
 
 @register("logit_label")
 def q_logit_label(spark, base):
     feats = q_provider_features(spark, base)
     return M.fit_logistic_predict(feats, "fraud ~ . - rndrng_prvdr_type",
-                                drop=["rndrng_npi", "rndrng_prvdr_zip5"], positive="true")
+                                drop=["rndrng_npi", "rndrng_prvdr_zip5"])
+
+
+@register("logit_scores", _FEATURES_SQL + f"""
+SELECT term, true AS balanced FROM ({_MODEL_TERMS_SQL}) UNION ALL SELECT '(Intercept)', true""")
+def q_logit_scores(spark, base):
+    """Score equations of the logistic fit: the weighted residuals of every term sum to zero."""
+    feats = q_provider_features(spark, base)
+    out = M.logistic_scores(feats, "fraud ~ . - rndrng_prvdr_type",
+                            ["rndrng_npi", "rndrng_prvdr_type", "rndrng_prvdr_zip5"])
+    return out.select("term", (F.abs("score") < 0.01).alias("balanced"))
 
 
 def _physician_model_frame(spark, base):
     ps = PL.physician_subset(_clean(spark, base))
-    df = FL.drop_null(ps.drop("identifier"))
+    df = FL.drop_null(ps)
     return df.withColumn("npi_or_upin", F.when(F.col("npi_or_upin") == 1, "present")
                          .otherwise("missing"))
 
 
 @register("forest_importance")
 def q_forest_importance(spark, base):
+    """Both importances of one forest in long form."""
     df = _physician_model_frame(spark, base)
-    return M.forest_importance(df, "npi_or_upin", seed=1099)
+    return M.importance_long(M.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099))
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, base):
     df = _physician_model_frame(spark, base)
-    return M.permutation_importance(df, "npi_or_upin", seed=1099)
+    return M.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099)
 
 
 def queries() -> dict[str, Query]:

@@ -94,7 +94,7 @@ CLAIMS_CTE = f"""claims AS (
     lpad(CAST((s.s_suppkey * 37) % 100000 AS VARCHAR), 5, '0') AS rndrng_prvdr_zip5,
     CAST(s.s_suppkey % 10 + 1 AS VARCHAR) AS rndrng_prvdr_ruca,
     CASE WHEN s.s_suppkey % 13 = 0 THEN 'N' ELSE 'Y' END AS rndrng_prvdr_mdcr_prtcptg_ind,
-    p.p_brand AS hcpcs_cd,
+    CASE WHEN l.l_partkey % 41 <> 7 THEN p.p_brand END AS hcpcs_cd,
     l.l_returnflag AS place_of_srvc,
     CAST(l.l_quantity AS DOUBLE) AS tot_srvcs,
     CAST(l.l_linenumber % 7 AS BIGINT) AS tot_benes,

@@ -54,29 +54,38 @@ def clean_claims(claims: DataFrame, provider_type: str = "Internal Medicine") ->
               .drop("tot_srvcs", "tot_benes"))
 
 
-def provider_matrix(clean: DataFrame, codes: Sequence[str] | None = None,
-                    top: int | None = None) -> DataFrame:
-    """One row per provider, mean services per beneficiary per code.
+def provider_matrix(clean: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
+    """One row per provider, mean services per beneficiary per code; no code is the column ``NA``.
 
-    ``codes`` fixes the columns; ``top`` keeps the most frequent codes when
-    the full code list is wider than a pivot should be.
-    """
-    if codes is None and top is not None:
-        codes = R.top_values(clean, "hcpcs_cd", top)
+    ``codes`` fixes the columns (name ``NA`` too if lines without a code count)."""
     return R.pivot_agg(clean, list(PROVIDER_KEYS), "hcpcs_cd",
-                       F.avg("srvcs_per_bene"), values=codes)
+                       F.avg("srvcs_per_bene"), values=codes, null_label="NA")
+
+
+def _label_excluded(providers: DataFrame, excluded: DataFrame, label: str) -> DataFrame:
+    npis = excluded.select("npi").where(F.col("npi") != F.lit("NA"))
+    return label_by_membership(providers, npis, "rndrng_npi", "npi", label, "true", "false")
 
 
 def provider_features(claims: DataFrame, excluded: DataFrame, codes: Sequence[str] | None = None,
-                      provider_type: str = "Internal Medicine", label: str = "fraud",
-                      top: int | None = None) -> DataFrame:
-    """Provider matrix labelled ``true`` when the NPI is on the exclusion list.
+                      provider_type: str = "Internal Medicine", label: str = "fraud") -> DataFrame:
+    """Provider matrix labelled ``true`` when the NPI is on the exclusion list."""
+    return _label_excluded(provider_matrix(clean_claims(claims, provider_type), codes), excluded, label)
+
+
+def provider_features_long(claims: DataFrame, excluded: DataFrame, provider_type: str = "Internal Medicine",
+                           label: str = "fraud") -> DataFrame:
+    """The same features in long form, one row per provider and code, for any number of codes."""
+    long = R.long_agg(clean_claims(claims, provider_type), list(PROVIDER_KEYS), "hcpcs_cd",
+                      F.avg("srvcs_per_bene"), "hcpcs_cd", "srvcs_per_bene")
+    return _label_excluded(long, excluded, label)
 
-    ``codes`` / ``top`` choose the code columns (see ``provider_matrix``).
-    """
-    matrix = provider_matrix(clean_claims(claims, provider_type), codes, top)
-    npis = excluded.select("npi").where(F.col("npi") != F.lit("NA"))
-    return label_by_membership(matrix, npis, "rndrng_npi", "npi", label, "true", "false")
+
+def provider_features_sparse(claims: DataFrame, excluded: DataFrame, provider_type: str = "Internal Medicine",
+                             label: str = "fraud") -> DataFrame:
+    """One row per provider with a map of code to mean, for any number of codes."""
+    sparse = R.sparse_agg(clean_claims(claims, provider_type), list(PROVIDER_KEYS), "hcpcs_cd", F.avg("srvcs_per_bene"))
+    return _label_excluded(sparse, excluded, label)
 
 
 # --- X03 labelled claim lines ---------------------------------------------------
@@ -186,7 +195,7 @@ def agency_year_compare(clean: DataFrame, state_totals: dict[str, DataFrame]) ->
 def distinct_codes(claims: DataFrame, state: str = "CA", top: int = 25) -> DataFrame:
     """Distinct procedure codes per provider type in one state, top ``top``."""
     g = A.count_distinct_by(claims, ["rndrng_prvdr_type", "rndrng_prvdr_state_abrvtn"],
-                            "hcpcs_cd", "hcpcs_billed")
+                            "hcpcs_cd", "hcpcs_billed", include_null=True)
     g = g.where(F.col("rndrng_prvdr_state_abrvtn").isin(state))
     return g.orderBy(F.col("hcpcs_billed").desc(), F.col("rndrng_prvdr_type")).limit(top)
 
@@ -226,18 +235,21 @@ def lumped_statutes_by_year(clean: DataFrame, n: int = 5) -> DataFrame:
 
 
 def specialty_statute_matrix(clean: DataFrame, statutes: Sequence[str]) -> DataFrame:
-    """Physician specialty x statute counts, zeros filled (heat map input)."""
+    """Physician specialty x statute counts, zeros filled; a null statute is the column ``NA``."""
     df = (clean.where(F.col("type") == "Individual")
                .where(F.col("general").isin(list(PHYSICIAN_GENERALS)))
                .where(not_in_keep_null("specialty", NON_PHYSICIAN_SPECIALTIES))
                .where(F.col("specialty").isNotNull()))
-    return R.pivot_count(df, ["specialty"], "excltype", statutes, fill=0)
+    return R.pivot_count(df, ["specialty"], "excltype", statutes, fill=0, null_label="NA")
+
 
+def matrix_zscores(clean: DataFrame, row: str, col: str) -> DataFrame:
+    """Count matrix in long form (zeros included), z-scored per column.
 
-def matrix_zscores(clean: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Count matrix in long form (zeros included), z-scored per column."""
-    wide = R.pivot_count(clean, [row], col, values, fill=0)
-    long = R.unpivot(wide, [row], [str(v) for v in values], col, "value")
+    Every value of ``col`` in the data is a column; null is the column ``NA``."""
+    names = R.distinct_values(clean, F.coalesce(F.col(col), F.lit("NA")))
+    wide = R.pivot_count(clean, [row], col, names, fill=0, null_label="NA")
+    long = R.unpivot(wide, [row], names, col, "value")
     return W.zscore_by(long, [col], "value", "z")
 
 

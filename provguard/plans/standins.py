@@ -48,6 +48,9 @@ EXCLTYPE_CYCLE = (
     "1128b8", "1128b14", "1128a4", "1128a3", "1128a2", "1128b9", "1128b10", "1128a1",
     "1128b4",
 )
+# Part brands stand for procedure codes (lines of some parts have none), return flags for places.
+CLAIM_CODES = tuple(f"Brand#{k}" for k in range(1, 26)) + ("NA",)
+CLAIM_PLACES = ("A", "N", "R")
 PROVIDER_TYPES = ("Internal Medicine", "Family Practice", "Cardiology", "Nurse Practitioner")
 
 # The stand-in list runs 1995-01 to 2001-08: keep full years only.
@@ -135,7 +138,7 @@ def claims(spark: SparkSession, base: str, year: int | None = None) -> DataFrame
         _s((sk % 10) + 1).alias("rndrng_prvdr_ruca"),
         F.when((sk % 13) == 0, F.lit("N")).otherwise(F.lit("Y"))
          .alias("rndrng_prvdr_mdcr_prtcptg_ind"),
-        F.col("p_brand").alias("hcpcs_cd"),
+        F.when((F.col("l_partkey") % 41) != 7, F.col("p_brand")).alias("hcpcs_cd"),
         F.col("l_returnflag").alias("place_of_srvc"),
         F.col("l_quantity").cast("double").alias("tot_srvcs"),
         (F.col("l_linenumber") % 7).cast("long").alias("tot_benes"),

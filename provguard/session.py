@@ -7,11 +7,12 @@ shared ``spark.checkpoint.dir`` rather than a machine-local folder.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings we rely on; applied only when the session does not set them.
 DEFAULTS = {
@@ -43,20 +44,50 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder of the session.
+
+    Only a local session may go without the setting; it gets a temporary folder.  On a
+    cluster each executor would write to its own disk, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="provguard-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # static on some deployments; the context dir is enough
-            pass
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _LOCAL_DIRS.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="provguard-ckpt-")
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = path
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "provguard-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique location under the shared checkpoint folder, removed when the driver ends.
+
+    It cannot go earlier: frames that read it may still be evaluated."""
+    if not _SCRATCH:
+        atexit.register(remove_scratch)
+    path = os.path.join(ensure_checkpoint_dir(spark), "provguard-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch() -> None:
+    """Delete this driver's scratch folders, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    while _SCRATCH and spark is not None and spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of a frame (from file sizes and the plan; no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a frame reads, by Spark's estimates (no job runs)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))

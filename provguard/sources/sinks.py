@@ -48,9 +48,3 @@ def materialise(df: DataFrame, view: str | None = None,
     if view:
         out.createOrReplaceTempView(view)
     return out
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

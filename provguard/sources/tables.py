@@ -23,10 +23,3 @@ def read_table(spark: SparkSession, base: str, name: str,
     """Read one Parquet table; a column list is pruned at the scan."""
     df = spark.read.parquet(table_path(base, name))
     return df.select(*columns) if columns else df
-
-
-def register_tables(spark: SparkSession, base: str,
-                    names: Sequence[str] = DRIVER_TABLES) -> None:
-    """Expose tables as temp views for SQL (named table registration)."""
-    for n in names:
-        read_table(spark, base, n).createOrReplaceTempView(n)

@@ -66,7 +66,20 @@ def test_matches_duckdb(spark, duck, key):
     assert _rows(df.columns, srows) == _rows(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("key", ROW_KEYS)
-def test_rows_only_keys_run(spark, key):
-    df = entry.queries()[key](spark, SF_SMALL)
-    assert df.count() >= 0
+def test_rows_only_keys_are_the_models(spark):
+    """Keys without SQL: forests, the logistic predictions, and those of the llm tests."""
+    assert {k for k in ROW_KEYS if k != "pipeline" and not k.startswith("op")} == {
+        "forest_importance", "permutation_importance", "logit_label"}
+
+
+def test_logit_label_rows(spark):
+    got = entry.queries()["logit_label"](spark, SF_SMALL).collect()
+    npis = {r.rndrng_npi for r in entry.queries()["provider_features"](spark, SF_SMALL).collect()}
+    assert {r.rndrng_npi for r in got} == npis
+    assert all(0 <= r.p_positive <= 1 and r.prediction == (r.p_positive > 0.5) for r in got)
+
+
+def test_forest_rows(spark):
+    wide = entry.queries()["permutation_importance"](spark, SF_SMALL).collect()
+    assert {r.vars for r in wide} == {"specialty", "dob", "city", "state", "zip", "excltype", "excldate", "age_at_excl"}
+    assert abs(sum(r.MeanDecreaseGini for r in wide) - 1) < 1e-6
