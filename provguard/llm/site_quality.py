@@ -59,14 +59,21 @@ def slot(x: str) -> int:
     return zlib.crc32(x.encode()) & ((1 << BITS) - 1)
 
 
-def fit(labelled: DataFrame, sample_rows: int = 40_000, least_g: float = 30.0,
-        least_share: float = 0.02, least_weight: float = 2.0) -> dict[str, np.ndarray]:
-    """Weights by task from (doc_id, text, quality, toxic) rows: an array of slots and their log odds."""
+def sample_labels(labels: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` labelled ids, chosen by md5; all of them if there are no more."""
+    total = labels.count()
+    if total <= sample_rows:
+        return labels
+    share = int(sample_rows / total * (1 << 28))
+    return labels.where(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("long") < share)
+
+
+def fit(labelled: DataFrame, least_g: float = 30.0, least_share: float = 0.02, least_weight: float = 2.0) -> dict[str, np.ndarray]:
+    """Weights by task from (doc_id, text, quality, toxic) rows: an array of slots and their log odds.
+
+    Counts are screened in Spark; only the features that pass reach the driver, and few can:
+    a feature needs ``least_share`` of the texts' information about the label."""
     rows = checked_columns(labelled, ["doc_id", "text", *TASKS])
-    total = rows.count()
-    if total > sample_rows:
-        share = int(sample_rows / total * (1 << 28))
-        rows = rows.where(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("long") < share)
 
     def count(batches):
         c = np.zeros((len(TASKS), 2, (1 << BITS) + 1), np.int64)  # the last slot counts texts
@@ -78,28 +85,28 @@ def fit(labelled: DataFrame, sample_rows: int = 40_000, least_g: float = 30.0,
                     if labels[t][i] in (0, 1):
                         c[t, labels[t][i], f] += 1
         for t in range(len(TASKS)):
-            for y in (0, 1):
-                at = np.flatnonzero(c[t, y])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * t + y, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[t, y, at])],
-                                                 names=["task", "slot", "n"])
-
-    got = map_arrow(rows, count, "task int, slot int, n long").groupBy("task", "slot").agg(F.sum("n").alias("n")).toPandas()
-    c = np.zeros((2 * len(TASKS), (1 << BITS) + 1))  # at most 4 * 2**BITS counts
-    c[got.task, got.slot] = got.n
+            at = np.flatnonzero(c[t].sum(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[t, 1, at]), pa.array(c[t, 0, at])],
+                                             names=["task", "slot", "a", "b"])
+
+    counts = map_arrow(rows, count, "task int, slot int, a long, b long").groupBy("task", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = write_scratch(counts, "feature-counts")
+    texts = {r.task: (r.a, r.b) for r in counts.where(F.col("slot") == 1 << BITS).collect()}  # a row for each task
     out = {}
     for t, name in enumerate(TASKS):
-        n0, n1 = c[2 * t, -1], c[2 * t + 1, -1]
-        a, b = c[2 * t + 1, :-1], c[2 * t, :-1]
+        n1, n0 = texts.get(t, (0, 0))
         if not n0 or not n1:
             out[name] = np.zeros((2, 0))
             continue
-        share = (a + b) / (n0 + n1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = sum(np.where(k > 0, k * np.log(k / np.maximum(n * s, 1e-12)), 0)
-                    for k, n, s in ((a, n1, share), (n1 - a, n1, 1 - share), (b, n0, share), (n0 - b, n0, 1 - share))) * 2
-        weight = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        keep = np.flatnonzero((g > max(least_g, least_share * (n0 + n1))) & (np.abs(weight) >= least_weight))
-        out[name] = np.array([keep, weight[keep]])
+        share = (F.col("a") + F.col("b")) / F.lit(n0 + n1)
+        part = lambda k, n, s: F.when(k > 0, k * F.log(k / (F.lit(n) * s))).otherwise(0.0)
+        g = 2 * (part(F.col("a"), n1, share) + part(F.lit(n1) - F.col("a"), n1, 1 - share)
+                 + part(F.col("b"), n0, share) + part(F.lit(n0) - F.col("b"), n0, 1 - share))
+        weight = F.log((F.col("a") + 0.5) / F.lit(n1 + 1)) - F.log((F.col("b") + 0.5) / F.lit(n0 + 1))
+        got = (counts.where((F.col("task") == t) & (F.col("slot") < 1 << BITS))
+               .select("slot", g.alias("g"), weight.alias("w"))
+               .where((F.col("g") > max(least_g, least_share * (n0 + n1))) & (F.abs("w") >= least_weight)).orderBy("slot").collect())
+        out[name] = np.array([[r.slot for r in got], [r.w for r in got]], float).reshape(2, -1)
     return out
 
 
@@ -161,8 +168,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     """(doc_id, host, path, e_*, site_* , p_quality, p_toxic, kept) of every row."""
     docs = checked_columns(docs, list(dict.fromkeys(["doc_id", "text", *columns_of(docs, host, path)])))
     y = checked_columns(labels, ["doc_id", *TASKS]).where("doc_id is not null").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TASKS])
-    train = docs.select("doc_id", "text").join(y, "doc_id")
-    weights = fit(train, sample_rows)
+    picked = sample_labels(y, sample_rows).withColumnRenamed("doc_id", "label_id")
+    # At most about sample_rows rows of three numbers: a bounded broadcast.
+    weights = fit(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).drop("label_id"))
     base = y.agg(*[((F.sum(F.col(t)) + 0.5) / (F.count(t) + 1)).alias(t) for t in TASKS]).first()
     scored = evidence(docs, weights, host, path)
     for t in TASKS:
