@@ -3,8 +3,8 @@
 1. Document evidence: a naive Bayes classifier over hashed presence features (words,
    symbol runs, layout marks) gives log odds for "good" and for "toxic".  Only features
    whose counts differ between the classes beyond chance (a G statistic, also against the
-   number of texts, so that families of copies do not pass) and by much (the log odds) get
-   a weight; words of a language that one class merely favours do not.
+   number of texts, so that families of copies do not pass) and by much (the log odds)
+   towards the bad class get a weight; words that one class merely favours do not.
    It is fitted on a bounded sample of labelled rows (``sample_rows``).
 2. Site posteriors: each document's probability is added up by path and host (grouped
    aggregation with partial sums, so a hot host is one row a task).  A path's rate is
@@ -32,12 +32,15 @@ from .common import checked_columns, map_arrow, read_table, write_scratch
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 18
-STEMS = (5,)  # word beginnings count as features: inflected and compound words share them
+# Least G statistic for each labelled text: layout marks of poor texts are few and telling,
+# toxic words many and each rare.
+LEAST_SHARE = {"quality": 0.02, "toxic": 0.008}
 TASKS = ("quality", "toxic")
+ALARM = {"quality": -1, "toxic": 1}  # the side that features speak for: low quality, toxic
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct feature slots of a text: lower-case words, their beginnings, symbol runs, layout marks."""
+    """Distinct feature slots of a text: lower-case words, symbol runs, layout marks."""
     if not text:
         return np.zeros(0, np.int64)
     tokens = TOKEN.findall(text)
@@ -45,7 +48,6 @@ def features(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     found = {t.lower() for t in tokens}
     words = [t for t in tokens if t[0].isalnum()]
-    found |= {f"^{w[:k]}" for w in list(found) for k in STEMS if len(w) > k}
     n = max(1, len(words))
     found.add(f"\0upper{int(10 * sum(map(str.isupper, words)) / n)}")
     found.add(f"\0symbols{int(10 * (len(tokens) - len(words)) / len(tokens))}")
@@ -68,7 +70,7 @@ def sample_labels(labels: DataFrame, sample_rows: int) -> DataFrame:
     return labels.where(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("long") < share)
 
 
-def fit(labelled: DataFrame, least_g: float = 30.0, least_share: float = 0.02, least_weight: float = 2.0) -> dict[str, np.ndarray]:
+def fit(labelled: DataFrame, least_g: float = 30.0, least_share: dict[str, float] = LEAST_SHARE, least_weight: float = 2.0) -> dict[str, np.ndarray]:
     """Weights by task from (doc_id, text, quality, toxic) rows: an array of slots and their log odds.
 
     Counts are screened in Spark; only the features that pass reach the driver, and few can:
@@ -105,7 +107,7 @@ def fit(labelled: DataFrame, least_g: float = 30.0, least_share: float = 0.02, l
         weight = F.log((F.col("a") + 0.5) / F.lit(n1 + 1)) - F.log((F.col("b") + 0.5) / F.lit(n0 + 1))
         got = (counts.where((F.col("task") == t) & (F.col("slot") < 1 << BITS))
                .select("slot", g.alias("g"), weight.alias("w"))
-               .where((F.col("g") > max(least_g, least_share * (n0 + n1))) & (F.abs("w") >= least_weight)).orderBy("slot").collect())
+               .where((F.col("g") > max(least_g, least_share[name] * (n0 + n1))) & (F.col("w") * ALARM[name] >= least_weight)).orderBy("slot").collect())
         out[name] = np.array([[r.slot for r in got], [r.w for r in got]], float).reshape(2, -1)
     return out
 
@@ -164,8 +166,10 @@ def site_posteriors(scored: DataFrame, task: str) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 40_000,
-             least_quality: float = 0.5, most_toxic: float = 0.8) -> DataFrame:
-    """(doc_id, host, path, e_*, site_* , p_quality, p_toxic, kept) of every row."""
+             least_quality: float = 0.05, most_toxic: float = 0.99) -> DataFrame:
+    """(doc_id, host, path, e_*, site_* , p_quality, p_toxic, kept) of every row.
+
+    The limits ask for more than one weak sign before a document goes."""
     docs = checked_columns(docs, list(dict.fromkeys(["doc_id", "text", *columns_of(docs, host, path)])))
     y = checked_columns(labels, ["doc_id", *TASKS]).where("doc_id is not null").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TASKS])
     picked = sample_labels(y, sample_rows).withColumnRenamed("doc_id", "label_id")
