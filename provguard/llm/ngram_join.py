@@ -9,7 +9,7 @@ leave the prefix, and with them most documents.
 Sets with equal prefixes and size form a group.  The index from shingle to groups is probed
 by pivots: documents that are compared with every group which shares a prefix shingle, after
 the size and position filters; the groups that remain are expanded and their members
-verified on their whole sets.  A pivot is then done with.  Rounds go on, with twice the
+verified on their whole sets.  A pivot is then done with.  Rounds go on, with 16 times the
 pivots of the last for each shingle, until the documents left under every shingle belong
 to one component.  So a large group of near copies costs a few times its size, not its
 square, as long as its members hang together; members that share prefixes but do
@@ -220,17 +220,20 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def links_between(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFrame:
-    """Links (a, b) between different sets: enough of them for exact components."""
-    spark = sets.sparkSession
+def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 2) -> DataFrame:
+    """(doc_id, label) of different sets: the smallest doc_id that links reach.
+
+    After each round the new links are contracted to links between labels, so a round's
+    work on components follows its own links only."""
     sets = sets.where("prefix is not null and doc_id is not null")
     members = sets.select("doc_id", "size", "lead", F.xxhash64("size", "lead", "prefix").alias("group"), "prefix")
     groups = members.dropDuplicates(["group"]).select("group", "size", "lead", F.posexplode("prefix").alias("pos", "token"))
-    index = groups.select("token", "group", "size", (F.col("lead") + F.col("pos")).alias("at"))
+    # A shared shingle has at most ``before`` shared ones before it and ``after`` from it on.
+    index = groups.select("token", "group", "size", F.col("pos").alias("before"),
+                          (F.col("size") - F.col("lead") - F.col("pos")).alias("after"))
     index = write_scratch(index, "index")
     members = write_scratch(members.select("doc_id", "size", "lead", "group"), "members")
     state = members.select("doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("done"))
-    found = None
     while True:
         state = write_scratch(state, "state")
         # Shingles under which documents of more than one component are left.
@@ -240,7 +243,7 @@ def links_between(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataF
                  .groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select(F.col("token").alias("t")))
         open_ = write_scratch(open_, "open")
         if not open_.limit(1).collect():
-            break
+            return state.select("doc_id", "label")
         # Pivots: under each such shingle the first documents by (lead, id) of what is left.
         under = (index.join(open_, F.col("token") == F.col("t"), "left_semi").select("token", F.col("group").alias("g"))
                  .join(left.select("doc_id", "lead", "group"), F.col("g") == F.col("group")).select("token", "doc_id", "lead"))
@@ -253,13 +256,15 @@ def links_between(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataF
         # Probe: groups that share a prefix shingle with a pivot, by first shared places.
         own = (members.join(pivot.withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p"))
                .select("p", F.col("group").alias("p_group"), F.col("size").alias("p_size")))
-        probe = (own.join(index.select("token", F.col("group").alias("i_group"), F.col("at").alias("p_at")), F.col("p_group") == F.col("i_group"))
-                 .select("p", "p_size", "token", "p_at"))
-        hits = (probe.withColumnRenamed("token", "t").join(index, F.col("t") == F.col("token"))
-                .where((F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num))
-                .groupBy("p", "group", "p_size", "size").agg(F.min("p_at").alias("i"), F.min("at").alias("j")))
+        probe = (own.join(index.withColumnsRenamed({"group": "i_group", "before": "p_before", "after": "p_after"}).drop("size"),
+                          F.col("p_group") == F.col("i_group"))
+                 .select("p", "p_size", F.col("token").alias("t"), "p_before", "p_after"))
         need = F.ceil((F.col("p_size") + F.col("size")) * num / (num + den))
-        hits = hits.where(F.least(F.col("p_size") - F.col("i"), F.col("size") - F.col("j")) >= need).select("p", F.col("group").alias("h_group"))
+        hits = (probe.join(index, (F.col("t") == F.col("token"))
+                           & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
+                           & (F.least("p_before", "before") + F.least("p_after", "after") >= need))
+                .groupBy("p", "group", "p_size", "size").agg(F.max("p_after").alias("i"), F.max("after").alias("j")))
+        hits = hits.where(F.least("i", "j") >= need).select("p", F.col("group").alias("h_group"))  # from the first shared one on
         # Expand to members that are left, in another component; two pivots meet once.
         label = state.select(F.col("doc_id").alias("l_doc"), F.col("label").alias("p_label"))
         target = left.select("doc_id", "group", "label").join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("also")), F.col("doc_id") == F.col("q"), "left")
@@ -268,22 +273,25 @@ def links_between(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataF
                  .where((F.col("p_label") != F.col("label")) & (F.col("also").isNull() | (F.col("p") < F.col("doc_id"))))
                  .select(F.col("p").alias("a"), F.col("doc_id").alias("b")))
         new = write_scratch(verify(pairs, sets, num, den), "verified")
-        found = new if found is None else write_scratch(found.union(new), "found")
-        label = components(found).withColumnsRenamed({"v": "c", "label": "c_label"})
-        state = (state.join(label, F.col("doc_id") == F.col("c"), "left")
-                 .join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("now")), F.col("doc_id") == F.col("q"), "left")
-                 .select("doc_id", F.coalesce("c_label", "label").alias("label"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
-        pivots *= 2
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+        merged = state
+        if new.limit(1).collect():
+            of = lambda c: state.select(F.col("doc_id").alias(f"{c}_doc"), F.col("label").alias(f"{c}_label"))
+            between = (new.join(of("a"), F.col("a") == F.col("a_doc")).join(of("b"), F.col("b") == F.col("b_doc"))
+                       .select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+            label = components(between).withColumnsRenamed({"v": "c", "label": "c_label"})
+            merged = (state.join(label, F.col("label") == F.col("c"), "left")
+                      .select("doc_id", F.coalesce("c_label", "label").alias("label"), "done"))
+        state = (merged.join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("now")), F.col("doc_id") == F.col("q"), "left")
+                 .select("doc_id", "label", (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        pivots *= 16
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     sets = prefix_sets(docs, n, num, den, chunk_bytes)
-    links = links_between(sets, num, den)
     same = (sets.where("size > 0 and doc_id is not null").groupBy("sig1", "sig2", "size").agg(F.min("doc_id").alias("rep"))
             .withColumnsRenamed({"sig1": "r1", "sig2": "r2", "size": "r_size"}))
-    reached = components(links)
+    reached = linked_sets(sets, num, den).withColumnRenamed("doc_id", "v")
     out = (sets.select("doc_id", "size", "sig1", "sig2")
            .join(same, (F.col("sig1") == F.col("r1")) & (F.col("sig2") == F.col("r2")) & (F.col("size") == F.col("r_size")), "left")
            .join(reached, F.col("rep") == F.col("v"), "left"))
