@@ -1,20 +1,20 @@
 """Column profile, describe, percentiles, box-plot statistics, correlation.
 
-Each profile is ONE wide aggregation over the table (a single scan, partial
-aggregation per partition), then a small unpivot of the one result row.
-Exact percentiles keep a value-to-count map per group, which is compact for
-low-cardinality measures (ages, quantities); ``approx=True`` switches to
-``percentile_approx`` (bounded memory) for continuous measures on huge groups.
+Means and missing counts are ONE wide aggregation over the table.  Distinct counts melt the
+table into (column, value) pairs, two columns wide, and count in two steps.  Exact
+percentiles count (group, value) pairs, sort them by range over all tasks, add the counts
+up and pick the two values around each rank: no group's values meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provguard.operators.windows import sorted_parts
 
 
 def _kind(dt: T.DataType) -> str:
@@ -27,43 +27,56 @@ def _kind(dt: T.DataType) -> str:
     return "character"
 
 
-def profile_columns(df: DataFrame, approx: bool = False, digits: int | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, approx: bool = False, digits: int | None = None,
+                    factors: Sequence[str] = ()) -> DataFrame:
     """Per column: type, missing count, complete rate, numeric mean, distinct counts.
 
     Columns: ``skim_variable, skim_type, n_missing, complete_rate,
-    numeric_mean, date_n_unique, character_n_unique``.
+    numeric_mean, date_n_unique, character_n_unique``.  ``factors`` names text columns that
+    are factors: they have a type of their own and no character count.
     """
     fields = df.schema.fields
+    kinds = ["factor" if f.name in factors else _kind(f.dataType) for f in fields]
+    counted = [i for i, k in enumerate(kinds) if k in ("Date", "character")]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
         aggs.append(F.count_if(c.isNull()).alias(f"m{i}"))
-        kind = _kind(f.dataType)
-        if kind == "numeric":
+        if kinds[i] == "numeric":
             aggs.append(F.avg(c).cast("double").alias(f"a{i}"))
-        elif kind in ("Date", "character"):
-            d = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-            aggs.append(d.cast("long").alias(f"u{i}"))
+        elif approx and i in counted:
+            aggs.append(F.approx_count_distinct(c).cast("long").alias(f"u{i}"))
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(fields):
-        kind = _kind(f.dataType)
-        mean = F.col(f"a{i}") if kind == "numeric" else F.lit(None).cast("double")
-        dn = F.col(f"u{i}") if kind == "Date" else F.lit(None).cast("long")
-        cn = F.col(f"u{i}") if kind == "character" else F.lit(None).cast("long")
+        mean = F.col(f"a{i}") if kinds[i] == "numeric" else F.lit(None).cast("double")
         rows.append(F.struct(
-            F.lit(f.name).alias("skim_variable"), F.lit(kind).alias("skim_type"),
+            F.lit(i).alias("_i"), F.lit(f.name).alias("skim_variable"), F.lit(kinds[i]).alias("skim_type"),
             F.col(f"m{i}").cast("long").alias("n_missing"),
             (F.lit(1.0) - F.col(f"m{i}") / F.col("_rows")).alias("complete_rate"),
-            mean.alias("numeric_mean"), dn.alias("date_n_unique"),
-            cn.alias("character_n_unique")))
+            mean.alias("numeric_mean"),
+            (F.col(f"u{i}") if approx and i in counted else F.lit(None).cast("long")).alias("_u")))
     out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if counted and not approx:
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_c"), F.col(fields[i].name).cast("string").alias("_v")) for i in counted])).alias("p")).select("p.*")
+        unique = pairs.where(F.col("_v").isNotNull()).distinct().groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+        out = out.join(unique, F.col("_i") == F.col("_c"), "left").withColumn("_u", F.coalesce("_n", F.when(F.col("_i").isin(counted), 0)))
+    is_date = F.col("skim_type") == "Date"
+    out = out.select("skim_variable", "skim_type", "n_missing", "complete_rate", "numeric_mean",
+                     F.when(is_date, F.col("_u")).alias("date_n_unique"), F.when(~is_date, F.col("_u")).alias("character_n_unique"))
     if digits is not None:
         out = out.withColumns({c: F.round(c, digits)
                                for c in ("complete_rate", "numeric_mean")})
     return out
 
 
+def completion_table(profile: DataFrame, digits: int = 3) -> DataFrame:
+    """The profile as a report: most complete columns first, rates and means rounded."""
+    out = profile.withColumns({c: F.round(c, digits) for c in ("complete_rate", "numeric_mean")})
+    return out.orderBy(F.col("complete_rate").desc(), "skim_variable")
+
+
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Typed describe: ``column, count, mean, stddev, min, max`` per numeric column."""
     cols = columns or [f.name for f in df.schema.fields
@@ -82,50 +95,90 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(*keys, _v, _c): how often each group has each non-null value."""
+    x = F.col(column).cast("double")
+    return df.where(x.isNotNull()).groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def exact_percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(*keys, n, q0, q1, ...): percentiles with linear interpolation from value counts.
+
+    The counts are sorted by (keys, value) over range partitions; each part's sum for a group
+    gives the parts after it their start, a running sum inside the part finishes the ranks,
+    and only the rows around the wanted ranks go on."""
+    keys = list(keys)
+    parts = sorted_parts(counts, [*keys, "_v"])
+    by_part = parts.groupBy("_pid", *keys).agg(F.sum("_c").alias("_size"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    by_part = by_part.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_key_{k}") for k in keys],
+                             (F.sum("_size").over(w.orderBy("_pid")) - F.col("_size")).alias("_start"),
+                             F.sum("_size").over(w).alias("n"))
+    same = F.col("_pid") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    inside = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (parts.withColumn("_upto", F.sum("_c").over(inside)).join(by_part, same)
+              .withColumn("_last", F.col("_start") + F.col("_upto") - 1)
+              .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+    aggs = []
+    near = F.lit(False)
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (F.col("_first") <= rank) & (rank <= F.col("_last"))
+            near = near | hit
+            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}{i}"))
+    picked = ranked.where(near).groupBy(*keys, "n").agg(*aggs)
+    out = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        part = at - F.floor(at)
+        out.append((F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part).alias(f"q{i}"))
+    return picked.select(*keys, "n", *out)
+
+
 def percentiles(df: DataFrame, column: str, probs: Sequence[float],
                 keys: Sequence[str] = (), approx: bool = False,
                 accuracy: int = 10000) -> DataFrame:
     """Percentiles as rows ``(*keys, p, value)`` (linear interpolation when exact)."""
-    x = F.col(column).cast("double")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = (F.percentile_approx(x, arr, accuracy) if approx else F.percentile(x, arr))
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    wide = g.agg(agg.alias("_vals"))
+    if approx:
+        wide = df.groupBy(*keys).agg(F.percentile_approx(F.col(column).cast("double"), arr, accuracy).alias("_vals"))
+    else:
+        wide = exact_percentiles(value_counts(df, keys, column), keys, probs).select(
+            *keys, F.array(*[f"q{i}" for i in range(len(probs))]).alias("_vals"))
     pairs = F.arrays_zip(arr.alias("p"), F.col("_vals").alias("value"))
     return wide.select(*keys, F.inline(pairs))
 
 
-
 def median_by(df: DataFrame, keys: Sequence[str], column: str, name: str = "median",
               approx: bool = False) -> DataFrame:
-    x = F.col(column).cast("double")
-    agg = F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
-    return df.groupBy(*keys).agg(agg.alias(name))
-
-
-def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float = 1.5,
-                  approx: bool = False) -> DataFrame:
+    """Median of each group; null for a group without values."""
+    if approx:
+        return df.groupBy(*keys).agg(F.percentile_approx(F.col(column).cast("double"), 0.5, 10000).alias(name))
+    med = exact_percentiles(value_counts(df, keys, column), keys, [0.5])
+    med = med.select(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("q0").alias(name))
+    groups = df.select(*keys).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    return groups.join(med, same, "left").select(*keys, name)
+
+
+def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str, coef: float = 1.5) -> DataFrame:
     """Five-number summary with whiskers and outlier count per group.
 
     Whiskers are the most extreme values within ``coef`` IQRs of the box.
     The rows are first reduced to ``(group, value, count)`` (map-side partial
-    aggregation, one shuffle): a hot group shrinks to its distinct values.
-    Quartiles (weighted by the counts) and whiskers are then computed from
-    that small table, joined to its own per-group fences.
+    aggregation); quartiles, whiskers and outliers are computed from that table.
     """
     if not keys:
         one = df.withColumn("_all", F.lit(1))
-        return boxplot_stats(one, ["_all"], column, coef, approx).drop("_all")
-    x = F.col(column).cast("double")
-    vc = (df.where(x.isNotNull()).groupBy(*keys, x.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qa = (F.percentile_approx(F.col("_v"), q, 10000) if approx
-          else F.percentile(F.col("_v"), q, F.col("_c")))
-    stats = (vc.groupBy(*keys)
-             .agg(qa.alias("_q"), F.sum("_c").alias("n"))
-             .select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3")))
+        return boxplot_stats(one, ["_all"], column, coef).drop("_all")
+    vc = value_counts(df, keys, column)
+    stats = (exact_percentiles(vc, keys, [0.25, 0.5, 0.75])
+             .select(*keys, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")))
     stats = stats.withColumns({
         "iqr": F.col("q3") - F.col("q1"),
         "lower_fence": F.col("q1") - F.lit(coef) * (F.col("q3") - F.col("q1")),

@@ -31,25 +31,18 @@ def level_order(grouped: DataFrame, by: str, name: str | None = None,
     return grouped.withColumn(name or f"{by}_ord", rank)
 
 
-def top_levels(df: DataFrame, column: str, n: int, weight: str | None = None) -> DataFrame:
-    """Levels whose count rank (ties take the lowest rank) is within ``n``."""
-    agg = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(agg.alias("_n"))
-    ranked = counts.withColumn("_rank", F.rank().over(Window.orderBy(F.col("_n").desc())))
-    return ranked
-
-
 def lump_top_n(df: DataFrame, column: str, n: int, other: str = "Other",
                name: str | None = None) -> DataFrame:
     """Keep the ``n`` most frequent levels, others become ``other``; null stays null.
 
-    Ranks are taken over all rows of ``df`` (before any later filter).  If
-    at most one level would be lumped, nothing is lumped.
+    Counts are taken over all rows of ``df`` (before any later filter); ties at the n-th
+    count all stay.  If at most one level would be lumped, nothing is lumped.
     """
-    ranked = top_levels(df, column, n)
-    lumped_levels = ranked.where(F.col("_rank") > n)
-    n_lumped = lumped_levels.agg(F.count(F.lit(1))).scalar()
-    keep = (ranked.where((F.col("_rank") <= n) | (n_lumped <= 1))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.col("_n").desc()).limit(n)  # planned as take-ordered
+    least = top.agg(F.min("_n")).scalar()
+    n_lumped = counts.agg(F.count_if(F.col("_n") < least)).scalar()
+    keep = (counts.where((F.col("_n") >= least) | (n_lumped <= 1))
             .select(F.col(column).alias("_lvl"), F.lit(True).alias("_keep")))
     # One row per kept level; adaptive execution broadcasts it at run time.
     out = df.join(keep, df[column] == keep["_lvl"], "left")
@@ -67,34 +60,32 @@ def zscore_by(df: DataFrame, partition: Sequence[str], value: str,
     return df.withColumn(name, F.try_divide(v - F.avg(v).over(w), sd))
 
 
+def sorted_parts(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, with ``_pid`` and ``_mono`` fixed.
+
+    Range boundaries are sampled per job, so the tagged rows are written once with a
+    reliable checkpoint (shared checkpoint folder): all later passes see the same
+    partitions, and a lost executor cannot renumber rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          input_bytes(df) // RANGE_BYTES)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return ranged.withColumns({"_pid": F.spark_partition_id(),
+                               "_mono": F.monotonically_increasing_id()}).checkpoint(eager=True)
+
+
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
             partitions: int | None = None) -> DataFrame:
     """Sequential ids 1..n in the order of ``order``, computed in parallel.
 
-    Rows are range-partitioned and sorted by ``order``; each partition's
-    size is counted (one row per partition), turned into a running offset,
-    and broadcast back.  The id is offset + position within the partition.
-
-    Range boundaries are sampled per job, so the tagged rows are written once
-    with a reliable checkpoint (shared checkpoint folder) before they are
-    counted and numbered: both passes then see the same partitions, and a
-    lost executor cannot renumber rows on recomputation.  Give a total order
-    (unique key, or all columns) for a deterministic result.
+    Each sorted part's size is counted (one row per partition), turned into a running
+    offset, and broadcast back.  The id is offset + position within the partition.  Give a
+    total order (unique key, or all columns) for a deterministic result.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          input_bytes(df) // RANGE_BYTES)
     # A row hash after the order keys splits long runs of equal keys across
     # range partitions; it only orders rows the caller's keys leave tied.
-    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
-    keyed = df.withColumn("_tie", tie)
-    sort_cols = [*order, "_tie"]
-    ranged = keyed.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    tagged = ranged.withColumns({
-        "_pid": F.spark_partition_id(),
-        "_mono": F.monotonically_increasing_id(),
-    }).checkpoint(eager=True)
+    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    tagged = sorted_parts(keyed, [*order, "_tie"], partitions)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_pid",

@@ -33,6 +33,7 @@ from provguard.plans.oracle import (CLAIMS_CTE, EXCL_BASE, EXCL_RAW_CTE, EXCL_TO
                                     MANDATORY_CTE, STATUTE_CTE, q, sql_in, with_ctes)
 from provguard.sources import csv as CSV
 from provguard.sources import sinks
+from provguard.session import scratch_path
 from provguard.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,19 +207,14 @@ def q_state_share_vs_rate(spark, base):
     return out.withColumns({"pct_npi": r6("pct_npi"), "pct_excl": r6("pct_excl")})
 
 
-_FED_SQL = """SELECT '{st}' AS state, 'cms_oig' AS agency,
-         CAST(date_trunc('year', excldate) AS DATE) AS year, count(*) AS n
-  FROM excl WHERE state = '{st}' GROUP BY 3"""
-
-
 @register("agency_year_compare", EXCL + f"""
 , ca AS (
   SELECT CAST(try_strptime(CASE WHEN l_orderkey % 50 = 0 THEN NULL
                                 ELSE strftime(l_shipdate, '%-m/%-d/%Y') END, '%m/%d/%Y') AS DATE) AS d
-  FROM lineitem WHERE l_returnflag = 'R'
+  FROM lineitem
 ), ny AS (
   SELECT CAST(try_strptime(strftime(o_orderdate, '%-m/%-d/%Y'), '%m/%d/%Y') AS DATE) AS d
-  FROM orders WHERE o_orderstatus = 'O'
+  FROM orders WHERE o_orderstatus <> 'F'
 ), tx AS (
   SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F'
 )
@@ -230,9 +226,9 @@ UNION ALL
 SELECT 'NY', 'ny_omig', CAST(date_trunc('year', d) AS DATE), count(*) FROM ny GROUP BY 3
 UNION ALL
 SELECT 'TX', 'tx_oig', CAST(date_trunc('year', d) AS DATE), count(*) FROM tx GROUP BY 3
-UNION ALL {_FED_SQL.format(st='CA')}
-UNION ALL {_FED_SQL.format(st='NY')}
-UNION ALL {_FED_SQL.format(st='TX')}""")
+UNION ALL
+SELECT state, 'cms_oig', CAST(date_trunc('year', excldate) AS DATE), count(*)
+FROM excl WHERE state IN ('CA', 'NY', 'TX') GROUP BY 1, 3""")
 def q_agency_year_compare(spark, base):
     ca = CSV.repair_headers(S.state_list_ca(spark, base), "snake")
     ca = ca.withColumnsRenamed({"a_k_a_also_known_as_d_b_a_doing_business_as": "dba"})
@@ -353,7 +349,7 @@ MESSY_LINEITEM = {
 @register("clean_headers", """
 SELECT l_orderkey AS l_order_key, l_partkey AS l_part_key, l_suppkey AS l_suppkey,
        l_linenumber AS line_number, l_quantity AS quantity,
-       l_extendedprice AS extended_price, l_discount AS discount, l_tax AS tax,
+       l_extendedprice AS extended_price, l_discount AS discount_percent, l_tax AS tax,
        l_returnflag AS return_flag, l_linestatus AS line_status, l_shipdate AS ship_date
 FROM lineitem""")
 def q_clean_headers(spark, base):
@@ -362,13 +358,51 @@ def q_clean_headers(spark, base):
     return CSV.repair_headers(messy, "snake")
 
 
-@register("stack_years", with_ctes(CLAIMS_CTE) + """
-SELECT *, 2001 AS claim_year FROM claims WHERE year = 2001
-UNION ALL SELECT *, 2000 AS claim_year FROM claims WHERE year = 2000
-UNION ALL SELECT *, 1999 AS claim_year FROM claims WHERE year = 1999""")
+@register("stack_years", with_ctes(CLAIMS_CTE) + "SELECT *, year AS claim_year FROM claims WHERE year IS NOT NULL")
 def q_stack_years(spark, base):
-    frames = {y: S.claims(spark, base, year=y) for y in (2001, 2000, 1999)}
-    return CSV.stack_frames(frames, "claim_year")
+    """One pushed ship-date range for each year present, stacked by name."""
+    first, last = read_table(spark, base, "lineitem", ["l_shipdate"]).agg(
+        F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
+    if first is None:
+        return _claims(spark, base).withColumn("claim_year", F.col("year"))
+    return CSV.stack_frames({y: S.claims(spark, base, year=y) for y in range(first, last + 1)}, "claim_year")
+
+
+# Types by name, as in a named map of columns; the rest of the study's 29 columns have no stand-in.
+CLAIM_TYPES = {
+    "rndrng_npi": "character", "rndrng_prvdr_type": "character", "rndrng_prvdr_gndr": "character",
+    "rndrng_prvdr_state_abrvtn": "character", "rndrng_prvdr_zip5": "character", "rndrng_prvdr_ruca": "character",
+    "rndrng_prvdr_mdcr_prtcptg_ind": "character", "hcpcs_cd": "character", "place_of_srvc": "character",
+    "tot_srvcs": "numeric", "tot_benes": "integer", "year": "integer",
+}
+
+
+@register("scan_claims_map", with_ctes(CLAIMS_CTE) + "SELECT * REPLACE (CAST(year AS BIGINT) AS year) FROM claims")
+def q_scan_claims_map(spark, base):
+    """Claims as CSV, scanned with types from a named map and kept in memory."""
+    path = sinks.write_csv(_claims(spark, base), scratch_path(spark, "claims-csv"))
+    return CSV.read_csv(spark, path, schema=CSV.schema_from_map(CLAIM_TYPES), persist=True)
+
+
+@register("scan_inferred", with_ctes(CLAIMS_CTE) + """
+SELECT CAST(rndrng_npi AS INTEGER) AS rndrng_npi, rndrng_prvdr_type, hcpcs_cd, tot_srvcs,
+       CAST(tot_benes AS INTEGER) AS tot_benes, year FROM claims""")
+def q_scan_inferred(spark, base):
+    """Claims as CSV, scanned with inferred types: keys and whole numbers turn into integers."""
+    path = sinks.write_csv(_claims(spark, base).select(
+        "rndrng_npi", "rndrng_prvdr_type", "hcpcs_cd", "tot_srvcs", "tot_benes", "year"), scratch_path(spark, "claims-csv"))
+    return CSV.read_csv(spark, path, infer=True)
+
+
+@register("scan_year_files", with_ctes(CLAIMS_CTE) + """
+SELECT rndrng_npi, place_of_srvc, tot_srvcs, year AS file_year FROM claims WHERE year IS NOT NULL""")
+def q_scan_year_files(spark, base):
+    """A folder of claims for each year, read in one scan, the year from the folder's name."""
+    claims = _claims(spark, base).where(F.col("year").isNotNull()).select("rndrng_npi", "place_of_srvc", "tot_srvcs", "year")
+    path = scratch_path(spark, "claims-2013-by-year")
+    claims.write.option("header", True).partitionBy("year").csv(path)
+    return CSV.read_year_files(spark, [f"{path}/*"], CSV.schema_from_codes("ccd", ["rndrng_npi", "place_of_srvc", "tot_srvcs"]),
+                               year_col="file_year", named="folder")
 
 
 @register("sql_view", with_ctes(CLAIMS_CTE) + """
@@ -756,10 +790,10 @@ def _profile_sql() -> str:
              ("general", "c"), ("specialty", "c"), ("upin", "c"), ("npi", "c"),
              ("dob", "D"), ("address", "c"), ("city", "c"), ("state", "c"), ("zip", "c"),
              ("excltype", "c"), ("excldate", "D"), ("reindate", "c"), ("waiverdate", "c"),
-             ("wvrstate", "c"), ("type", "c"), ("exclusion", "c"), ("age_at_excl", "n")]
+             ("wvrstate", "c"), ("type", "f"), ("exclusion", "c"), ("age_at_excl", "n")]
     parts = []
     for name, k in kinds:
-        kind = {"c": "character", "D": "Date", "n": "numeric"}[k]
+        kind = {"c": "character", "D": "Date", "n": "numeric", "f": "factor"}[k]
         mean = f"round(avg({name}), 6)" if k == "n" else "CAST(NULL AS DOUBLE)"
         dn = f"count(DISTINCT {name})" if k == "D" else "CAST(NULL AS BIGINT)"
         cn = f"count(DISTINCT {name})" if k == "c" else "CAST(NULL AS BIGINT)"
@@ -773,7 +807,14 @@ def _profile_sql() -> str:
 
 @register("profile_columns", _profile_sql())
 def q_profile_columns(spark, base):
-    return P.profile_columns(_clean(spark, base), digits=6)
+    return P.profile_columns(_clean(spark, base), digits=6, factors=["type"])
+
+
+@register("completion_table", EXCL + "SELECT * REPLACE (round(complete_rate, 3) AS complete_rate, round(numeric_mean, 3) AS numeric_mean)\nFROM ("
+          + _profile_sql()[len(EXCL):] + ")\nORDER BY complete_rate DESC, skim_variable")
+def q_completion_table(spark, base):
+    """Completion rates of the list's columns, most complete first."""
+    return P.completion_table(P.profile_columns(_clean(spark, base), factors=["type"]))
 
 
 @register("describe_cols", "\nUNION ALL\n".join(

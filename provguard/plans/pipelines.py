@@ -173,21 +173,19 @@ def missing_by_state_year(clean: DataFrame, states: Sequence[str] = STATE_ABB) -
 
 # --- X09 federal against state lists --------------------------------------------
 
-def federal_years(clean: DataFrame, state: str, agency: str = "cms_oig") -> DataFrame:
-    return (A.count_by_year(clean.where(F.col("state") == state), "excldate")
+def federal_years(clean: DataFrame, states: Sequence[str], agency: str = "cms_oig") -> DataFrame:
+    """Federal totals of several states by year, in one pass."""
+    return (A.count_by_year(clean.where(F.col("state").isin(list(states))), "excldate", ["state"])
             .withColumn("agency", F.lit(agency)))
 
 
 def agency_year_compare(clean: DataFrame, state_totals: dict[str, DataFrame]) -> DataFrame:
     """Stack each state's yearly totals with the federal totals for that state."""
-    frames = []
+    columns = ["state", "agency", "year", "n"]
+    out = federal_years(clean, list(state_totals)).select(*columns)
     for st, tot in state_totals.items():
-        frames.append(tot.withColumn("state", F.lit(st)))
-        frames.append(federal_years(clean, st).withColumn("state", F.lit(st)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select("state", "agency", "year", "n")
+        out = out.unionByName(tot.withColumn("state", F.lit(st)).select(*columns))
+    return out
 
 
 # --- X10 code variety --------------------------------------------------------

@@ -11,7 +11,7 @@ are written independently in SQL in ``provguard.plans.oracle``.
 * claims          <- lineitem x part x supplier: the supplier is the
   rendering provider, the part brand the procedure code, the return flag
   the place of service.
-* state lists     <- lineitem / orders filtered by flag or status.
+* state lists     <- lineitem (CA), finished orders (TX), all other orders (NY).
 """
 
 from __future__ import annotations
@@ -156,8 +156,8 @@ def statute_lookup(spark: SparkSession) -> DataFrame:
 
 def state_list_ca(spark: SparkSession, base: str) -> DataFrame:
     """California list: text dates ``M/d/yyyy``, ``N/A`` for missing."""
-    li = read_table(spark, base, "lineitem", ["l_orderkey", "l_returnflag", "l_shipdate"])
-    return li.where(F.col("l_returnflag") == "R").select(
+    li = read_table(spark, base, "lineitem", ["l_orderkey", "l_shipdate"])
+    return li.select(
         F.when((F.col("l_orderkey") % 50) == 0, F.lit("N/A"))
          .otherwise(F.date_format(F.col("l_shipdate").cast("date"), "M/d/yyyy"))
          .alias("Date of Suspension"),
@@ -169,7 +169,7 @@ def state_list_ca(spark: SparkSession, base: str) -> DataFrame:
 def state_list_ny(spark: SparkSession, base: str) -> DataFrame:
     """New York list: text dates ``M/d/yyyy``."""
     o = read_table(spark, base, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])
-    return o.where(F.col("o_orderstatus") == "O").select(
+    return o.where(F.col("o_orderstatus") != "F").select(
         F.col("o_orderkey").alias("provider_id"),
         F.date_format(F.col("o_orderdate").cast("date"), "M/d/yyyy")
          .alias("exclusion_effective_date"))

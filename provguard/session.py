@@ -87,7 +87,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+UNKNOWN_BYTES = 1 << 62  # Spark gives the largest number to inputs of unknown size
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a frame reads, by Spark's estimates (no job runs)."""
+    """Bytes of the tables a frame reads, by Spark's estimates (no job runs); 0 where unknown."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)

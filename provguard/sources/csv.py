@@ -7,6 +7,7 @@ the input and changes with the data.  ``infer=True`` exists for exploration.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +57,14 @@ def _simple_type(name: str) -> T.DataType:
 # --- header repair -----------------------------------------------------------
 
 def snake_name(name: str) -> str:
-    """``make_clean_names``-style: split camel case, non-alphanumerics to ``_``."""
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    """A name in snake case by the rules of R's ``make_clean_names``.
+
+    Quote marks vanish, ``%`` and ``#`` become words, accents fall away, camel case is
+    split, everything else that is no letter or digit parts words."""
+    s = re.sub(r"['\"\u2018\u2019]", "", name.strip())
+    s = s.replace("%", "_percent_").replace("#", "_number_")
+    s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
+    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
     s = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", s)
     s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
     if not s:
@@ -67,20 +74,19 @@ def snake_name(name: str) -> str:
     return s
 
 
-def repair_headers(df: DataFrame, style: str = "lower") -> DataFrame:
-    """Rename every column: ``lower`` case, or ``snake`` case.
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Give repeats the suffixes ``_2``, ``_3`` ... until all names differ."""
+    names = list(names)
+    while len(set(names)) < len(names):
+        counts = [names[:i + 1].count(n) for i, n in enumerate(names)]
+        names = [n if k == 1 else f"{n}_{k}" for n, k in zip(names, counts)]
+    return names
 
-    Repeated names after repair get ``_2``, ``_3`` ... suffixes.
-    """
+
+def repair_headers(df: DataFrame, style: str = "lower") -> DataFrame:
+    """Rename every column: ``lower`` case, or ``snake`` case, all names distinct."""
     fn = str.lower if style == "lower" else snake_name
-    seen: dict[str, int] = {}
-    names = []
-    for c in df.columns:
-        n = fn(c)
-        k = seen.get(n, 0) + 1
-        seen[n] = k
-        names.append(n if k == 1 else f"{n}_{k}")
-    return df.toDF(*names)
+    return df.toDF(*unique_names([fn(c) for c in df.columns]))
 
 
 # --- null tokens -------------------------------------------------------------
@@ -142,24 +148,27 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str],
 
 def read_year_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
                     year_pattern: str = r"(\d{4})", year_col: str = "year",
-                    **kwargs) -> DataFrame:
-    """Read several yearly files as one table, with the year taken from the path.
+                    named: str = "file", **kwargs) -> DataFrame:
+    """Read several yearly files as one table, with the year taken from the file name.
 
-    One scan over all files (not one scan per year stacked by union); the
-    year comes from the hidden ``_metadata.file_path`` column.
+    One scan over all files (not one scan per year stacked by union).  The year is the
+    last match of ``year_pattern`` in the file's name, or in its folder's name
+    (``named="folder"``, for folders that Spark wrote); null without a match.
     """
     df = read_csv(spark, list(paths), schema=schema, **kwargs)
-    year = F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1)
-    return df.withColumn(year_col, year.try_cast("int"))
+    name = F.col("_metadata.file_name") if named == "file" else \
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    found = F.regexp_extract_all(name, F.lit(year_pattern), F.lit(1))
+    return df.withColumn(year_col, F.try_element_at(found, F.lit(-1)).try_cast("int"))
 
 
 def read_gzip_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
                   partitions: int | None = None, **kwargs) -> DataFrame:
-    """Read gzip-compressed CSV.  Gzip is not splittable (one task per file),
-    so the rows are spread by a round-robin repartition before heavy work."""
+    """Read gzip-compressed CSV.  Gzip is not splittable (one task per file), so fewer files
+    than cores are spread by a round-robin repartition before heavy work."""
     df = read_csv(spark, paths, schema=schema, **kwargs)
     n = partitions or spark.sparkContext.defaultParallelism
-    return df.repartition(n)
+    return df.repartition(n) if partitions or len(df.inputFiles()) < n else df
 
 
 def stack_frames(frames: Mapping[int, DataFrame] | Sequence[DataFrame],

@@ -220,6 +220,29 @@ def test_percentiles_and_boxplot(spark):
     assert bx0.n_outliers == 1
 
 
+def test_exact_percentiles_over_many_parts(spark):
+    """Groups of different sizes, a hot group over several range parts, nulls, any probability."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, n in (("hot", 4000), ("b", 37), (None, 5), ("one", 1)) for v in np.round(rng.normal(size=n), 2 if g == "b" else 6)]
+    df = spark.createDataFrame([*rows, ("hot", None), ("empty", None)], "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {(r.g, r.p): r.value for r in P.percentiles(df, "v", probs, ["g"]).collect()}
+    for g in ("hot", "b", None, "one"):
+        want = np.quantile([v for k, v in rows if k == g], probs)
+        assert all(math.isclose(got[g, p], w, abs_tol=1e-9) for p, w in zip(probs, want))
+    med = {r.g: r.m for r in P.median_by(df, ["g"], "v", "m").collect()}
+    assert med["empty"] is None and math.isclose(med["hot"], got["hot", 0.5])
+
+
+def test_factor_profile_and_report(people):
+    prof = P.profile_columns(people, factors=["state"])
+    row = {r.skim_variable: r for r in prof.collect()}["state"]
+    assert row.skim_type == "factor" and row.character_n_unique is None and row.n_missing == 1
+    rates = [r.complete_rate for r in P.completion_table(prof).collect()]
+    assert rates == sorted(rates, reverse=True) and all(round(r, 3) == r for r in rates)
+
+
 def test_corr_long(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, None), (3.0, 6.5, 1.0),
                                 (4.0, 8.0, 0.0)], "a double, b double, c double")

@@ -21,6 +21,11 @@ def test_snake_names():
     assert CSV.snake_name("Date of Suspension") == "date_of_suspension"
     assert CSV.snake_name("A.K.A.(also known as)") == "a_k_a_also_known_as"
     assert CSV.snake_name("Rndrng_NPI") == "rndrng_npi"
+    assert CSV.snake_name("discount%") == "discount_percent"
+    assert CSV.snake_name("# of claims") == "number_of_claims"
+    assert CSV.snake_name("Provider's Name") == "providers_name"
+    assert CSV.snake_name("Café 2") == "cafe_2"
+    assert CSV.unique_names(["a_b", "a_b", "a_b_2"]) == ["a_b", "a_b_2", "a_b_2_2"]
 
 
 def test_repair_headers_dedupes(spark):
@@ -51,9 +56,26 @@ def test_year_files_one_scan(spark, tmp_base):
         sinks.write_csv(spark.createDataFrame([(str(y), 1.0)] * (y - 2018), "npi string, v double"), p)
         paths.append(p)
     st = CSV.schema_from_codes("cd", ["npi", "v"])
-    df = CSV.read_year_files(spark, paths, st, r"claims_(\d{4})")
+    df = CSV.read_year_files(spark, paths, st, r"claims_(\d{4})", named="folder")
     got = {r.year: r.n for r in df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {2019: 1, 2020: 2, 2021: 3}
+    folder = os.path.join(tmp_base, "2023-08-dump")
+    os.makedirs(folder)
+    for y, n in ((2020, 1), (2021, 2)):  # the year is in the file's name, not the folder's
+        with open(os.path.join(folder, f"Medicare_9999_{y}.csv"), "w") as f:
+            f.write("npi,v\n" + "1,2.0\n" * n)
+    df = CSV.read_year_files(spark, [folder], st)
+    assert {r.year: r["count"] for r in df.groupBy("year").count().collect()} == {2020: 1, 2021: 2}
+
+
+def test_typed_map_persist_and_inferred_scan(spark, tmp_base):
+    p = os.path.join(tmp_base, "typed")
+    sinks.write_csv(spark.createDataFrame([("007", 1, 1.5, None), ("8", 2, None, "x")], "npi string, n int, v double, t string"), p)
+    typed = CSV.read_csv(spark, p, schema=CSV.schema_from_map({"npi": "character", "n": "integer", "v": "numeric", "t": "character"}), persist=True)
+    assert typed.is_cached and sorted(map(tuple, typed.collect()), key=str) == [("007", 1, 1.5, None), ("8", 2, None, "x")]
+    typed.unpersist()
+    guessed = CSV.read_csv(spark, p, infer=True)
+    assert [t for _, t in guessed.dtypes] == ["int", "int", "double", "string"]
 
 
 def test_gzip_and_stack(spark, tmp_base):
