@@ -161,8 +161,9 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
 
 def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100,
                  tol: float = 1e-6):
-    """Weighted logistic regression on the label: (rows with features, weight, model).
+    """Weighted logistic regression on the label: (rows with features and weight, model).
 
+    Labels of one class only leave nothing to fit: the model is None.
     ``max_iter`` is MLlib's default of 100; a fit that stops there has not converged and
     raises an error."""
     data = fill_numeric_nulls(df)
@@ -171,6 +172,9 @@ def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter
     prepared = class_weights(rf.fit(data).transform(data).where(F.col("label").isNotNull()))
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # a pass per iteration
     try:
+        low, high = prepared.agg(F.min("label"), F.max("label")).first()
+        if low == high:
+            return prepared, None
         model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                    maxIter=max_iter, tol=tol).fit(prepared)
         if model.summary.totalIterations >= max_iter:
@@ -180,23 +184,30 @@ def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter
     return prepared, model
 
 
+def predict_logistic(prepared: DataFrame, model) -> DataFrame:
+    """``prediction`` and ``p_positive`` of every row; without a model both are the only label."""
+    if model is None:
+        return prepared.withColumns({"prediction": F.col("label"), "p_positive": F.col("label")})
+    return model.transform(prepared).withColumn("p_positive", vector_to_array("probability")[1])
+
+
 def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
                          key: str = "rndrng_npi", max_iter: int = 100) -> DataFrame:
     """Weighted logistic regression on the label; per-row positive probability."""
     prepared, model = fit_logistic(df, formula, [key, *drop], max_iter)
-    pred = model.transform(prepared)
-    return pred.select(key, "label", "prediction",
-                       vector_to_array("probability")[1].alias("p_positive"))
+    return predict_logistic(prepared, model).select(key, "label", "prediction", "p_positive")
 
 
 def logistic_scores(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100) -> DataFrame:
-    """(term, score): weighted sums of residual times feature, zero for a fit without penalty."""
+    """(term, score, scale): weighted sums of residual times feature, zero for a fit without
+    penalty but for its tolerance; ``scale`` is the weighted sum of the feature's sizes."""
     prepared, model = fit_logistic(df, formula, drop, max_iter)
     names = [*_terms(prepared), "(Intercept)"]
     table = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(i), F.lit(t))])
-    residual = F.col("weight") * (F.col("label") - vector_to_array("probability")[1])
-    rows = model.transform(prepared).select(residual.alias("_r"), F.posexplode(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).alias("_i", "_x"))
-    return rows.groupBy("_i").agg(F.sum(F.col("_r") * F.col("_x")).alias("score")).select(table[F.col("_i")].alias("term"), "score")
+    residual = F.col("weight") * (F.col("label") - F.col("p_positive"))
+    rows = predict_logistic(prepared, model).select(residual.alias("_r"), "weight", F.posexplode(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).alias("_i", "_x"))
+    return (rows.groupBy("_i").agg(F.sum(F.col("_r") * F.col("_x")).alias("score"), F.sum(F.col("weight") * F.abs("_x")).alias("scale"))
+            .select(table[F.col("_i")].alias("term"), "score", "scale"))
 
 
 # --- forests ------------------------------------------------------------------

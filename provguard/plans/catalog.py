@@ -1089,7 +1089,7 @@ def q_glm_fit(spark, base):
 
 _MODEL_TEXT = ("rndrng_prvdr_gndr", "rndrng_prvdr_state_abrvtn", "rndrng_prvdr_ruca")
 _MODEL_TERMS_SQL = "\nUNION ALL ".join(
-    [f"SELECT '{c}_' || {c} AS term, count(*)::DOUBLE AS total, count(*) AS n_rows FROM m GROUP BY {c}" for c in _MODEL_TEXT]
+    [f"SELECT '{c}_' || {c} AS term, count(*)::DOUBLE AS total, count(*) AS n_rows FROM m WHERE {c} IS NOT NULL GROUP BY {c}" for c in _MODEL_TEXT]
     + [f"SELECT '{c}', round(coalesce(sum(\"{c}\"), 0), 3), count(*) FROM m" for c in S.CLAIM_CODES])
 
 
@@ -1117,7 +1117,7 @@ def q_logit_scores(spark, base):
     feats = q_provider_features(spark, base)
     out = M.logistic_scores(feats, "fraud ~ . - rndrng_prvdr_type",
                             ["rndrng_npi", "rndrng_prvdr_type", "rndrng_prvdr_zip5"])
-    return out.select("term", (F.abs("score") < 0.01).alias("balanced"))
+    return out.select("term", (F.abs("score") <= 0.01 * F.col("scale")).alias("balanced"))
 
 
 def _physician_model_frame(spark, base):
