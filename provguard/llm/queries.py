@@ -6,10 +6,10 @@ from .decontaminate import op3_decontaminate
 from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .mixing import OP5_SQL, op5_mix_sources
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality_rules import op1_quality_rules
 from .site_quality import op10_site_quality
-from .substring_dedup import op7_substring_dedup
+from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 from .token_count import op9_token_counts
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_site_quality": op10_site_quality,
 }
 
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL}
+ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_substring_dedup": OP7_SQL}

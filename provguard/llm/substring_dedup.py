@@ -180,3 +180,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i
+      FROM (SELECT doc_id, list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) AS s FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN m USING (s) WHERE m.first < doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept
+      FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN c USING (doc_id, j) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
