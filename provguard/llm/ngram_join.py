@@ -220,7 +220,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 2) -> DataFrame:
+def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 1) -> DataFrame:
     """(doc_id, label) of different sets: the smallest doc_id that links reach.
 
     After each round the new links are contracted to links between labels, so a round's
@@ -239,13 +239,14 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 2) -> DataFra
         # Shingles under which documents of more than one component are left.
         left = members.join(state.where("not done").withColumnsRenamed({"doc_id": "s_doc"}), F.col("doc_id") == F.col("s_doc")).drop("s_doc")
         by_group = left.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        open_ = (index.join(by_group.withColumnRenamed("group", "g"), F.col("group") == F.col("g"))
-                 .groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select(F.col("token").alias("t")))
-        open_ = write_scratch(open_, "open")
-        if not open_.limit(1).collect():
+        live = index.join(by_group.withColumnRenamed("group", "g"), F.col("group") == F.col("g")).drop("g")
+        span = live.groupBy("token").agg(F.min("low").alias("t_low"), F.max("high").alias("t_high"))
+        open_ = span.where("t_low <> t_high").select(F.col("token").alias("t"))
+        live = write_scratch(live.join(open_, F.col("token") == F.col("t"), "left_semi"), "open")
+        if not live.limit(1).collect():
             return state.select("doc_id", "label")
         # Pivots: under each such shingle the first documents by (lead, id) of what is left.
-        under = (index.join(open_, F.col("token") == F.col("t"), "left_semi").select("token", F.col("group").alias("g"))
+        under = (live.select("token", F.col("group").alias("g"))
                  .join(left.select("doc_id", "lead", "group"), F.col("g") == F.col("group")).select("token", "doc_id", "lead"))
         chosen = under
         for salt in (64, 1):  # first by part of the shingle's documents, so none is gathered whole
@@ -253,23 +254,21 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 2) -> DataFra
             chosen = (chosen.withColumn("n", F.row_number().over(Window.partitionBy("token", part).orderBy("lead", "doc_id")))
                       .where(F.col("n") <= pivots).drop("n"))
         pivot = write_scratch(chosen.select("doc_id").distinct(), "pivots")
-        # Probe: groups that share a prefix shingle with a pivot, by first shared places.
-        own = (members.join(pivot.withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p"))
-               .select("p", F.col("group").alias("p_group"), F.col("size").alias("p_size")))
-        probe = (own.join(index.withColumnsRenamed({"group": "i_group", "before": "p_before", "after": "p_after"}).drop("size"),
+        # Probe: groups that share a prefix shingle with a pivot and hold another component, by first shared places.
+        own = (left.join(pivot.withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p"))
+               .select("p", F.col("group").alias("p_group"), F.col("size").alias("p_size"), F.col("label").alias("p_label")))
+        probe = (own.join(live.select(F.col("token").alias("t"), F.col("group").alias("i_group"), F.col("before").alias("p_before"), F.col("after").alias("p_after")),
                           F.col("p_group") == F.col("i_group"))
-                 .select("p", "p_size", F.col("token").alias("t"), "p_before", "p_after"))
+                 .select("p", "p_size", "p_label", "t", "p_before", "p_after"))
         need = F.ceil((F.col("p_size") + F.col("size")) * num / (num + den))
-        hits = (probe.join(index, (F.col("t") == F.col("token"))
+        hits = (probe.join(live, (F.col("t") == F.col("token")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label")))
                            & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
                            & (F.least("p_before", "before") + F.least("p_after", "after") >= need))
-                .groupBy("p", "group", "p_size", "size").agg(F.max("p_after").alias("i"), F.max("after").alias("j")))
-        hits = hits.where(F.least("i", "j") >= need).select("p", F.col("group").alias("h_group"))  # from the first shared one on
+                .groupBy("p", "p_label", "group", "p_size", "size").agg(F.max("p_after").alias("i"), F.max("after").alias("j")))
+        hits = hits.where(F.least("i", "j") >= need).select("p", "p_label", F.col("group").alias("h_group"))  # from the first shared one on
         # Expand to members that are left, in another component; two pivots meet once.
-        label = state.select(F.col("doc_id").alias("l_doc"), F.col("label").alias("p_label"))
         target = left.select("doc_id", "group", "label").join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("also")), F.col("doc_id") == F.col("q"), "left")
-        pairs = (hits.join(label, F.col("p") == F.col("l_doc"))
-                 .join(target, F.col("h_group") == F.col("group"))
+        pairs = (hits.join(target, F.col("h_group") == F.col("group"))
                  .where((F.col("p_label") != F.col("label")) & (F.col("also").isNull() | (F.col("p") < F.col("doc_id"))))
                  .select(F.col("p").alias("a"), F.col("doc_id").alias("b")))
         new = write_scratch(verify(pairs, sets, num, den), "verified")
