@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import input_bytes, scratch_path
 from .common import U64, checked_columns, map_arrow, ship
 
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id: larger than any other
@@ -67,7 +67,11 @@ def write_chunks(docs: DataFrame, name: str, chunk_bytes: int = 4 << 20, buckets
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
     chunks = map_arrow(rows, run, "chunk_id long, n_bytes long, body binary")
     path, table = scratch_path(spark, name), f"provguard_{name}_{uuid.uuid4().hex[:12]}"
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # As many buckets as shuffles have partitions, fewer for an input of fewer chunks (texts in
+    # files take at least half their size).
+    most = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = input_bytes(docs)
+    n = buckets or (min(most, 2 + 2 * known // chunk_bytes) if known else most)
     (chunks.write.format("parquet").option("path", path).option("compression", "none")
      .bucketBy(n, "chunk_id").saveAsTable(table))
     out = spark.table(table)
