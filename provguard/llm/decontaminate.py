@@ -8,27 +8,29 @@ of its length.
 
 Document seeds first pass a bit filter of the benchmark's seeds: 2**FILTER_BITS bits
 whatever the benchmark's size (8 MB; a fuller filter only lets more rows through to the join,
-which decides).  Hits on one diagonal of a document and an item are compared once for
-every ``REACH`` words.
+which decides).  Documents with a seed that passes are written once as chunks of ``CHUNK``
+words.  A hit only names a diagonal of a document and an item: the whole item is laid along
+it word by word, every seed of the diagonal is grown, and overlaps that touch are one.
 
-Defined cases: null text has no words; items or texts shorter than the masks match nothing;
-repeated items are reported each, repeated documents too; rows with a null id take part
-like others; empty tables give no rows; extra columns are ignored; texts are read whole.
+Defined cases: null text has no words; items or texts shorter than the masks match nothing; each row of a
+document or an item is reported by itself, whatever its id (repeated or null); empty tables
+give no rows; extra columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checked_columns, lower_ascii, map_arrow, mix, slices, span_hashes, text_bytes, text_of_item, window_ok, word_spans
+from .common import U64, checked_columns, lower_ascii, map_arrow, mix, slices, span_hashes, text_bytes, text_of_item, window_ok, word_spans, write_scratch
 
 # Fixed masks: 12 words, of which 8 count.
 MASKS = ("111010010111", "110111010011", "101101111001")
 FILTER_BITS = 26
-REACH = 48  # words of surroundings kept on either side of a seed
+CHUNK = 1024  # words of a document in one row
 
 PARTS = np.ones(256, bool)  # words are ASCII letters (lower case), digits and all beyond ASCII
 PARTS[48:58], PARTS[97:123], PARTS[128:] = False, False, False
@@ -51,43 +53,47 @@ def filter_slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (seeds & low).astype(np.int64), ((seeds >> U64(FILTER_BITS)) & low).astype(np.int64)
 
 
-def seed_rows(frame: DataFrame, masks: tuple[str, ...], bits=None) -> DataFrame:
-    """(seed, id, at, before, words): every seed (that passes the filter) with the words
-    around it, as 4-byte hashes; ``before`` of them stand before the seed."""
-    span = len(masks[0])
+def seed_rows(frame: DataFrame, masks: tuple[str, ...], chunk: int | None = None, bits=None) -> DataFrame:
+    """(row, id, n, chunk, words, seeds, ats) of texts with a seed: ``row`` numbers the texts, ``n``
+    is the text's length, ``words`` the chunk's words as 4-byte hashes.
+
+    With ``bits`` seeds must pass the filter."""
 
     def run(batches):
         table = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             data, off = text_bytes(b.column(1))
             data = lower_ascii(data)
             s, e, woff = word_spans(data, off, PARTS)
             h = span_hashes(data, s, e)
-            ok = window_ok(woff, span)
-            d = text_of_item(woff)
-            short = (h >> U64(32)).astype(np.uint32)
-            found = [[], [], []]
-            for m, mask in enumerate(masks):
-                x = seed_hashes(h, mask, m)
-                keep = ok.copy()
+            d, size = text_of_item(woff), np.diff(woff)
+            words = (h >> U64(32)).astype(np.uint32)
+            found = []
+            for salt, mask in enumerate(masks):
+                x, keep = seed_hashes(h, mask, salt), window_ok(woff, len(mask))
                 if table is not None:
                     for slot in filter_slots(x):
-                        keep &= (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                        keep = keep & ((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
                 at = np.flatnonzero(keep)
-                found[0].append(x[at])
-                found[1].append(at)
-            x, at = (np.concatenate(v) for v in found[:2])
-            if not len(x):
-                continue
-            first, end = woff[d[at]], woff[d[at] + 1]
-            a, z = np.maximum(first, at - REACH), np.minimum(end, at + span + REACH)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64)), b.column(0).take(pa.array(d[at])), pa.array(at - first), pa.array((at - a).astype(np.int32)),
-                 pa.array([short[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist())], pa.binary())],
-                names=["seed", "id", "at", "before", "words"])
+                found.append((x[at], at))
+            x, at = (np.concatenate(v) for v in zip(*found))
+            order = np.argsort(at, kind="stable")
+            x, at = x[order], at[order]
+            cuts = [(t, c, a) for t in np.unique(d[at]).tolist() for c, a in enumerate(range(int(woff[t]), int(woff[t + 1]), chunk or int(size[t])))]
+            if cuts:
+                t, c, a = (np.array(v) for v in zip(*cuts))
+                z = np.minimum(a + (chunk or len(h)), woff[t + 1])
+                edges = pa.array(np.append(np.searchsorted(at, a), len(at)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + t), b.column(0).take(pa.array(t)), pa.array(size[t]), pa.array(c),
+                     pa.array([words[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist())], pa.binary()),
+                     pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int64))), pa.ListArray.from_arrays(edges, pa.array(at - woff[d[at]]))],
+                    names=["row", "id", "n", "chunk", "words", "seeds", "ats"])
+            row += b.num_rows
 
     kind = frame.schema[0].dataType.simpleString()
-    return map_arrow(frame, run, f"seed long, id {kind}, at long, before int, words binary")
+    return map_arrow(frame, run, f"row long, id {kind}, n long, chunk long, words binary, seeds array<long>, ats array<long>")
 
 
 def filter_bits(seeds: DataFrame) -> bytes:
@@ -101,52 +107,84 @@ def filter_bits(seeds: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def overlap(x: np.ndarray, i: int, y: np.ndarray, j: int, span: int, penalty: int = 3) -> tuple[int, int, int]:
-    """Best ungapped overlap through the seed at x[i], y[j]: words before it, words from it on, equal words."""
-    left, right = min(i, j), min(len(x) - i, len(y) - j)
-    eq = x[i - left:i + right] == y[j - left:j + right]
-    score = np.where(eq, 1, -penalty)
-    before = np.cumsum(score[:left][::-1])
-    after = np.cumsum(score[left + span:])
-    a = int(before.argmax()) + 1 if len(before) and before.max() > 0 else 0
-    z = int(after.argmax()) + 1 if len(after) and after.max() > 0 else 0
-    return a, span + z, int(eq[left - a:left + span + z].sum())
+def overlaps(eq: np.ndarray, masks: tuple[str, ...], min_equal: int, min_share: float, penalty: int = 3) -> list[tuple[int, int, int]]:
+    """(start, end, equal words) of the overlaps on one diagonal, from its marks of equal words.
+
+    Each seed is grown to its best ungapped overlap on either side; those that pass and touch are one."""
+    k = len(eq) - len(masks[0]) + 1
+    if k <= 0:
+        return []
+    hit = np.zeros(k, bool)
+    for mask in masks:
+        hit |= np.all([eq[j:j + k] for j, bit in enumerate(mask) if bit == "1"], axis=0)
+    hit = np.flatnonzero(hit)
+    total = np.concatenate([[0], np.cumsum(np.where(eq, 1, -penalty))])
+    equal = np.concatenate([[0], np.cumsum(eq)])
+    low = np.flatnonzero(total == np.minimum.accumulate(total))
+    high = np.flatnonzero(total == np.maximum.accumulate(total[::-1])[::-1])
+    start = low[np.searchsorted(low, hit, "right") - 1]  # the nearest lowest total before the seed
+    end = high[np.searchsorted(high, hit + len(masks[0]))]  # the nearest highest one after it
+    n = equal[end] - equal[start]
+    good = (n >= min_equal) & (n >= min_share * (end - start))
+    out: list[list[int]] = []
+    for a, z in sorted(set(zip(start[good].tolist(), end[good].tolist()))):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [(a, z, int(equal[z] - equal[a])) for a, z in out]
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_equal: int = 12,
                   min_share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, n_equal, item_first): overlaps of documents with items."""
-    span = len(masks[0])
-    items = checked_columns(benchmark, ["item_id", "text"])
-    tests = seed_rows(items, masks)
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(tests))  # 8 MB, whatever the data
-    train = seed_rows(checked_columns(docs, ["doc_id", "text"]), masks, bits)
-    t = tests.select(F.col("seed").alias("t_seed"), F.col("id").alias("item_id"), F.col("at").alias("item_at"),
-                     F.col("before").alias("item_before"), F.col("words").alias("item_words"))
-    hits = train.join(t, F.col("seed") == F.col("t_seed"))
-    place = F.struct("at", "item_at", "before", "words", "item_before", "item_words")
-    hits = (hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"),
-                         F.floor(F.col("at") / REACH).alias("part"))
-            .agg(F.min_by(place, "at").alias("hit")).select("doc_id", "item_id", "hit.*"))
+    items = write_scratch(seed_rows(checked_columns(benchmark, ["item_id", "text"]), masks), "decontaminate-items")
+    t = items.select(F.col("row").alias("item"), F.col("n").alias("item_n"), F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
+    t = t.select("item", "item_n", F.col("s.seeds").alias("seed"), F.col("s.ats").alias("item_at"))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(t))  # 8 MB, whatever the data
+    texts = write_scratch(seed_rows(checked_columns(docs, ["doc_id", "text"]), masks, CHUNK, bits), "decontaminate-docs")
+    seeds = texts.select("row", F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
+    lines = (seeds.join(t, F.col("s.seeds") == F.col("seed"))
+             .select("row", "item", "item_n", (F.col("s.ats") - F.col("item_at")).alias("diagonal")).distinct())
+    # The document's chunks beside the whole item.
+    first = F.greatest(F.col("diagonal"), F.lit(0).cast("long"))
+    lines = lines.withColumn("at_chunk", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((F.col("diagonal") + F.col("item_n") - 1) / CHUNK))))
+    x = texts.select(F.col("row").alias("x_row"), F.col("id").alias("doc_id"), "chunk", "words")
+    y = items.select(F.col("row").alias("y_item"), F.col("id").alias("item_id"), F.col("words").alias("item_words"))
+    beside = (lines.join(x, (F.col("row") == F.col("x_row")) & (F.col("at_chunk") == F.col("chunk")))
+              .join(y, F.col("item") == F.col("y_item"))
+              .select("row", "item", "diagonal", "doc_id", "item_id", "chunk", "words", "item_words"))
+
+    def compare(batches):
+        for b in batches:
+            cols = (b.column(n).to_pylist() for n in ("diagonal", "chunk", "words", "item_words"))
+            marks = []
+            for diagonal, c, x, y in zip(*cols):
+                x, y, at = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), c * CHUNK - diagonal
+                i, j = max(at, 0), min(at + len(x), len(y))  # the item's words beside this chunk
+                marks.append((x[i - at:j - at] == y[i:j]).tobytes() if i < j else b"")
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row", "item", "diagonal", "doc_id", "item_id", "chunk")),
+                                              pa.array([len(y) // 4 for y in b.column("item_words").to_pylist()], pa.int64()), pa.array(marks, pa.binary())],
+                                             names=["row", "item", "diagonal", "doc_id", "item_id", "chunk", "item_n", "marks"])
+
+    kinds = {c: beside.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
+    ids = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}"
+    marks = map_arrow(beside, compare, f"row long, item long, diagonal long, {ids}, chunk long, item_n long, marks binary")
+    marks = (marks.groupBy("row", "item", "diagonal", "item_n", "doc_id", "item_id")
+             .agg(F.sort_array(F.collect_list(F.struct("chunk", "marks"))).alias("parts"))
+             .select("doc_id", "item_id", "item_n", "diagonal", F.col("parts.marks").alias("parts")))
 
     def run(batches):
         for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("at", "item_at", "before", "words", "item_before", "item_words")}
             rows = []
-            for k, (at, item_at, i, x, j, y) in enumerate(zip(*cols.values())):
-                a, z, equal = overlap(np.frombuffer(x, np.uint32), i, np.frombuffer(y, np.uint32), j, span)
-                if equal >= min_equal and equal >= min_share * (a + z):
-                    rows.append((k, at - a, at + z, equal, item_at - a))
+            for k, (diagonal, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("diagonal", "parts")))):
+                eq, at = np.frombuffer(b"".join(parts), bool), max(-diagonal, 0)
+                rows += [(k, at + diagonal + a, at + diagonal + z, equal, at + a) for a, z, equal in overlaps(eq, masks, min_equal, min_share)]
             k = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(k), b.column("item_id").take(k), *[pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]],
                                              names=["doc_id", "item_id", "first_word", "end_word", "n_equal", "item_first"])
 
-    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
-    found = map_arrow(hits, run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word long, end_word long, n_equal long, item_first long")
-    # Parts of one diagonal that touch tell of one overlap; the longest part stands for it.
-    return (found.groupBy("doc_id", "item_id", (F.col("first_word") - F.col("item_first")).alias("diagonal"))
-            .agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("n_equal").alias("n_equal"),
-                 F.min("item_first").alias("item_first")).drop("diagonal"))
+    return map_arrow(marks, run, f"{ids}, first_word long, end_word long, n_equal long, item_first long")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

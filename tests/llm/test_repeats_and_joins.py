@@ -110,6 +110,51 @@ def test_decontaminate_tolerates_substitutions(spark, docs):
     assert decontaminate.find_overlaps(docs, test).collect() == []
 
 
+def brute_overlaps(docs, items, masks=decontaminate.MASKS):
+    """Every place of every mask on every diagonal, grown word by word; passing ones that touch are one."""
+    out = Counter()
+    for (i, x), (j, y) in ((a, b) for a in docs for b in items):
+        x, y = (x or "").split(), (y or "").split()
+        for d in range(12 - len(y), len(x) - 11):
+            at = max(0, -d)
+            eq = [a == b for a, b in zip(x[max(0, d):], y[at:])]
+            good = set()
+            for p in range(len(eq) - 11):
+                if any(all(eq[p + k] for k in range(12) if m[k] == "1") for m in masks):
+                    score = lambda part: sum(1 if e else -3 for e in part)
+                    a = max(range(p, -1, -1), key=lambda s: score(eq[s:p]))
+                    z = max(range(p + 12, len(eq) + 1), key=lambda e: score(eq[p + 12:e]))
+                    n = sum(eq[a:z])
+                    if n >= 12 and n >= 0.8 * (z - a):
+                        good |= set(range(a, z + 1))
+            runs = [p for p in sorted(good) if p - 1 not in good]
+            for a in runs:
+                z = a
+                while z + 1 in good:
+                    z += 1
+                out[i, j, d + at + a, d + at + z, sum(eq[a:z]), at + a] += 1
+    return out
+
+
+def check_overlaps(spark, docs, items):
+    train = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = decontaminate.find_overlaps(train, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == brute_overlaps(docs, items)
+    return {(r.doc_id, r.item_id) for r in got}
+
+
+def test_decontaminate_verifies_every_hit(spark):
+    """A weak first hit on a diagonal does not hide a later one; long items are laid along whole."""
+    item = [f"q{k}" for k in range(40)]
+    weak = [w if k >= 19 or (k < 12 and decontaminate.MASKS[0][k] == "1") else f"c{k}" for k, w in enumerate(item)]
+    long = [f"r{k}" for k in range(3000)]
+    rng = np.random.default_rng(3)
+    noisy = [w if rng.random() > 0.15 else "n" for w in long]
+    docs = [(1, " ".join(weak)), (2, "s " * 1010 + " ".join(noisy[100:400]) + " t" * 30 + " " + " ".join(long[430:470]))]
+    docs += [(10 + k, " ".join(w if rng.random() > 0.1 + 0.02 * k else "n" for w in item[k:])) for k in range(15)]
+    assert {(1, 1), (2, 2)} <= check_overlaps(spark, docs, [(1, " ".join(item)), (2, " ".join(long[:600]))])
+
+
 def test_empty_tables(empty, spark):
     assert substring_dedup.remove_repeats(empty).collect() == []
     assert suffix_dedup.remove_repeats(empty).collect() == []
