@@ -12,7 +12,10 @@ which decides).  Documents with a seed that passes are written once as chunks of
 words.  A hit only names a diagonal of a document and an item: the whole item is laid along
 it word by word, every seed of the diagonal is grown, and overlaps that touch are one.
 
-Defined cases: null text has no words; items or texts shorter than the masks match nothing; each row of a
+Items shorter than the masks have one seed, all their words, and match where these stand
+in a row, whatever ``min_equal``.
+
+Defined cases: null text has no words; items without words match nothing; each row of a
 document or an item is reported by itself, whatever its id (repeated or null); empty tables
 give no rows; extra columns are ignored; texts are read whole.
 """
@@ -53,11 +56,13 @@ def filter_slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (seeds & low).astype(np.int64), ((seeds >> U64(FILTER_BITS)) & low).astype(np.int64)
 
 
-def seed_rows(frame: DataFrame, masks: tuple[str, ...], chunk: int | None = None, bits=None) -> DataFrame:
+def seed_rows(frame: DataFrame, masks: tuple[str, ...], chunk: int | None = None, short: tuple[int, ...] = (), bits=None) -> DataFrame:
     """(row, id, n, chunk, words, seeds, ats) of texts with a seed: ``row`` numbers the texts, ``n``
     is the text's length, ``words`` the chunk's words as 4-byte hashes.
 
-    With ``bits`` seeds must pass the filter."""
+    With ``bits`` seeds must pass the filter and texts also have seeds of the ``short`` lengths;
+    without, a text shorter than the masks has one seed of all its words."""
+    span = len(masks[0])
 
     def run(batches):
         table = np.frombuffer(bits.value, np.uint8) if bits is not None else None
@@ -70,8 +75,10 @@ def seed_rows(frame: DataFrame, masks: tuple[str, ...], chunk: int | None = None
             d, size = text_of_item(woff), np.diff(woff)
             words = (h >> U64(32)).astype(np.uint32)
             found = []
-            for salt, mask in enumerate(masks):
+            for salt, mask in [*enumerate(masks), *((len(masks) + k, "1" * k) for k in (range(1, span) if table is None else short))]:
                 x, keep = seed_hashes(h, mask, salt), window_ok(woff, len(mask))
+                if table is None and len(mask) < span:
+                    keep = keep & (size[d[:len(keep)]] == len(mask))
                 if table is not None:
                     for slot in filter_slots(x):
                         keep = keep & ((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
@@ -138,11 +145,13 @@ def overlaps(eq: np.ndarray, masks: tuple[str, ...], min_equal: int, min_share:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_equal: int = 12,
                   min_share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, n_equal, item_first): overlaps of documents with items."""
+    span = len(masks[0])
     items = write_scratch(seed_rows(checked_columns(benchmark, ["item_id", "text"]), masks), "decontaminate-items")
     t = items.select(F.col("row").alias("item"), F.col("n").alias("item_n"), F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
     t = t.select("item", "item_n", F.col("s.seeds").alias("seed"), F.col("s.ats").alias("item_at"))
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(t))  # 8 MB, whatever the data
-    texts = write_scratch(seed_rows(checked_columns(docs, ["doc_id", "text"]), masks, CHUNK, bits), "decontaminate-docs")
+    short = tuple(r.n for r in items.where(F.col("n") < span).select("n").distinct().collect())  # at most span - 1
+    texts = write_scratch(seed_rows(checked_columns(docs, ["doc_id", "text"]), masks, CHUNK, short, bits), "decontaminate-docs")
     seeds = texts.select("row", F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
     lines = (seeds.join(t, F.col("s.seeds") == F.col("seed"))
              .select("row", "item", "item_n", (F.col("s.ats") - F.col("item_at")).alias("diagonal")).distinct())
@@ -177,9 +186,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     def run(batches):
         for b in batches:
             rows = []
-            for k, (diagonal, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("diagonal", "parts")))):
+            for k, (n, diagonal, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item_n", "diagonal", "parts")))):
                 eq, at = np.frombuffer(b"".join(parts), bool), max(-diagonal, 0)
-                rows += [(k, at + diagonal + a, at + diagonal + z, equal, at + a) for a, z, equal in overlaps(eq, masks, min_equal, min_share)]
+                if n < span:
+                    found = [(0, n, n)] if len(eq) == n and eq.all() else []
+                else:
+                    found = overlaps(eq, masks, min_equal, min_share)
+                rows += [(k, at + diagonal + a, at + diagonal + z, equal, at + a) for a, z, equal in found]
             k = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(k), b.column("item_id").take(k), *[pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]],
                                              names=["doc_id", "item_id", "first_word", "end_word", "n_equal", "item_first"])

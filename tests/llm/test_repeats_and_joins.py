@@ -115,6 +115,9 @@ def brute_overlaps(docs, items, masks=decontaminate.MASKS):
     out = Counter()
     for (i, x), (j, y) in ((a, b) for a in docs for b in items):
         x, y = (x or "").split(), (y or "").split()
+        if 0 < len(y) < 12:
+            out.update((i, j, d, d + len(y), len(y), 0) for d in range(len(x) - len(y) + 1) if x[d:d + len(y)] == y)
+            continue
         for d in range(12 - len(y), len(x) - 11):
             at = max(0, -d)
             eq = [a == b for a, b in zip(x[max(0, d):], y[at:])]
@@ -155,6 +158,17 @@ def test_decontaminate_verifies_every_hit(spark):
     assert {(1, 1), (2, 2)} <= check_overlaps(spark, docs, [(1, " ".join(item)), (2, " ".join(long[:600]))])
 
 
+def test_decontaminate_short_items_and_repeated_ids(spark):
+    """Items shorter than the masks match as a whole; rows of one id, or of none, are told apart."""
+    item = [f"q{k}" for k in range(30)]
+    cut = " ".join([*item[:6], "b", "b", "b", *item[9:13], "b", "b", "b", *item[16:20]])
+    docs = [(1, " ".join(item)), (1, cut), (1, " ".join(item)), (None, " ".join(item[5:])), (None, "no match"), (2, "what is it"),
+            (3, "so what is it then what is it"), (4, "what was it"), (5, "x"), (6, None), (7, "v " * 1022 + "what is it")]
+    items = [(1, " ".join(item)), (1, "other " * 20), (None, " ".join(item)), (2, "what is it"), (2, "x"), (3, ""), (4, None),
+             (5, " ".join(item[3:14]))]
+    assert {(3, 2), (2, 2), (5, 2), (7, 2), (None, None), (1, 5)} <= check_overlaps(spark, docs, items)
+
+
 def test_empty_tables(empty, spark):
     assert substring_dedup.remove_repeats(empty).collect() == []
     assert suffix_dedup.remove_repeats(empty).collect() == []
