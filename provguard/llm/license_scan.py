@@ -2,9 +2,11 @@
 
 All templates' tokens form one automaton.  A file's tokens stream through it once; at
 each token the automaton's depth is the longest string that ends there and occurs in
-some template (matching statistics).  Long local maxima are chained, in order and on
+some template (matching statistics), and the state and its links name the longest for
+each place of each template.  Long local maxima are chained, in order and on
 one template, into a covered span; coverage is the share of the template's tokens in
-the chain.  The templates are a fixed parameter, so the automaton is small and each
+the chain.  Each template is judged by itself: text that several templates share counts
+for all of them (a whole GPL notice also covers 16 of the 17 tokens of the LGPL's).  The templates are a fixed parameter, so the automaton is small and each
 Python worker builds it once; files are scanned where they lie, without a shuffle.
 
 Base phrases are templates of their own: a place is where all words of the phrase stand
@@ -58,38 +60,51 @@ TEMPLATES = (
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of token sequences; a state keeps one template place."""
+    """Generalised suffix automaton of token sequences; a state knows all its template places."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.place: list[tuple[int, int]] = [(-1, -1)]  # (sequence, end) of a first occurrence
+        self.sequences = sequences
+        marked: dict[int, set[tuple[int, int]]] = {}
         for k, seq in enumerate(sequences):
             last = 0
             for i, c in enumerate(seq):
-                last = self._extend(last, c, (k, i + 1))
+                last = self._extend(last, c)
+                marked.setdefault(last, set()).add((k, i + 1))
+        # All (sequence, end) places of each state: its own and those of the states that link to it.
+        ends = [marked.get(v, set()) for v in range(len(self.link))]
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        for v in reversed(by_length):
+            ends[self.link[v]] = ends[self.link[v]] | ends[v]
+        self.place = [min(e, default=(-1, -1)) for e in ends]
+        # (sequence, end, longest string of the state that ends there): the state's own places, then
+        # those that only a state up its links has.
+        self.ends: list[list[tuple[int, int, int]]] = [[] for _ in ends]
+        for v in by_length:
+            self.ends[v] = [(k, e, self.length[v]) for k, e in sorted(ends[v])]
+            self.ends[v] += [x for x in self.ends[self.link[v]] if x[:2] not in ends[v]]
 
     def _clone(self, p: int, q: int, c: int) -> int:
-        r = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], self.place[q])
+        r = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = r
             p = self.link[p]
         self.link[q] = r
         return r
 
-    def _state(self, length: int, nxt: dict[int, int], link: int, place: tuple[int, int]) -> int:
+    def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.place.append(place)
         return len(self.next) - 1
 
-    def _extend(self, last: int, c: int, place: tuple[int, int]) -> int:
+    def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:  # already there, from an earlier sequence
             q = self.next[last][c]
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, c)
-        cur, p = self._state(self.length[last] + 1, {}, 0, place), last
+        cur, p = self._state(self.length[last] + 1, {}, 0), last
         while p >= 0 and c not in self.next[p]:
             self.next[p][c] = cur
             p = self.link[p]
@@ -98,15 +113,10 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return cur
 
-    def matches(self, tokens: list[int], least: int):
-        """Maximal matches of at least ``least`` tokens: (start, length, sequence, start in it)."""
+    def _steps(self, tokens: list[int]):
+        """(depth, state) after each token."""
         state = depth = 0
-        for i, c in enumerate(tokens):
-            if c in self.next[state]:
-                state, depth = self.next[state][c], depth + 1
-                continue
-            if depth >= least:
-                yield self._match(i, depth, state)
+        for c in tokens:
             while state and c not in self.next[state]:
                 state = self.link[state]
                 depth = self.length[state]
@@ -114,8 +124,29 @@ class SuffixAutomaton:
                 state, depth = self.next[state][c], depth + 1
             else:
                 state = depth = 0
-        if depth >= least:
-            yield self._match(len(tokens), depth, state)
+            yield depth, state
+
+    def matches(self, tokens: list[int], least: int):
+        """Maximal matches of at least ``least`` tokens in any sequence: (start, length, sequence, start in it)."""
+        last = (0, 0)
+        for i, (depth, state) in enumerate(self._steps(tokens)):
+            if depth <= last[0] and last[0] >= least:
+                yield self._match(i, *last)
+            last = depth, state
+        if last[0] >= least:
+            yield self._match(len(tokens), *last)
+
+    def all_matches(self, tokens: list[int], least: int):
+        """Maximal matches of at least ``least`` tokens with each place of each sequence, in order of
+        their ends: (start, length, sequence, start in it)."""
+        for i, (depth, state) in enumerate(self._steps(tokens), 1):
+            if depth < least:
+                continue
+            c = tokens[i] if i < len(tokens) else None
+            for k, e, longest in self.ends[state]:
+                n, seq = min(depth, longest), self.sequences[k]
+                if n >= least and (c is None or e == len(seq) or seq[e] != c):
+                    yield i - n, n, k, e - n
 
     def _match(self, end: int, depth: int, state: int) -> tuple[int, int, int, int]:
         k, e = self.place[state]
@@ -172,7 +203,7 @@ class Scanner:
                     m = len(p)
                     places += [(i + k, label) for k in range(j - i - m + 1) if run[k] == p[0] and tuple(run[k:k + m]) == p]
                 if j - i >= self.min_match:
-                    found += [(i + s, m, k, at) for s, m, k, at in self.automaton.matches(run, self.min_match)]
+                    found += [(i + s, m, k, at) for s, m, k, at in self.automaton.all_matches(run, self.min_match)]
             i = j
         spans = [(self.labels[k], first, end, cover / self.sizes[k])
                  for k, cover, first, end in chain(found, self.max_gap) if cover >= self.min_cover * self.sizes[k]]

@@ -1,6 +1,7 @@
 """Quality rules, licence scan, mixing and token counts against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -73,6 +74,37 @@ def test_suffix_automaton_matching_statistics():
     assert sum(n for _, n, _, _ in sa.matches(text, 2)) >= 12
 
 
+def brute_matches(text, sequences, least):
+    """Runs of equal tokens on every diagonal of every sequence, as long as they go."""
+    out = set()
+    for k, seq in enumerate(sequences):
+        for i in range(len(text)):
+            for j in range(len(seq)):
+                if text[i] == seq[j] and not (i and j and text[i - 1] == seq[j - 1]):
+                    n = next((n for n in range(1, len(seq)) if i + n >= len(text) or j + n >= len(seq) or text[i + n] != seq[j + n]), len(seq))
+                    if n >= least:
+                        out.add((i, n, k, j))
+    return out
+
+
+def test_all_matches_of_all_templates():
+    rng = random.Random(8)
+    for _ in range(150):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(4)]
+        sequences.append(sequences[0][:5] + sequences[1][2:])
+        text = [rng.randrange(4) for _ in range(40)] + sequences[4]
+        got = list(license_scan.SuffixAutomaton(sequences).all_matches(text, 2))
+        assert len(got) == len(set(got)) and set(got) == brute_matches(text, sequences, 2)
+
+
+def test_each_template_alone_is_found_whole():
+    scan = license_scan.Scanner(license_scan.BASE_PHRASES, license_scan.TEMPLATES, 4, 12, 0.6).scan
+    for label, t in license_scan.TEMPLATES:
+        n = len(t.split())
+        for text, first in ((t, 0), (f"Intro: {t.title()}.", 1)):
+            assert (label, first, first + n, 1.0) in scan(text)[2]
+
+
 def test_mixing_budgets(docs, rows):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
