@@ -4,8 +4,8 @@ All templates' tokens form one automaton.  A file's tokens stream through it onc
 each token the automaton's depth is the longest string that ends there and occurs in
 some template (matching statistics), and the state and its links name the longest for
 each place of each template.  Long local maxima are chained, in order and on
-one template, into a covered span; coverage is the share of the template's tokens in
-the chain.  Each template is judged by itself: text that several templates share counts
+one template, into a covered span, the best chain first; where two overlap, the later one
+is cut.  Coverage is the share of the template's tokens in the chain.  Each template is judged by itself: text that several templates share counts
 for all of them (a whole GPL notice also covers 16 of the 17 tokens of the LGPL's).  The templates are a fixed parameter, so the automaton is small and each
 Python worker builds it once; files are scanned where they lie, without a shuffle.
 
@@ -19,6 +19,8 @@ extra columns are ignored.  Whole texts are scanned, however long.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 
 import pyarrow as pa
@@ -153,19 +155,57 @@ class SuffixAutomaton:
         return end - depth, depth, k, e - depth
 
 
-def chain(matches: list[tuple[int, int, int, int]], max_gap: int) -> list[tuple[int, int, int, int]]:
-    """Chains matches of one template in order: (template, covered tokens, first, end)."""
-    done, open_ = [], {}
-    for start, n, k, at in matches:
-        c = open_.get(k)
-        if c and start - c[2] <= max_gap and start >= c[2] and at >= c[3]:
-            open_[k] = (c[0] + n, c[1], start + n, at + n)
-        else:
-            if c:
-                done.append((k, c[0], c[1], c[2]))
-            open_[k] = (n, start, start + n, at + n)
-    done += [(k, c[0], c[1], c[2]) for k, c in open_.items()]
-    return done
+def chain(matches: list[tuple[int, int, int]], max_gap: int, least: float) -> list[tuple[int, int, int]]:
+    """Best chains of one template's matches (start, length, start in it): (covered tokens, first, end).
+
+    In a chain the matches follow in text and template, at most ``max_gap`` tokens apart in the
+    text; what overlaps is cut from the later one.  The chain of most tokens is taken, the
+    matches are cut to the text beside it, and so on while a chain has ``least`` tokens."""
+    at = sorted((s + n, n, p + n) for s, n, p in matches)  # by ends; cuts keep this order
+    if not at:
+        return []
+    widest = max(n for _, n, _ in at)
+    reach = (max_gap + 1) * max(q for _, _, q in at) + max_gap  # text that a chain can span
+    best: list[tuple[int, int]] = [(0, 0)] * len(at)  # most tokens of a chain that ends here, and its latest start
+    heap: list[tuple[int, int, int, int]] = []
+
+    def fill(j: int) -> None:
+        end, n, q = at[j]
+        if n <= 0:  # taken
+            return
+        top, i = (n, end - n), j - 1
+        while i >= 0 and end - n - at[i][0] <= max_gap:
+            e, m, r = at[i]
+            left = min(n, end - e, q - r)  # tokens left behind the other match
+            if m > 0 and left > 0 and end - left - e <= max_gap:
+                top = max(top, (best[i][0] + left, best[i][1]))
+            i -= 1
+        best[j] = top
+        if top[0] >= least:
+            heapq.heappush(heap, (-top[0], end, -top[1], j))
+
+    for j in range(len(at)):
+        fill(j)
+    out = []
+    while heap:
+        cover, end, first, j = heapq.heappop(heap)
+        cover, first = -cover, -first
+        if at[j][1] <= 0 or at[j][0] != end or best[j] != (cover, first):
+            continue  # of before a cut
+        out.append((cover, first, end))
+        low = bisect.bisect_right(at, (first, widest, reach))
+        high = bisect.bisect_right(at, (end + max(reach, widest), widest, reach))
+        for i in range(low, high):
+            e, n, q = at[i]
+            if e > end:
+                at[i] = e, min(n, e - end), q
+            elif e - n < first:
+                at[i] = first, n - (e - first), q - (e - first)
+            else:
+                at[i] = first, 0, q
+        for i in range(low, high):
+            fill(i)
+    return sorted(out, key=lambda c: c[1:])
 
 
 class Scanner:
@@ -205,8 +245,11 @@ class Scanner:
                 if j - i >= self.min_match:
                     found += [(i + s, m, k, at) for s, m, k, at in self.automaton.all_matches(run, self.min_match)]
             i = j
-        spans = [(self.labels[k], first, end, cover / self.sizes[k])
-                 for k, cover, first, end in chain(found, self.max_gap) if cover >= self.min_cover * self.sizes[k]]
+        of: dict[int, list[tuple[int, int, int]]] = {}
+        for s, m, k, at in found:
+            of.setdefault(k, []).append((s, m, at))
+        spans = [(self.labels[k], first, end, cover / self.sizes[k]) for k in sorted(of)
+                 for cover, first, end in chain(of[k], self.max_gap, self.min_cover * self.sizes[k])]
         return len(words), sorted(places), spans
 
 

@@ -105,6 +105,75 @@ def test_each_template_alone_is_found_whole():
             assert (label, first, first + n, 1.0) in scan(text)[2]
 
 
+def brute_chains(matches, max_gap, least):
+    """All chains of matches, tried one after the other; the best is taken, the rest cut, and again."""
+    out, left = [], set(matches)
+
+    def chains(cover, first, end, at):
+        yield cover, -end, first
+        for s, n, p in left:
+            over = max(0, end - s, at - p)
+            if over < n and s + over - end <= max_gap:
+                yield from chains(cover + n - over, first, s + n, p + n)
+
+    while True:
+        cover, end, first = max((c for s, n, p in left for c in chains(n, s, s + n, p + n)), default=(0, 0, 0))
+        if not left or cover < least:
+            return sorted(out, key=lambda c: c[1:])
+        end = -end
+        out.append((cover, first, end))
+        cut = set()
+        for s, n, p in left:
+            if s < first:
+                cut.add((s, min(n, first - s), p))
+            if s + n > end:
+                d = max(0, end - s)
+                cut.add((s + d, n - d, p + d))
+        left = cut
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        seq = [rng.randrange(6) for _ in range(10)]
+        text = []
+        for _ in range(rng.randrange(1, 4)):  # edited copies, some side by side
+            copy = list(seq)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(copy))
+                copy[i:i + rng.randrange(3)] = [9] * rng.randrange(2)
+            text += copy + [9] * rng.randrange(3)
+        found = [(s, n, at) for s, n, _, at in license_scan.SuffixAutomaton([seq]).all_matches(text, 2)]
+        for least in (1, 5):
+            assert license_scan.chain(found, 2, least) == brute_chains(found, 2, least)
+
+
+def test_each_template_is_found_with_one_edit():
+    """A word gone, changed or added costs at most the edit and the words that are cut off from a match of 4."""
+    scan = license_scan.Scanner(license_scan.BASE_PHRASES, license_scan.TEMPLATES, 4, 12, 0.6).scan
+    for label, t in license_scan.TEMPLATES:
+        w = t.split()
+        for i in range(len(w)):
+            for new, lost in (((), 1), (("zzz",), 1), (("zzz", w[i]), 0), ((w[i], w[i]), 0)):
+                short = [n for n in (i, len(w) - i - lost) if n < 4]
+                if len(w) - lost - sum(short) >= 0.6 * len(w):
+                    best = max((c for x, _, _, c in scan(" ".join([*w[:i], *new, *w[i + 1:]]))[2] if x == label), default=0)
+                    assert best >= (len(w) - lost - sum(short)) / len(w) - 1e-9, (t, i, new)
+
+
+def test_license_notice_with_a_passage_gone():
+    """The matches around a gap share the word 'it': 25 of the 29 words are there."""
+    scan = license_scan.Scanner(license_scan.BASE_PHRASES, license_scan.TEMPLATES, 4, 12, 0.6).scan
+    t = license_scan.TEMPLATES[4][1]
+    cut = t.replace(" and or modify it", "")
+    assert ("gpl", 2, 27, 25 / 29) in scan(f"a b {cut} c")[2]
+    # a stray match between two parts of a span, and copies side by side
+    w = t.split()
+    stray = " ".join([*w[:14], *w[2:6], *w[14:]])
+    assert ("gpl", 0, 33, 1.0) in scan(stray)[2]
+    assert [s for s in scan(" ".join([t] * 400))[2] if s[0] == "gpl"] == [("gpl", 29 * k, 29 * k + 29, 1.0) for k in range(400)]
+
+
 def test_mixing_budgets(docs, rows):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
