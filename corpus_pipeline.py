@@ -5,20 +5,24 @@ read again as the next one's docs.  Stages 1 to 4 give the columns of documents.
 
 1. quality: documents that the quality rules reject go.
 2. near duplicates: of each group linked by the n-gram Jaccard join (5-word shingles,
-   similarity 0.8 or more) the smallest doc_id stays.
+   similarity 0.8 or more) the row of the smallest doc_id stays (null after all others; of
+   equal ids the smallest hash).
 3. repeats: words of 13-word strings that a smaller doc_id also holds go; a document with
    no word left goes.
 4. decontamination: documents that overlap a benchmark item go.
 5. mixing: words taken from each document for the target weights.
 
-Null doc_ids: no group in stage 2 (the row stays); in stage 4 all rows of a null id go if
-one overlaps.  Rows with equal doc_ids are one document: in stage 2 one row of them stays.
-Empty tables pass through.
+Stages 2 and 4 judge rows, whatever their doc_id: each writes its rows with a row key first, and
+the operators see the key as the id.  Rows of a null or a repeated id go only where they
+are near copies or overlap an item themselves.  In stage 3 rows of equal ids do not take words
+from each other.  Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provguard.llm import decontaminate, mixing, ngram_join, quality_rules, substring_dedup
@@ -29,14 +33,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def row_keys(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Docs with a row key beside them, and the column's name, which no other column has.  Written, so the keys stay."""
+    key = f"row_{uuid.uuid4().hex}"
+    return write_scratch(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns that can be hashed (maps cannot)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.ngram_join(docs, n=5, num=80, den=100)
-    first = (groups.where("doc_id is null or doc_id = component_id")
-             .select(F.col("doc_id").alias("first_id")).distinct())
-    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    copy = F.when(F.col("doc_id").isNull(), 1).otherwise(row)
-    return stay.withColumn("copy", copy).where("copy = 1").drop("copy")
+    rows, key = row_keys(docs, "near-rows")
+    groups = ngram_join.ngram_join(rows.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row_hash(docs).alias("hash"), F.col(key).alias("row"))
+    ranks = rows.select(F.col(key).alias("ranked"), rank.alias("rank"))
+    first = (groups.join(ranks, F.col("doc_id") == F.col("ranked")).groupBy("component_id")
+             .agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(f"{key}_first")))
+    return rows.join(first, F.col(key) == F.col(f"{key}_first"), "left_semi").drop(key)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +62,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = found.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    rows, key = row_keys(docs, "decontamination-rows")
+    found = decontaminate.find_overlaps(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    bad = found.select(F.col("doc_id").alias(f"{key}_bad")).distinct()
+    return rows.join(bad, F.col(key) == F.col(f"{key}_bad"), "left_anti").drop(key)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from provguard.llm import language_id, queries, site_quality
 
-from .conftest import DOCS, SF_SMALL
+from .conftest import DOCS, SF_SMALL, prose
 
 SF = SF_SMALL.replace("0.001", "0.01")
 
@@ -114,3 +114,24 @@ def test_pipeline_stages(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         df = corpus_pipeline.write_scratch(stage(spark, df, SF_SMALL), "test-stage")
     assert df.count() == 0
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    """Rows of a null or a repeated id go only for what they hold themselves."""
+    rng = random.Random(6)
+    texts = [prose(rng, 80, 9000) for _ in range(9)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]),
+            (5, texts[5]), (4, texts[5] + " more"), (6, texts[2]), (7, texts[6]), (7, texts[6] + " more"), (8, "short"), (None, "short")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF_SMALL).collect()), key=str)
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[3]), (5, texts[4]), (4, texts[5] + " more"), (6, texts[2]), (8, "short")]
+    seventh = [x for x in got if x[0] == 7]
+    assert len(seventh) == 1 and seventh[0] in rows
+    assert sorted((x for x in got if x[0] != 7), key=str) == sorted(want, key=str)
+
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first().text
+    leak = f"{texts[7]} {item} {texts[8]}"
+    rows = [(None, texts[0]), (None, leak), (5, texts[1]), (5, leak), (6, texts[2])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, df, SF_SMALL).collect()]
+    assert sorted(got, key=str) == sorted([x for x in rows if x[1] != leak], key=str)
