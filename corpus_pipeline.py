@@ -55,10 +55,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring_dedup.remove_repeats(docs, carry=others)
+    carried = {c: f"carried_{uuid.uuid4().hex}" for c in docs.columns if c not in ("doc_id", "text", "n_chars")}
+    out = substring_dedup.remove_repeats(docs.withColumnsRenamed(carried), carry=tuple(carried.values()))
     out = out.where("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[(F.col(carried[c]) if c in carried else new[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,3 +135,14 @@ def test_pipeline_judges_rows_not_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, df, SF_SMALL).collect()]
     assert sorted(got, key=str) == sorted([x for x in rows if x[1] != leak], key=str)
+
+
+def test_pipeline_columns_of_helper_names_stay(spark):
+    rng = random.Random(7)
+    names = ("copy", "n_words", "n_removed", "kept", "kept_sha256", "first_id", "bad_id", "rank", "row", "ranked", "component_id")
+    rows = [(k, prose(rng, 90, 9000), "en", "s", 1) for k in range(4)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, df, SF_SMALL)
+        assert out.columns == df.columns
+        assert [[r[c] for c in names] for r in out.orderBy("doc_id").collect()] == [[f"{c}{k}" for c in names] for k in range(4)]
