@@ -51,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ranks = rows.select(F.col(key).alias("ranked"), rank.alias("rank"))
     first = (groups.join(ranks, F.col("doc_id") == F.col("ranked")).groupBy("component_id")
              .agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(f"{key}_first")))
+    first = first.hint("shuffle_hash")  # keys only, so the texts need no sort
     return rows.join(first, F.col(key) == F.col(f"{key}_first"), "left_semi").drop(key)
 
 
