@@ -7,6 +7,7 @@ from .language_id import op8_language_id
 from .license_scan import op2_license_scan
 from .mixing import OP5_SQL, op5_mix_sources
 from .ngram_join import OP6_SQL, op6_ngram_join
+from .packing import op11_pack_sequences
 from .quality_rules import op1_quality_rules
 from .site_quality import op10_site_quality
 from .substring_dedup import OP7_SQL, op7_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_site_quality": op10_site_quality,
+    "op11_pack_sequences": op11_pack_sequences,
 }
 
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_substring_dedup": OP7_SQL}
