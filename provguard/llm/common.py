@@ -114,6 +114,15 @@ def text_of_item(off: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
 
 
+def first_of(owner: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of each owner's first k by score downwards, then by id."""
+    order = np.lexsort((ident, -score, owner))
+    o = owner[order]
+    start = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
+    place = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
+    return order[place < k]
+
+
 def window_ok(woff: np.ndarray, n: int) -> np.ndarray:
     """Marks, for each start of an n-gram over all words, that it stays in one text."""
     total = int(woff[-1])
