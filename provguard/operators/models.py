@@ -4,8 +4,7 @@
   partitioning (``randomSplit`` changes after a repartition).
 * Models are MLlib estimators; each fit is a distributed pass (or a few).
 * Summaries are turned into small DataFrames of one row per term.
-* One forest gives both importances.  Permutation importance moves each column of the hold-out
-  along one random order of all its rows, by an equi-join on dense row numbers.
+* The forest and its importances are in ``forest.py``.
 """
 
 from __future__ import annotations
@@ -13,17 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RFormula, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provguard.functions.exprs import col
-from provguard.operators.reshape import unpivot_matching
-from provguard.operators.windows import level_order, row_ids
 
 
 # --- splits ------------------------------------------------------------------
@@ -208,96 +205,3 @@ def logistic_scores(df: DataFrame, formula: str, drop: Sequence[str] = (), max_i
     rows = predict_logistic(prepared, model).select(residual.alias("_r"), "weight", F.posexplode(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))).alias("_i", "_x"))
     return (rows.groupBy("_i").agg(F.sum(F.col("_r") * F.col("_x")).alias("score"), F.sum(F.col("weight") * F.abs("_x")).alias("scale"))
             .select(table[F.col("_i")].alias("term"), "score", "scale"))
-
-
-# --- forests ------------------------------------------------------------------
-
-_LEVEL_NULL = "\0null"
-
-
-def numeric_features(df: DataFrame, label: str) -> DataFrame:
-    """All columns but the label as numbers: dates as days, text levels as below."""
-    out = df
-    for f in df.schema.fields:
-        if f.name != label and isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            out = out.withColumn(f.name, F.unix_date(F.col(f.name).cast("date")))
-    return out
-
-
-def encode_levels(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
-    """Replace text columns by their level's mean label on the training side.
-
-    Ordering levels by mean label is how a tree would best split a two-class factor, and it
-    treats columns alike whatever their number of levels.  One grouped pass counts the
-    levels of all columns; no level reaches the driver.  Null is a level of its own; a level
-    that training never saw gets the overall mean."""
-    if not columns:
-        return train, test
-    melted = train.select(F.col(label).alias("_y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_c"), F.coalesce(F.col(c), F.lit(_LEVEL_NULL)).alias("_v")) for c in columns])).alias("_p"))
-    means = melted.groupBy("_p._c", "_p._v").agg(F.avg("_y").alias("_m"))
-    overall = float(train.agg(F.avg(label)).first()[0] or 0.0)
-    out = []
-    for side in (train, test):
-        for c in columns:
-            m = means.where(F.col("_c") == c).select(F.col("_v").alias("_level"), F.col("_m").alias("_mean"))
-            side = (side.withColumn("_key", F.coalesce(F.col(c), F.lit(_LEVEL_NULL)))
-                    .join(m, F.col("_key") == F.col("_level"), "left")
-                    .withColumn(c, F.coalesce("_mean", F.lit(overall))).drop("_key", "_level", "_mean"))
-        out.append(side)
-    return out[0], out[1]
-
-
-def forest_importances(df: DataFrame, label: str, key: Sequence[str], num_trees: int = 500, max_depth: int = 30,
-                       seed: int = 0, train_fraction: float = 0.7) -> DataFrame:
-    """Both importances of one random forest: (vars, MeanDecreaseAccuracy, MeanDecreaseGini, base_accuracy).
-
-    500 trees grown out (30 levels, MLlib's most) are the settings of the study's forest.
-    MLlib keeps no out-of-bag scores: accuracy falls are measured on a hold-out, split by a
-    hash of the row key.  For each column the hold-out's values are moved along one random
-    order of its rows, each column by its own number of places, and all moved versions are
-    scored in one job.  Keys must be unique; neither partitions nor row order matter.
-    """
-    feats = [c for c in df.columns if c != label and c not in key]
-    names = [r[0] for r in df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]  # classes
-    rank = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(label).cast("string")).cast("double") - 1 if names else F.lit(None).cast("double")
-    data = numeric_features(df, label).where(F.col(label).isNotNull()).withColumn("_label", rank).drop(label)
-    text = [f.name for f in data.schema.fields if f.name in feats and isinstance(f.dataType, T.StringType)]
-    train, test = hash_split(data, key, train_fraction, seed)
-    train, test = encode_levels(train, test, text, "_label")
-    vector = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    cast = lambda d: d.select(*key, "_label", *[F.col(c).cast("double").alias(c) for c in feats])
-    train = vector.transform(cast(train)).select("_label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
-                                       minInstancesPerNode=1, seed=seed).fit(train)
-    finally:
-        train.unpersist()
-    gini = model.featureImportances.toArray()
-
-    place = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), *[F.col(c).cast("string") for c in key]))
-    ids = row_ids(cast(test).withColumn("_order", place).drop(*key), ["_order"], "_row").drop("_order")
-    n = ids.count()
-    values = F.array(*feats)
-    rows = ids.select("_row", "_label", values.alias("_x"))
-    if n < 2:
-        versions = rows.select("_label", "_x", F.lit(-1).alias("_j"))
-    else:
-        shift = F.lit(1) + F.pmod(F.xxhash64("_j", F.lit(seed)), F.lit(n - 1))
-        moved = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1)))) \
-                    .withColumn("_from", F.pmod(F.col("_row") - 1 + shift, F.lit(n)) + 1)
-        source = rows.select(F.col("_row").alias("_source"), F.col("_x").alias("_y"))
-        moved = moved.join(source, F.col("_from") == F.col("_source")).select(
-            "_label", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_y", F.col("_j"))).otherwise(v)).alias("_x"), "_j")
-        versions = rows.select("_label", "_x", F.lit(-1).alias("_j")).union(moved)
-    scored = model.transform(versions.withColumn("features", array_to_vector("_x")))
-    acc = {r["_j"]: r["acc"] for r in scored.groupBy("_j").agg(
-        F.avg((F.col("prediction") == F.col("_label")).cast("double")).alias("acc")).collect()}  # one row a column
-    base = acc.get(-1, 0.0)
-    out = [(c, float(base - acc.get(j, base)), float(gini[j]), float(base)) for j, c in enumerate(feats)]
-    return df.sparkSession.createDataFrame(out, "vars string, MeanDecreaseAccuracy double, MeanDecreaseGini double, base_accuracy double")
-
-
-def importance_long(wide: DataFrame) -> DataFrame:
-    """The ``Mean*`` columns in long form, variables ordered by value: (vars, name, value, vars_ord)."""
-    return level_order(unpivot_matching(wide.drop("base_accuracy"), "Mean"), "value", "vars_ord")

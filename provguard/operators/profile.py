@@ -101,12 +101,12 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.where(x.isNotNull()).groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def exact_percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(*keys, n, q0, q1, ...): percentiles with linear interpolation from value counts.
+def ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Value counts with each value's first and last rank (from 0) in its group and the group's size:
+    (*keys, _v, _c, _first, _last, n, ...).
 
     The counts are sorted by (keys, value) over range partitions; each part's sum for a group
-    gives the parts after it their start, a running sum inside the part finishes the ranks,
-    and only the rows around the wanted ranks go on."""
+    gives the parts after it their start, and a running sum inside the part finishes the ranks."""
     keys = list(keys)
     parts = sorted_parts(counts, [*keys, "_v"])
     by_part = parts.groupBy("_pid", *keys).agg(F.sum("_c").alias("_size"))
@@ -118,9 +118,16 @@ def exact_percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[fl
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     inside = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (parts.withColumn("_upto", F.sum("_c").over(inside)).join(by_part, same)
-              .withColumn("_last", F.col("_start") + F.col("_upto") - 1)
-              .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+    return (parts.withColumn("_upto", F.sum("_c").over(inside)).join(by_part, same)
+            .withColumn("_last", F.col("_start") + F.col("_upto") - 1)
+            .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+
+
+def exact_percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(*keys, n, q0, q1, ...): percentiles with linear interpolation from value counts; only the
+    rows around the wanted ranks leave the sorted parts."""
+    keys = list(keys)
+    ranked = ranked_counts(counts, keys)
     aggs = []
     near = F.lit(False)
     for i, p in enumerate(probs):

@@ -20,6 +20,7 @@ from provguard.fixed import (NON_PHYSICIAN_SPECIALTIES, OTHER_JOBS, PHYSICIAN_GE
                              UNITEMISED_CODES)
 from provguard.functions import exprs as X
 from provguard.operators import aggregates as A
+from provguard.operators import forest as FO
 from provguard.operators import filters as FL
 from provguard.operators import profile as P
 from provguard.operators import reshape as R
@@ -1129,15 +1130,42 @@ def _physician_model_frame(spark, base):
 
 @register("forest_importance")
 def q_forest_importance(spark, base):
-    """Both importances of one forest in long form."""
+    """Both importances in long form, variables in the order of the accuracy measure."""
     df = _physician_model_frame(spark, base)
-    return M.importance_long(M.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099))
+    return FO.importance_long(FO.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099))
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, base):
+    """Out-of-bag importances, one row a variable."""
     df = _physician_model_frame(spark, base)
-    return M.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099)
+    return FO.forest_importances(df, "npi_or_upin", ["identifier"], seed=1099)
+
+
+_FACTORS = ("o_orderpriority", "o_orderstatus")
+
+
+def _factor_sql(c: str) -> str:
+    """Mean label of the row's level over the other folds, drawn to their overall mean."""
+    level = f"PARTITION BY coalesce({c}, '')"
+    return (f"round((coalesce(sum(y) OVER ({level}), 0) - coalesce(sum(y) OVER ({level}, fold), 0)"
+            f" + 10 * (sum(y) OVER () - sum(y) OVER (PARTITION BY fold)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold)))"
+            f" / (count(*) OVER ({level}) - count(*) OVER ({level}, fold) + 10), 6) AS {c}")
+
+
+@register("factor_encoding", f"""
+WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, o_orderpriority, o_orderstatus,
+         CAST('0x' || substr(md5('7:|' || o_orderkey), 1, 8) AS BIGINT) % 5 AS fold
+  FROM orders
+)
+SELECT o_orderkey, {", ".join(map(_factor_sql, _FACTORS))} FROM o""")
+def q_factor_encoding(spark, base):
+    """Out-of-fold factor encoding of orders: no row's own label enters."""
+    o = read_table(spark, base, "orders", ["o_orderkey", "o_totalprice", *_FACTORS])
+    o = o.withColumn("y", (F.col("o_totalprice") > 150000).cast("double"))
+    out = FO.encode_factors(o, _FACTORS, "y", ["o_orderkey"], seed=7)
+    return out.select("o_orderkey", *[r6(c).alias(c) for c in _FACTORS])
 
 
 def queries() -> dict[str, Query]:

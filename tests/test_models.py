@@ -35,57 +35,6 @@ def test_ols_closed_form(spark):
     assert math.isclose(glm["x"], slope, rel_tol=1e-6)
 
 
-def _planted(spark, n=1500):
-    # label follows `signal`; `noise` is unrelated
-    return spark.range(n).select(
-        F.when((F.col("id") % 2) == 0, "present").otherwise("missing").alias("y"),
-        F.when((F.col("id") % 2) == 0, "s1").otherwise("s0").alias("signal"),
-        (F.col("id") * 7919 % 101).cast("double").alias("noise"))
-
-
-def _forest(df, **k):
-    out = M.forest_importances(df.withColumn("k", F.monotonically_increasing_id()) if "k" not in df.columns else df,
-                               "y", ["k"], num_trees=8, max_depth=6, seed=3, **k)
-    return {r.vars: r for r in out.collect()}
-
-
-def test_forest_importances_planted(spark):
-    out = _forest(_planted(spark))
-    assert out["signal"].MeanDecreaseGini > out["noise"].MeanDecreaseGini
-    assert out["signal"].MeanDecreaseAccuracy > 0.35 and abs(out["noise"].MeanDecreaseAccuracy) < 0.1
-    assert out["signal"].base_accuracy > 0.95
-    long = M.importance_long(M.forest_importances(_planted(spark).withColumn("k", F.col("noise") * 0 + F.monotonically_increasing_id()),
-                                                  "y", ["k"], num_trees=5, max_depth=4))
-    assert {(r.vars, r.name) for r in long.collect()} == {(v, n) for v in ("signal", "noise") for n in ("MeanDecreaseAccuracy", "MeanDecreaseGini")}
-
-
-@pytest.mark.parametrize("levels", [5, 101])
-def test_permutation_does_not_depend_on_partitions_or_copies(spark, levels):
-    """Few distinct rows, any number of shuffle partitions, any row order: one answer."""
-    df = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "p").otherwise("m").alias("y"),
-                                  F.when(F.col("id") % 2 == 0, "s1").otherwise("s0").alias("signal"),
-                                  (F.col("id") * 7919 % levels).cast("double").alias("noise"))
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        got = []
-        for n in (2, 64, 300):
-            spark.conf.set("spark.sql.shuffle.partitions", n)
-            out = _forest(df.repartition(n % 7 + 1))
-            got.append(round(out["signal"].MeanDecreaseAccuracy, 9))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert len(set(got)) == 1 and got[0] > 0.4
-
-
-def test_level_encoding_does_not_switch_on_width(spark):
-    """A text column of 2,000 levels is treated like one of two; null is a level, new levels get the mean."""
-    train = spark.createDataFrame([(f"v{k % 2000}" if k % 10 else None, float(k % 2)) for k in range(4000)], "c string, y double")
-    test = spark.createDataFrame([("v1",), (None,), ("new",)], "c string").withColumn("y", F.lit(0.0))
-    a, b = M.encode_levels(train, test, ["c"], "y")
-    got = [r.c for r in b.select("c").collect()]
-    assert a.count() == 4000 and sorted(got) == sorted([1.0, 0.0, 0.5])
-
-
 def test_hash_split_keeps_small_shares(spark):
     tr, te = M.hash_split(spark.range(50_000).withColumnRenamed("id", "k"), "k", 0.999, seed=1)
     assert 20 < te.count() < 90 and tr.count() + te.count() == 50_000
