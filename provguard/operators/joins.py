@@ -13,11 +13,11 @@ no sample to take; there only null keys are spread.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provguard.session import plan_bytes
+from provguard.session import ensure_checkpoint_dir, plan_bytes
 
 
 def surely_broadcast(df: DataFrame) -> bool:
@@ -99,6 +99,66 @@ def label_by_membership(facts: DataFrame, members: DataFrame, fact_key: str,
             .drop("_member_key", "_member_hit"))
 
 
+# --- Bloom prefilter -----------------------------------------------------------
+
+BLOOM_BITS_PER_KEY = 16  # with 4 bits set: about 1 of 300 other keys passes
+BLOOM_MAX_BYTES = 8 << 20
+
+
+def _bloom_place(key: Column, words: int) -> tuple[Column, Column]:
+    """The word (64 bits) of a key and its four bits there."""
+    h = F.xxhash64(key, F.lit(1))
+    mask = F.lit(0).cast("long")
+    for n in range(4):
+        at = F.shiftrightunsigned(h, 6 * n).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    return F.pmod(F.xxhash64(key), F.lit(words)), mask
+
+
+def bloom_words(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """(word, bits): the filter of a key column.  Filters of one size merge by ``merge_bloom``."""
+    word, mask = _bloom_place(F.col(key), words)
+    return keys.where(F.col(key).isNotNull()).groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+
+
+def merge_bloom(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The filter of both key sets."""
+    return a.unionByName(b).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def might_hold(bloom: DataFrame, key: Column, words: int) -> Column:
+    """False only for keys that the filter surely lacks; null for a null key.
+
+    The filter comes to the tasks as one array of ``words`` numbers (a scalar subquery)."""
+    every = bloom.sparkSession.range(words).join(bloom, F.col("id") == F.col("word"), "left")
+    array = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("a"))
+    array = array.select(F.transform("a", lambda x: x["bits"])).scalar()
+    word, mask = _bloom_place(key, words)
+    held = F.element_at(array, (word + 1).cast("int"))
+    return F.when(key.isNotNull(), held.bitwiseAND(mask) == mask)
+
+
+def label_by_bloom(facts: DataFrame, members: DataFrame, fact_key: str, member_key: str | None = None, label: str = "fraud",
+                   yes: object = "yes", no: object = "no", max_bytes: int = BLOOM_MAX_BYTES) -> DataFrame:
+    """``label_by_membership`` where only rows that pass a Bloom filter of the list are shuffled.
+
+    The filter is built in Spark and its size is checked: a list too long for ``max_bytes`` is
+    joined without it.  Rows that miss take ``no`` straight from the scan, so the fact table is scanned
+    twice, and the join's shuffle holds the list's rows and few others."""
+    if facts.isStreaming:
+        return label_by_membership(facts, members, fact_key, member_key, label, yes, no)
+    ensure_checkpoint_dir(facts.sparkSession)
+    keys = members.select(F.col(member_key or fact_key).alias("_listed")).where(F.col("_listed").isNotNull()).distinct().checkpoint()
+    words = max(1, -(-keys.count() * BLOOM_BITS_PER_KEY // 64))
+    if 8 * words > max_bytes:
+        return label_by_membership(facts, keys, fact_key, "_listed", label, yes, no)
+    kind = facts.schema[fact_key].dataType
+    keys = keys.withColumn("_listed", F.col("_listed").cast(kind))
+    hit = F.coalesce(might_hold(bloom_words(keys, "_listed", words).checkpoint(), F.col(fact_key), words), F.lit(False))
+    some = label_by_membership(facts.where(hit), keys, fact_key, "_listed", label, yes, no)
+    return some.unionByName(facts.where(~hit).withColumn(label, F.lit(no)))
+
+
 def left_join_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                      right_cols: list[str] | None = None, null_safe: bool = False,
                      salt_buckets: int = DEFAULT_SALT_BUCKETS,

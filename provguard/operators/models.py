@@ -9,8 +9,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RFormula, VectorAssembler
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provguard.functions.exprs import col
+from provguard.session import ensure_checkpoint_dir
 
 
 # --- splits ------------------------------------------------------------------
@@ -156,17 +160,36 @@ def class_weights(df: DataFrame, label: str = "label", name: str = "weight") ->
     return df.join(w, df[label] == w["_class"], "left").drop("_class")
 
 
+def prepare_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), vectors: Sequence[str] = (), balanced: bool = True) -> DataFrame:
+    """Rows with ``label``, ``features`` and ``weight`` (1 unless ``balanced``).
+
+    ``vectors`` names columns that are vectors already (see ``sparse.py``); they stand after the formula's terms."""
+    named = formula.split("~")[0].strip().strip("`")
+    ensure_checkpoint_dir(df.sparkSession)
+    # Features are often a pivot over all claims: made once, then read by every pass.
+    data = fill_numeric_nulls(df.where(F.col(f"`{named}`").isNotNull())).checkpoint()
+    if isinstance(df.schema[named].dataType, T.StringType):  # classes in the order of their names
+        classes = [r[0] for r in data.select(F.col(f"`{named}`")).distinct().collect()]
+        rank = F.array_position(F.array(*[F.lit(c) for c in sorted(classes)]), F.col(f"`{named}`")) - 1
+        data = data.withColumn(named, rank.cast("double") if classes else F.lit(None).cast("double"))
+    rf = RFormula(formula=_formula(formula, drop), featuresCol="features", labelCol="label",
+                  handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
+    data = rf.fit(data.drop(*vectors)).transform(data)
+    if vectors:
+        data = (VectorAssembler(inputCols=["features", *vectors], outputCol="_all").transform(data)
+                .drop("features", *vectors).withColumnRenamed("_all", "features"))
+    return class_weights(data) if balanced else data.withColumn("weight", F.lit(1.0))
+
+
 def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100,
-                 tol: float = 1e-6):
-    """Weighted logistic regression on the label: (rows with features and weight, model).
+                 tol: float = 1e-6, vectors: Sequence[str] = (), balanced: bool = True):
+    """Logistic regression on the label, classes weighted alike if ``balanced``: (rows with
+    features and weight, model).
 
     Labels of one class only leave nothing to fit: the model is None.
     ``max_iter`` is MLlib's default of 100; a fit that stops there has not converged and
     raises an error."""
-    data = fill_numeric_nulls(df)
-    rf = RFormula(formula=_formula(formula, drop), featuresCol="features", labelCol="label",
-                  handleInvalid="keep", stringIndexerOrderType="alphabetAsc")
-    prepared = class_weights(rf.fit(data).transform(data).where(F.col("label").isNotNull()))
+    prepared = prepare_logistic(df, formula, drop, vectors, balanced)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # a pass per iteration
     try:
         low, high = prepared.agg(F.min("label"), F.max("label")).first()
@@ -181,6 +204,68 @@ def fit_logistic(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter
     return prepared, model
 
 
+def information(prepared: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score vector and Fisher information X'WX of a logistic fit at ``beta`` (the intercept last).
+
+    Each task adds up its rows block by block, as p x p products, and sends p + 1 rows; Spark adds
+    these by (row, column).  p * p numbers reach the driver, as with any normal equations."""
+    p = len(beta)
+
+    def run(batches):
+        total = np.zeros((p + 1, p))
+        for b in batches:
+            x = b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0)
+            x = np.column_stack([x.flatten().to_numpy().reshape(b.num_rows, p - 1), np.ones(b.num_rows)])
+            y, w = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            fit = 1 / (1 + np.exp(-x @ beta))
+            total[:p] += (x * (w * fit * (1 - fit))[:, None]).T @ x
+            total[p] += x.T @ (w * (y - fit))
+        yield pa.RecordBatch.from_arrays([pa.array(range(p + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    rows = prepared.select(vector_to_array("features").alias("x"), F.col("label").cast("double"), F.col("weight").cast("double"))
+    sums = (rows.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+            .groupBy("i", "j").agg(F.sum("v")).collect())
+    out = np.zeros((p + 1, p))
+    for i, j, v in sums:
+        out[i, j] = v
+    return out[p], out[:p]
+
+
+def logistic_terms(df: DataFrame, formula: str, drop: Sequence[str] = (), max_iter: int = 100, newton: int = 3,
+                   balanced: bool = False) -> DataFrame:
+    """The coefficient table of a logistic fit: ``term, estimate, std_err, z_value, p_value``.
+
+    MLlib's estimates are brought to the score equations' root by ``newton`` steps with the Fisher
+    information, whose inverse at the end gives the standard errors.  Directions that the data do not
+    fix (terms that add up to others) keep MLlib's estimate and get a null error.  Labels of one class give null estimates.
+    The information has a row and a column for each term, so this is for thousands of terms, not
+    for codes without bound."""
+    prepared, model = fit_logistic(df, formula, drop, max_iter, balanced=balanced)
+    names = [*_terms(prepared), "(Intercept)"]
+    schema = "term string, estimate double, std_err double, z_value double, p_value double"
+    if model is None:
+        return df.sparkSession.createDataFrame([(t, None, None, None, None) for t in names], schema)
+    beta = np.append(model.coefficients.toArray(), model.intercept)
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(newton):
+            score, info = information(prepared, beta)
+            beta = beta + np.linalg.pinv(info, rcond=1e-12, hermitian=True) @ score
+        _, info = information(prepared, beta)
+    finally:
+        prepared.unpersist()
+    scale = np.sqrt(np.where(np.diag(info) > 0, np.diag(info), 1.0))
+    size, axes = np.linalg.eigh(info / np.outer(scale, scale))
+    free = size < 1e-10 * size.max()
+    variance = ((axes[:, ~free] ** 2) / size[~free]).sum(1) / scale ** 2
+    fixed = (axes[:, free] ** 2).sum(1) < 1e-8
+    rows = []
+    for t, b, v, ok in zip(names, beta.tolist(), variance.tolist(), fixed.tolist()):
+        se = math.sqrt(v) if ok and v > 0 else None
+        rows.append((t, b, se, b / se if se else None, math.erfc(abs(b / se) / math.sqrt(2)) if se else None))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def predict_logistic(prepared: DataFrame, model) -> DataFrame:
     """``prediction`` and ``p_positive`` of every row; without a model both are the only label."""
     if model is None:
@@ -188,10 +273,10 @@ def predict_logistic(prepared: DataFrame, model) -> DataFrame:
     return model.transform(prepared).withColumn("p_positive", vector_to_array("probability")[1])
 
 
-def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (),
-                         key: str = "rndrng_npi", max_iter: int = 100) -> DataFrame:
+def fit_logistic_predict(df: DataFrame, formula: str, drop: Sequence[str] = (), key: str = "rndrng_npi",
+                         max_iter: int = 100, tol: float = 1e-6, vectors: Sequence[str] = ()) -> DataFrame:
     """Weighted logistic regression on the label; per-row positive probability."""
-    prepared, model = fit_logistic(df, formula, [key, *drop], max_iter)
+    prepared, model = fit_logistic(df, formula, [key, *drop], max_iter, tol, vectors)
     return predict_logistic(prepared, model).select(key, "label", "prediction", "p_positive")
 
 

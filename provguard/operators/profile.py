@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provguard.operators.windows import sorted_parts
+from provguard.session import ship_package
 
 
 def _kind(dt: T.DataType) -> str:
@@ -219,6 +222,61 @@ def corr_long(df: DataFrame, columns: Sequence[str], lower_only: bool = True) ->
     return wide.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
 
+def corr_blocks(df: DataFrame, columns: Sequence[str], lower_only: bool = True, block: int = 500) -> DataFrame:
+    """``corr_long`` for many columns: pairwise complete moments as masked matrix products.
+
+    A task turns its rows into a matrix with zeros for nulls and a mask, and adds up counts, sums, squares and
+    products of every pair of columns by matrix products; Spark adds the tasks' sums by pair.  One pass
+    covers ``block`` columns against ``block`` others, so a task holds six such matrices whatever the
+    number of columns, and up to ``block`` columns take one pass.  Columns are centred first, for
+    accuracy.  A pair without two complete rows or without spread gives null."""
+    cols = list(columns)
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    row = numbers.agg(*[F.avg(F.nanvl(F.col(f"x{i}"), F.lit(None).cast("double"))) for i in range(len(cols))]).first()
+    centre = np.array([0.0 if m is None else m for m in row])
+    ship_package(df.sparkSession)
+
+    def moments(a: range, b: range):
+        def run(batches):
+            total = np.zeros((6, len(a), len(b)))
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                seen = ~np.isnan(x)
+                x = np.where(seen, x - np.concatenate([centre[a.start:a.stop], [] if a == b else centre[b.start:b.stop]]), 0.0)
+                m = seen.astype(float)
+                left = slice(0, len(a))
+                right = left if a == b else slice(len(a), None)
+                xa, ma, xb, mb = x[:, left], m[:, left], x[:, right], m[:, right]
+                total += [ma.T @ mb, xa.T @ mb, (xa * xa).T @ mb, ma.T @ xb, ma.T @ (xb * xb), xa.T @ xb]
+            values = [pa.array(list(t), pa.list_(pa.float64())) for t in total]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), *values], names=["i", *_MOMENTS])
+
+        held = numbers.select(*[f"x{i}" for i in (a if a == b else (*a, *b))])
+        rows = held.mapInArrow(run, "i int, " + ", ".join(f"{c} array<double>" for c in _MOMENTS))
+        zipped = F.posexplode(F.arrays_zip(*_MOMENTS)).alias("j", "m")
+        return (rows.select("i", zipped).select("i", (F.col("j") + b.start).alias("j"), "m.*")
+                .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS]))
+
+    cuts = [range(k, min(k + block, len(cols))) for k in range(0, len(cols), block)]
+    parts = [moments(a, b) for x, a in enumerate(cuts) for b in cuts[:x + 1]]
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    n = F.col("n")
+    spread = (n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2)
+    r = F.when((n > 1) & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread))
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = pairs.withColumn("r", r)
+    lower = pairs.where("i > j").select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), "r")
+    if lower_only:
+        return lower
+    same = pairs.where("i = j").select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), "r")
+    return lower.union(lower.select(F.col("y").alias("x"), F.col("x").alias("y"), "r")).union(same)
+
+
+_MOMENTS = ("n", "sx", "sxx", "sy", "syy", "sxy")
+
+
 def corr_matrix_mllib(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix with MLlib (rows with any null dropped first), long form."""
     from pyspark.ml.feature import VectorAssembler

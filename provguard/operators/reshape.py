@@ -64,6 +64,19 @@ def pivot_count(df: DataFrame, keys: Sequence[str], pivot: str, values: Sequence
     return pivot_agg(df, keys, pivot, F.count(F.lit(1)), values, fill, null_label)
 
 
+def count_grid(df: DataFrame, row: str, col: str, value: str = "value", null_label: str = "NA") -> DataFrame:
+    """The count matrix in long form, zeros included: (row, col, value) for every row and every level of ``col``.
+
+    Each row gathers a map of its counts; the levels are one array (a scalar subquery) exploded beside
+    it.  No level reaches the driver, and the plan does not grow with their number."""
+    level = F.coalesce(F.col(col).cast("string"), F.lit(null_label))
+    counts = df.groupBy(row, level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    levels = counts.select("_level").distinct().agg(F.sort_array(F.collect_list("_level"))).scalar()
+    by_row = counts.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_level", "_n"))).alias("_held"))
+    cells = by_row.select(row, "_held", F.explode(levels).alias(col))
+    return cells.select(row, col, F.coalesce(F.try_element_at("_held", F.col(col)), F.lit(0).cast("long")).alias(value))
+
+
 def composite_key(*cols: str, sep: str = "_") -> Column:
     """``names_from = c(a, b)``: the values joined by ``sep``."""
     return F.concat_ws(sep, *[F.col(c).cast("string") for c in cols])

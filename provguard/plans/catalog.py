@@ -26,14 +26,16 @@ from provguard.operators import profile as P
 from provguard.operators import reshape as R
 from provguard.operators import windows as W
 from provguard.operators import models as M
-from provguard.operators.joins import label_by_membership, left_join_fanout
+from provguard.operators import sketches as SK
+from provguard.operators import sparse as SP
+from provguard.operators.joins import label_by_bloom, label_by_membership, left_join_fanout
 from provguard.plans import cleaning as C
 from provguard.plans import pipelines as PL
 from provguard.plans import standins as S
 from provguard.plans.oracle import (CLAIMS_CTE, EXCL_BASE, EXCL_RAW_CTE, EXCL_TOK_CTE,
                                     MANDATORY_CTE, STATUTE_CTE, q, sql_in, with_ctes)
 from provguard.sources import csv as CSV
-from provguard.sources import sinks
+from provguard.sources import sinks, store
 from provguard.session import scratch_path
 from provguard.sources.tables import read_table
 
@@ -1168,6 +1170,156 @@ def q_factor_encoding(spark, base):
     return out.select("o_orderkey", *[r6(c).alias(c) for c in _FACTORS])
 
 
+# --- features and fits on any number of codes ----------------------------------------
+
+@register("code_vectors", with_ctes(*EXCL_BASE, CLAIMS_CTE) + _CC_CTE + f"""
+, v AS (SELECT {_PROVIDER_KEYS_SQL}, coalesce(hcpcs_cd, 'NA') AS code, avg(srvcs_per_bene) AS mean FROM cc GROUP BY ALL)
+, i AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS idx FROM (SELECT DISTINCT code FROM v))
+, m AS (SELECT {_PROVIDER_KEYS_SQL}, count(mean) FILTER (WHERE mean <> 0) AS n_codes,
+               coalesce(sum(idx) FILTER (WHERE mean <> 0), 0)::BIGINT AS sum_index,
+               round(coalesce(sum((idx + 1) * mean), 0), 4) AS weighted FROM v JOIN i USING (code) GROUP BY ALL)
+SELECT m.*, {_FRAUD_SQL} FROM m""")
+def q_code_vectors(spark, base):
+    """Each provider's sparse vector over the dense index of codes: places and values."""
+    out, _ = PL.provider_features_vector(_claims(spark, base), _clean(spark, base))
+    e = SP.vector_entries("codes")
+    return out.select(*PL.PROVIDER_KEYS, F.size(e).cast("long").alias("n_codes"),
+                      F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x["index"]).alias("sum_index"),
+                      F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + (x["index"] + 1) * x["value"]), 4).alias("weighted"), "fraud")
+
+
+def _newton_sql(ctes: str, source: str, y: str, x1: str, x2: str, weight: str = "1.0", steps: int = 9) -> str:
+    """Newton's steps of a two-regressor logistic fit from 0; table ``b`` has the estimates and the
+    inverse information."""
+    out = f"""{ctes}
+d AS MATERIALIZED (SELECT ({y})::DOUBLE AS y, ({x1})::DOUBLE AS x1, ({x2})::DOUBLE AS x2, ({weight})::DOUBLE AS w FROM {source}),
+b0 AS (SELECT 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2)"""
+    for k in range(steps):
+        out += f""",
+s{k} AS (SELECT c0, c1, c2, sum(w * q) AS a00, sum(w * q * x1) AS a01, sum(w * q * x2) AS a02, sum(w * q * x1 * x1) AS a11,
+               sum(w * q * x1 * x2) AS a12, sum(w * q * x2 * x2) AS a22, sum(w * (y - f)) AS g0, sum(w * (y - f) * x1) AS g1, sum(w * (y - f) * x2) AS g2
+        FROM (SELECT *, f * (1 - f) AS q FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2))) AS f FROM d, b{k})) GROUP BY c0, c1, c2),
+i{k} AS (SELECT *, (a11 * a22 - a12 * a12) / det AS i00, (a02 * a12 - a01 * a22) / det AS i01, (a01 * a12 - a02 * a11) / det AS i02,
+               (a00 * a22 - a02 * a02) / det AS i11, (a01 * a02 - a00 * a12) / det AS i12, (a00 * a11 - a01 * a01) / det AS i22
+        FROM (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det FROM s{k})),
+b{k + 1} AS MATERIALIZED (SELECT c0 + i00 * g0 + i01 * g1 + i02 * g2 AS c0, c1 + i01 * g0 + i11 * g1 + i12 * g2 AS c1,
+               c2 + i02 * g0 + i12 * g1 + i22 * g2 AS c2, i00, i11, i22 FROM i{k})"""
+    return out.replace(f"b{steps} AS", "b AS")
+
+
+@register("logit_terms", "WITH " + _newton_sql("", "lineitem", "l_extendedprice > 30000", "l_quantity", "l_discount") + """
+SELECT term, round(estimate, 4) AS estimate, round(std_err, 4) AS std_err, round(estimate / std_err, 3) AS z_value FROM (
+  SELECT 'l_quantity' AS term, c1 AS estimate, sqrt(i11) AS std_err FROM b
+  UNION ALL SELECT 'l_discount', c2, sqrt(i22) FROM b
+  UNION ALL SELECT '(Intercept)', c0, sqrt(i00) FROM b)""")
+def q_logit_terms(spark, base):
+    """Coefficient table of a logistic fit: estimates, errors and z by the Fisher information."""
+    li = read_table(spark, base, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
+    li = li.select(F.when(F.col("l_extendedprice") > 30000, "true").otherwise("false").alias("high"), "l_quantity", "l_discount")
+    out = M.logistic_terms(li, "high ~ l_quantity + l_discount")
+    return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_err", 4).alias("std_err"), F.round("z_value", 3).alias("z_value"))
+
+
+_LOGIT_ORDERS = """
+o AS (SELECT o_orderkey, o_totalprice > 300000 AS y, o_custkey / 1000.0 AS x1, dayofyear(o_orderdate) / 100.0 AS x2 FROM orders),
+k AS (SELECT *, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM o),"""
+
+
+@register("logit_fit", "WITH " + _newton_sql(_LOGIT_ORDERS, "k", "y::INTEGER", "x1", "x2", "w") + """
+SELECT o_orderkey, (y::INTEGER)::DOUBLE AS label, round(1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2))), 4) AS p_positive FROM o, b""")
+def q_logit_fit(spark, base):
+    """Class-weighted logistic predictions, against Newton's steps in SQL."""
+    o = read_table(spark, base, "orders", ["o_orderkey", "o_totalprice", "o_custkey", "o_orderdate"])
+    o = o.select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "true").otherwise("false").alias("high"),
+                 (F.col("o_custkey") / 1000.0).alias("x1"), (F.dayofyear("o_orderdate") / 100.0).alias("x2"))
+    out = M.fit_logistic_predict(o, "high ~ x1 + x2", key="o_orderkey", tol=1e-12)
+    return out.select("o_orderkey", "label", F.round("p_positive", 4).alias("p_positive"))
+
+
+# --- many columns -----------------------------------------------------------------------
+
+_WIDE = 60  # columns of the wide matrix; the SQL has those of _WIDE_SUBSET
+_WIDE_SUBSET = (0, 7, 23, 41, 59)
+
+
+def _wide_sql(k: int) -> str:
+    return f"CASE WHEN (l_linenumber + {k}) % 5 <> 0 THEN l_quantity * {k % 7} + l_extendedprice * {k % 3} / 1000 + (l_partkey % {k + 2}) + l_tax END"
+
+
+@register("corr_wide", "WITH w AS (SELECT " + ", ".join(f"{_wide_sql(k)} AS c{k}" for k in _WIDE_SUBSET) + " FROM lineitem)\n" + "\nUNION ALL\n".join(
+    f"SELECT 'c{a}' AS x, 'c{b}' AS y, round(corr(c{a}, c{b}), 6) AS r FROM w" for a in _WIDE_SUBSET for b in _WIDE_SUBSET if a > b))
+def q_corr_wide(spark, base):
+    """Pairwise complete correlation of many columns with gaps, by blocked moments."""
+    li = read_table(spark, base, "lineitem", ["l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_tax"])
+    wide = li.select(*[F.when((F.col("l_linenumber") + k) % 5 != 0, F.col("l_quantity") * (k % 7) + F.col("l_extendedprice") * (k % 3) / 1000
+                              + (F.col("l_partkey") % (k + 2)) + F.col("l_tax")).alias(f"c{k}") for k in range(_WIDE)])
+    kept = [f"c{k}" for k in _WIDE_SUBSET]
+    return P.corr_blocks(wide, wide.columns).where(F.col("x").isin(kept) & F.col("y").isin(kept)).withColumn("r", r6("r"))
+
+
+# --- label join beyond the plain one --------------------------------------------------------
+
+@register("label_bloom", ORACLE["labelled_claims"])
+def q_label_bloom(spark, base):
+    """The mandatory label with a Bloom filter of the list at the claim scan."""
+    lines = _claims(spark, base).select("rndrng_npi", "rndrng_prvdr_type", "place_of_srvc", "hcpcs_cd", "tot_srvcs")
+    return label_by_bloom(lines, C.mandatory_npis(_raw(spark, base)), "rndrng_npi")
+
+
+@register("claim_store", with_ctes(*EXCL_BASE[:2], CLAIMS_CTE, MANDATORY_CTE) + """
+SELECT year, fraud, count(*) AS n, round(sum(tot_srvcs), 6) AS tot_srvcs FROM (
+  SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM mandatory m WHERE m.rndrng_npi = c.rndrng_npi) THEN 'yes' ELSE 'no' END AS fraud
+  FROM claims c WHERE year >= 1997) GROUP BY year, fraud""")
+def q_claim_store(spark, base):
+    """Claims stored by year and provider bucket, labelled without a shuffle of either side."""
+    claims = store.write_claim_store(_claims(spark, base), store.table_name("claims"), scratch_path(spark, "claim-store"), buckets=8)
+    listed = store.write_member_store(C.mandatory_npis(_raw(spark, base)), store.table_name("listed"), scratch_path(spark, "list-store"),
+                                      "rndrng_npi", buckets=8)
+    lab = store.label_from_store(claims.where(F.col("year") >= 1997), listed)
+    return lab.groupBy("year", "fraud").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("tot_srvcs")).alias("tot_srvcs"))
+
+
+# --- mergeable sketches ---------------------------------------------------------------------
+
+@register("distinct_sketch", with_ctes(CLAIMS_CTE) + """
+SELECT rndrng_prvdr_type, rndrng_prvdr_state_abrvtn, count(*) AS n_rows, count(*) FILTER (WHERE hcpcs_cd IS NULL) AS n_missing,
+       count(DISTINCT hcpcs_cd) + CAST(bool_or(hcpcs_cd IS NULL) AS INTEGER) AS n_unique
+FROM claims GROUP BY 1, 2""")
+def q_distinct_sketch(spark, base):
+    """Codes billed by type and state, from a sketch for each year's load; few codes are counted exactly."""
+    keys = ["rndrng_prvdr_type", "rndrng_prvdr_state_abrvtn"]
+    loads = SK.distinct_sketches(_claims(spark, base), ["year", *keys], ["hcpcs_cd"])
+    return SK.merged_distinct(loads, keys, count_null=True).drop("column")
+
+
+_SKETCHED = ("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@register("profile_sketch", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique, true AS within FROM orders"
+    for c in _SKETCHED))
+def q_profile_sketch(spark, base):
+    """Column profile merged from monthly sketches: the estimates lie within 4 % of the exact counts."""
+    o = read_table(spark, base, "orders", [*_SKETCHED, "o_orderdate"])
+    loads = SK.distinct_sketches(o, [F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")], _SKETCHED)
+    merged = SK.merged_distinct(loads, [])
+    exact = P.profile_columns(o.select(*[F.col(c).cast("string") for c in _SKETCHED])).select("skim_variable", F.col("character_n_unique").alias("exact"))
+    out = merged.join(exact, F.col("column") == F.col("skim_variable"))
+    return out.select("column", "n_rows", "n_missing", F.col("exact").alias("n_unique"),
+                      (F.abs(F.col("n_unique") - F.col("exact")) <= 0.04 * F.col("exact")).alias("within"))
+
+
+@register("quantile_sketch", """
+SELECT l_returnflag, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p, count(*) AS n, true AS within FROM lineitem GROUP BY l_returnflag""")
+def q_quantile_sketch(spark, base):
+    """Quartiles of the price by flag, merged from monthly sketches: ranks within 1.5 % of the exact ones."""
+    li = read_table(spark, base, "lineitem", ["l_returnflag", "l_extendedprice", "l_shipdate"])
+    loads = SK.quantile_sketches(li, ["l_returnflag", F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month")], "l_extendedprice")
+    merged = SK.merged_quantiles(loads, ["l_returnflag"], [0.25, 0.5, 0.75])
+    errors = SK.rank_errors(li, ["l_returnflag"], "l_extendedprice", merged)
+    return errors.select("l_returnflag", "p", "n", (F.col("error") <= 0.015).alias("within"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -21,6 +21,7 @@ from provguard.operators import windows as W
 from provguard.operators.filters import drop_null, filter_date_range
 from provguard.operators.profile import median_by
 from provguard.operators.joins import enrich, label_by_membership
+from provguard.operators.sparse import code_index, sparse_vectors
 
 PROVIDER_KEYS = ("rndrng_npi", "rndrng_prvdr_type", "rndrng_prvdr_gndr",
                  "rndrng_prvdr_state_abrvtn", "rndrng_prvdr_zip5", "rndrng_prvdr_ruca")
@@ -88,6 +89,16 @@ def provider_features_sparse(claims: DataFrame, excluded: DataFrame, provider_ty
     return _label_excluded(sparse, excluded, label)
 
 
+def provider_features_vector(claims: DataFrame, excluded: DataFrame, provider_type: str = "Internal Medicine",
+                             label: str = "fraud") -> tuple[DataFrame, DataFrame]:
+    """(provider keys, ``codes`` as one sparse vector, label) and the index of codes: what models are
+    fitted on when there are too many codes for columns."""
+    long = R.long_agg(clean_claims(claims, provider_type), list(PROVIDER_KEYS), "hcpcs_cd", F.avg("srvcs_per_bene"), "hcpcs_cd", "srvcs_per_bene")
+    index = code_index(long, "hcpcs_cd")
+    vectors = sparse_vectors(long, list(PROVIDER_KEYS), "hcpcs_cd", "srvcs_per_bene", index, index.count())
+    return _label_excluded(vectors, excluded, label), index
+
+
 # --- X03 labelled claim lines ---------------------------------------------------
 
 def labelled_claims(claims: DataFrame, mandatory: DataFrame, label: str = "fraud") -> DataFrame:
@@ -245,10 +256,7 @@ def matrix_zscores(clean: DataFrame, row: str, col: str) -> DataFrame:
     """Count matrix in long form (zeros included), z-scored per column.
 
     Every value of ``col`` in the data is a column; null is the column ``NA``."""
-    names = R.distinct_values(clean, F.coalesce(F.col(col), F.lit("NA")))
-    wide = R.pivot_count(clean, [row], col, names, fill=0, null_label="NA")
-    long = R.unpivot(wide, [row], names, col, "value")
-    return W.zscore_by(long, [col], "value", "z")
+    return W.zscore_by(R.count_grid(clean, row, col), [col], "value", "z")
 
 
 def age_by_statute(clean: DataFrame) -> DataFrame:
