@@ -2,22 +2,22 @@
 
 A seed looks at ``len(mask)`` consecutive words and hashes those where a fixed mask has
 a 1, so words at the 0s may differ.  Seeds of the benchmark and of the documents are joined by
-hash; each hit's surroundings are compared word by word and extended while the matches pay
-for the mismatches.  An overlap counts from ``min_equal`` equal words on, at least ``min_share``
-of its length.
+hash; each hit's surroundings are compared word by word.  Every stretch around a seed counts that
+has ``min_equal`` equal words or more, at least ``min_share`` of its length, whatever stands beside it.
 
 Document seeds first pass a bit filter of the benchmark's seeds: 2**FILTER_BITS bits
 whatever the benchmark's size (8 MB; a fuller filter only lets more rows through to the join,
 which decides).  Documents with a seed that passes are written once as chunks of ``CHUNK``
 words.  A hit only names a diagonal of a document and an item: the whole item is laid along
-it word by word, every seed of the diagonal is grown, and overlaps that touch are one.
+it word by word, all overlaps on it are found, and those that touch are one.
 
 Items shorter than the masks have one seed, all their words, and match where these stand
 in a row, whatever ``min_equal``.
 
 Defined cases: null text has no words; items without words match nothing; each row of a
 document or an item is reported by itself, whatever its id (repeated or null); empty tables
-give no rows; extra columns are ignored; texts are read whole.
+give no rows; extra columns are ignored; texts are read whole; a text that repeats itself (one
+word over and over) overlaps an item on many diagonals and gives a row for each.
 """
 
 from __future__ import annotations
@@ -114,27 +114,37 @@ def filter_bits(seeds: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def overlaps(eq: np.ndarray, masks: tuple[str, ...], min_equal: int, min_share: float, penalty: int = 3) -> list[tuple[int, int, int]]:
+def overlaps(eq: np.ndarray, masks: tuple[str, ...], min_equal: int, min_share: float) -> list[tuple[int, int, int]]:
     """(start, end, equal words) of the overlaps on one diagonal, from its marks of equal words.
 
-    Each seed is grown to its best ungapped overlap on either side; those that pass and touch are one."""
-    k = len(eq) - len(masks[0]) + 1
+    An overlap is a stretch that holds a seed, ``min_equal`` equal words and ``min_share`` of its length of
+    them.  With equal words worth 1 - min_share and others -min_share, the last says that its sum is not
+    negative.  For each end only the first start of no larger sum matters, starts are strict lowest
+    sums so far and ends strict highest ones from there on: each stretch that passes lies in one of these.  They
+    are cut to their outer equal words, and those that touch are one."""
+    span = len(masks[0])
+    k = len(eq) - span + 1
     if k <= 0:
         return []
     hit = np.zeros(k, bool)
     for mask in masks:
         hit |= np.all([eq[j:j + k] for j, bit in enumerate(mask) if bit == "1"], axis=0)
-    hit = np.flatnonzero(hit)
-    total = np.concatenate([[0], np.cumsum(np.where(eq, 1, -penalty))])
+    share = round(1000 * min_share)
+    total = np.concatenate([[0], np.cumsum(np.where(eq, 1000 - share, -share))])
     equal = np.concatenate([[0], np.cumsum(eq)])
-    low = np.flatnonzero(total == np.minimum.accumulate(total))
-    high = np.flatnonzero(total == np.maximum.accumulate(total[::-1])[::-1])
-    start = low[np.searchsorted(low, hit, "right") - 1]  # the nearest lowest total before the seed
-    end = high[np.searchsorted(high, hit + len(masks[0]))]  # the nearest highest one after it
-    n = equal[end] - equal[start]
-    good = (n >= min_equal) & (n >= min_share * (end - start))
+    hits = np.concatenate([[0], np.cumsum(hit)])
+    low = np.flatnonzero(np.concatenate([[True], total[1:] < np.minimum.accumulate(total)[:-1]]))
+    high = np.flatnonzero(np.concatenate([total[:-1] > np.maximum.accumulate(total[::-1])[::-1][1:], [True]]))
+    at = np.searchsorted(-total[low], -total[high], "left")
+    high, at = high[at < len(low)], at[at < len(low)]
+    start, end = low[at], high
+    ok = (end - start >= span) & (equal[end] - equal[start] >= min_equal)
+    start, end = start[ok], end[ok]
+    seeded = hits[end - span + 1] > hits[start]
+    start, end = start[seeded], end[seeded]
+    place = np.flatnonzero(eq)
     out: list[list[int]] = []
-    for a, z in sorted(set(zip(start[good].tolist(), end[good].tolist()))):
+    for a, z in sorted(set(zip(place[equal[start]].tolist(), (place[equal[end] - 1] + 1).tolist()))):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:

@@ -111,7 +111,7 @@ def test_decontaminate_tolerates_substitutions(spark, docs):
 
 
 def brute_overlaps(docs, items, masks=decontaminate.MASKS):
-    """Every place of every mask on every diagonal, grown word by word; passing ones that touch are one."""
+    """On every diagonal every (start, end) that holds a seed, 12 equal words and 80 % of them, cut to equal words; those that touch are one."""
     out = Counter()
     for (i, x), (j, y) in ((a, b) for a in docs for b in items):
         x, y = (x or "").split(), (y or "").split()
@@ -120,25 +120,51 @@ def brute_overlaps(docs, items, masks=decontaminate.MASKS):
             continue
         for d in range(12 - len(y), len(x) - 11):
             at = max(0, -d)
-            eq = [a == b for a, b in zip(x[max(0, d):], y[at:])]
-            good = set()
-            for p in range(len(eq) - 11):
-                if any(all(eq[p + k] for k in range(12) if m[k] == "1") for m in masks):
-                    score = lambda part: sum(1 if e else -3 for e in part)
-                    a = max(range(p, -1, -1), key=lambda s: score(eq[s:p]))
-                    z = max(range(p + 12, len(eq) + 1), key=lambda e: score(eq[p + 12:e]))
-                    n = sum(eq[a:z])
-                    if n >= 12 and n >= 0.8 * (z - a):
-                        good |= set(range(a, z + 1))
-            runs = [p for p in sorted(good) if p - 1 not in good]
-            for a in runs:
-                z = a
-                while z + 1 in good:
-                    z += 1
-                out[i, j, d + at + a, d + at + z, sum(eq[a:z]), at + a] += 1
+            eq = np.array([a == b for a, b in zip(x[max(0, d):], y[at:])], bool)
+            for a, z in brute_stretches(eq, masks):
+                out[i, j, d + at + a, d + at + z, int(eq[a:z].sum()), at + a] += 1
     return out
 
 
+def brute_stretches(eq, masks=decontaminate.MASKS, min_equal=12, min_share=0.8):
+    seeds = [p for p in range(len(eq) - 11) if any(all(eq[p + k] for k in range(12) if m[k] == "1") for m in masks)]
+    if not seeds:
+        return []
+    n = np.concatenate([[0], np.cumsum(eq)])
+    a, z = np.triu_indices(len(eq) + 1, 12)
+    same = n[z] - n[a]
+    last = np.array([max([p for p in seeds if p + 12 <= e], default=-1) for e in range(len(eq) + 1)])
+    ok = (same >= min_equal) & (1000 * same >= round(1000 * min_share) * (z - a)) & (last[z] >= a)
+    place, good = np.flatnonzero(eq), np.zeros(2 * len(eq) + 2, bool)  # places, and the steps between them
+    for b, e in set(zip(place[n[a[ok]]].tolist(), place[n[z[ok]] - 1].tolist())):
+        good[2 * b:2 * e + 3] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(int)))
+    return [(int(b) // 2, int(e - 1) // 2) for b, e in zip(edges[::2], edges[1::2])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([0.8, 0.75, 0.9, 1.0]), st.sampled_from([12, 8, 20]))
+def test_overlaps_against_every_stretch(seed, min_share, min_equal):
+    rng = np.random.default_rng(seed)
+    eq = np.concatenate([rng.random(rng.integers(0, 60)) < rng.choice([0, 0.2, 0.5, 0.75, 0.8, 0.9, 1]) for _ in range(rng.integers(1, 6))])
+    got = decontaminate.overlaps(eq, decontaminate.MASKS, min_equal, min_share)
+    assert got == [(a, z, int(eq[a:z].sum())) for a, z in brute_stretches(eq, min_equal=min_equal, min_share=min_share)]
+
+
+def test_copies_behind_similar_words(spark):
+    """Words before an exact copy that are much alike, but not enough, do not hide it; nor does an earlier overlap."""
+    item = [f"q{k}" for k in range(640)]
+    before = [w if k % 9 < 7 else f"c{k}" for k, w in enumerate(item[:540])]
+    docs = [(1, " ".join([*before, *item[540:570]])), (2, " ".join(["x"] * 540 + item[540:570]))]
+    docs += [(3, " ".join([*item[:100], *["y"] * 33, *item[133:147]]))]
+    got = {(r.doc_id, r.first_word, r.end_word) for r in decontaminate.find_overlaps(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert {(2, 540, 570), (3, 0, 100), (3, 133, 147)} <= got and any(i == 1 and a <= 540 and z == 570 for i, a, z in got)
+    many = spark.createDataFrame([(1, "same " * 600)], "doc_id long, text string")
+    rows = decontaminate.find_overlaps(many, spark.createDataFrame([(1, "same " * 40)], "item_id long, text string")).collect()
+    assert len(rows) == 600 + 40 - 23  # one for each diagonal of 12 words or more
+
+
 def check_overlaps(spark, docs, items):
     train = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     got = decontaminate.find_overlaps(train, spark.createDataFrame(items, "item_id long, text string")).collect()
