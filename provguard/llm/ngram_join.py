@@ -6,14 +6,16 @@ hold them (in powers of two, then by hash), rarest first; sets that link share a
 their first size - ceil(size * num / den) + 1.  Shingles of one set only cannot be shared and
 leave the prefix, and with them most documents.
 
-Sets with equal prefixes and size form a group.  The index from shingle to groups is probed
-by pivots: documents that are compared with every group which shares a prefix shingle, after
-the size and position filters; the groups that remain are expanded and their members
-verified on their whole sets.  A pivot is then done with.  Rounds go on, with 16 times the
-pivots of the last for each shingle, until the documents left under every shingle belong
-to one component.  So a large group of near copies costs a few times its size, not its
-square, as long as its members hang together; members that share prefixes but do
-not link are compared pair by pair in the end, and no link between components is missed.
+Sets with equal prefixes and size form a group.  Under each prefix shingle a few documents are
+pivots.  A shingle's pivots are paired with its groups that hold another component, pairs of document and group are
+filtered by their sizes and whole prefixes, and the groups that remain are expanded to members, which are
+verified on their whole sets.  In the first round the pivot is the first document by hash,
+so that lists which share documents share pivots, and each document is verified against one pivot only:
+a family of near copies gathers about its leaders at the cost of one pair for each member.  Then each
+pivot is compared with all that the filters leave, and is done with under that shingle.  Rounds go on, with 16 times the
+pivots of the last, until the documents left under every shingle belong to one component.
+Members that share prefixes but do not link are compared pair by pair in the end,
+and no link between components is missed.
 
 Frequencies come through ``packed``: each chunk sends its distinct shingles once.
 
@@ -29,7 +31,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as P
@@ -220,69 +222,76 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 1) -> DataFrame:
+def place_of(doc: Column) -> Column:
+    """A document's place among others, from 0 to 1, by a hash: the same under every shingle."""
+    return F.shiftrightunsigned(F.xxhash64(doc), 11) / F.lit(float(1 << 53))
+
+
+def near_groups(hits: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The (p, p_label, group) of ``hits`` whose sizes and prefixes allow the similarity.
+
+    The first shingle that both prefixes hold is the first that both sets hold, so their overlap is at most
+    what either has from there on."""
+    g = lambda c: groups.select(F.col("group").alias(f"{c}g"), F.col("size").alias(f"{c}size"), F.col("lead").alias(f"{c}lead"), F.col("prefix").alias(f"{c}prefix"))
+    rows = (hits.join(g("p_"), F.col("p_group") == F.col("p_g")).join(g("t_"), F.col("group") == F.col("t_g"))
+            .where((F.col("p_size") * den >= F.col("t_size") * num) & (F.col("t_size") * den >= F.col("p_size") * num)))
+    first = F.get(F.array_intersect("p_prefix", "t_prefix"), F.lit(0))
+    rest = lambda c: F.col(f"{c}size") - F.col(f"{c}lead") - F.array_position(F.col(f"{c}prefix"), F.col("first")) + 1
+    need = F.ceil((F.col("p_size") + F.col("t_size")) * num / (num + den))
+    return rows.withColumn("first", first).where(F.least(rest("p_"), rest("t_")) >= need).select("p", "p_label", "group")
+
+
+def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFrame:
     """(doc_id, label) of different sets: the smallest doc_id that links reach.
 
     After each round the new links are contracted to links between labels, so a round's
     work on components follows its own links only."""
     sets = sets.where("prefix is not null and doc_id is not null")
     members = sets.select("doc_id", "size", "lead", F.xxhash64("size", "lead", "prefix").alias("group"), "prefix")
-    groups = members.dropDuplicates(["group"]).select("group", "size", "lead", F.posexplode("prefix").alias("pos", "token"))
-    # A shared shingle has at most ``before`` shared ones before it and ``after`` from it on.
-    index = groups.select("token", "group", "size", F.col("pos").alias("before"),
-                          (F.col("size") - F.col("lead") - F.col("pos")).alias("after"))
-    index = write_scratch(index, "index")
-    members = write_scratch(members.select("doc_id", "size", "lead", "group"), "members")
-    state = members.select("doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("done"))
+    groups = write_scratch(members.dropDuplicates(["group"]).select("group", "size", "lead", "prefix"), "groups")
+    members = write_scratch(members.select("doc_id", "group", place_of(F.col("doc_id")).alias("place")), "members")
+    open_ = groups.select(F.explode("prefix").alias("token"), "group")
+    state = members.select("doc_id", F.col("doc_id").alias("label"))
+    counted, done, upto = False, 0, 0  # pivots under each shingle: those up to ``done`` are done with
     while True:
         state = write_scratch(state, "state")
+        labels = members.join(state.withColumnRenamed("doc_id", "s_doc"), F.col("doc_id") == F.col("s_doc")).drop("s_doc")
+        under = open_.join(labels.withColumnRenamed("group", "m_group"), F.col("group") == F.col("m_group")).drop("m_group")
+        if not counted:  # a shingle's number of documents stays beside it
+            n = under.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+            open_ = open_.join(n.where("n > 1"), F.col("token") == F.col("t")).drop("t")
+            under = under.join(n.where("n > 1"), F.col("token") == F.col("t")).drop("t")
+            counted = True
         # Shingles under which documents of more than one component are left.
-        left = members.join(state.where("not done").withColumnsRenamed({"doc_id": "s_doc"}), F.col("doc_id") == F.col("s_doc")).drop("s_doc")
-        by_group = left.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        live = index.join(by_group.withColumnRenamed("group", "g"), F.col("group") == F.col("g")).drop("g")
-        span = live.groupBy("token").agg(F.min("low").alias("t_low"), F.max("high").alias("t_high"))
-        open_ = span.where("t_low <> t_high").select(F.col("token").alias("t"))
-        live = write_scratch(live.join(open_, F.col("token") == F.col("t"), "left_semi"), "open")
-        if not live.limit(1).collect():
-            return state.select("doc_id", "label")
-        # Pivots: under each such shingle the first documents by (lead, id) of what is left.
-        under = (live.select("token", F.col("group").alias("g"))
-                 .join(left.select("doc_id", "lead", "group"), F.col("g") == F.col("group")).select("token", "doc_id", "lead"))
-        chosen = under
-        for salt in (64, 1):  # first by part of the shingle's documents, so none is gathered whole
-            part = F.pmod(F.xxhash64("doc_id"), F.lit(salt))
-            chosen = (chosen.withColumn("n", F.row_number().over(Window.partitionBy("token", part).orderBy("lead", "doc_id")))
-                      .where(F.col("n") <= pivots).drop("n"))
-        pivot = write_scratch(chosen.select("doc_id").distinct(), "pivots")
-        # Probe: groups that share a prefix shingle with a pivot and hold another component, by first shared places.
-        own = (left.join(pivot.withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p"))
-               .select("p", F.col("group").alias("p_group"), F.col("size").alias("p_size"), F.col("label").alias("p_label")))
-        probe = (own.join(live.select(F.col("token").alias("t"), F.col("group").alias("i_group"), F.col("before").alias("p_before"), F.col("after").alias("p_after")),
-                          F.col("p_group") == F.col("i_group"))
-                 .select("p", "p_size", "p_label", "t", "p_before", "p_after"))
-        need = F.ceil((F.col("p_size") + F.col("size")) * num / (num + den))
-        hits = (probe.join(live, (F.col("t") == F.col("token")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label")))
-                           & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
-                           & (F.least("p_before", "before") + F.least("p_after", "after") >= need))
-                .groupBy("p", "p_label", "group", "p_size", "size").agg(F.max("p_after").alias("i"), F.max("after").alias("j")))
-        hits = hits.where(F.least("i", "j") >= need).select("p", "p_label", F.col("group").alias("h_group"))  # from the first shared one on
-        # Expand to members that are left, in another component; two pivots meet once.
-        target = left.select("doc_id", "group", "label").join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("also")), F.col("doc_id") == F.col("q"), "left")
-        pairs = (hits.join(target, F.col("h_group") == F.col("group"))
-                 .where((F.col("p_label") != F.col("label")) & (F.col("also").isNull() | (F.col("p") < F.col("doc_id"))))
-                 .select(F.col("p").alias("a"), F.col("doc_id").alias("b")))
+        left = F.col("place") * F.col("n") >= done
+        span = under.where(left).groupBy(F.col("token").alias("t")).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("place", "doc_id")).alias("leader"))
+        span = span.where("low <> high").select("t", "leader")
+        under = write_scratch(under.join(span, F.col("token") == F.col("t")).drop("t"), "open")
+        if not under.limit(1).collect():
+            return state
+        open_ = under.select("token", "group", "n").distinct()
+        # Pivots: in the first round the first document under each shingle, then ever more.
+        pivot = F.col("doc_id") == F.col("leader.doc_id") if not upto else left & (F.col("place") * F.col("n") < upto)
+        chosen = under.where(pivot).select("token", F.col("doc_id").alias("p"), F.col("group").alias("p_group"), F.col("label").alias("p_label"))
+        # Probe: groups under the same shingle that hold another component.
+        target = under.groupBy(F.col("token").alias("t"), "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        hits = (chosen.join(target, (F.col("token") == F.col("t")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label"))))
+                .select("p", "p_group", "p_label", "group").distinct())
+        # Expand to members in another component; two pivots meet once.
+        pairs = (near_groups(hits, groups, num, den).withColumnRenamed("group", "h_group")
+                 .join(labels, F.col("h_group") == F.col("group")).where(F.col("p_label") != F.col("label")))
+        if not upto:  # each document with one leader only, to begin with
+            pairs = pairs.groupBy("doc_id").agg(F.min_by("p", place_of(F.col("p"))).alias("p"))
+        pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         new = write_scratch(verify(pairs, sets, num, den), "verified")
-        merged = state
         if new.limit(1).collect():
             of = lambda c: state.select(F.col("doc_id").alias(f"{c}_doc"), F.col("label").alias(f"{c}_label"))
             between = (new.join(of("a"), F.col("a") == F.col("a_doc")).join(of("b"), F.col("b") == F.col("b_doc"))
                        .select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
             label = components(between).withColumnsRenamed({"v": "c", "label": "c_label"})
-            merged = (state.join(label, F.col("label") == F.col("c"), "left")
-                      .select("doc_id", F.coalesce("c_label", "label").alias("label"), "done"))
-        state = (merged.join(pivot.select(F.col("doc_id").alias("q"), F.lit(True).alias("now")), F.col("doc_id") == F.col("q"), "left")
-                 .select("doc_id", "label", (F.col("done") | F.col("now").isNotNull()).alias("done")))
-        pivots *= 16
+            state = state.join(label, F.col("label") == F.col("c"), "left").select("doc_id", F.coalesce("c_label", "label").alias("label"))
+        done, upto = upto, upto * 16 or pivots
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, chunk_bytes: int = 4 << 20) -> DataFrame:
