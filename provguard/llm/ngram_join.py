@@ -7,12 +7,13 @@ their first size - ceil(size * num / den) + 1.  Shingles of one set only cannot
 leave the prefix, and with them most documents.
 
 Sets with equal prefixes and size form a group.  Under each prefix shingle a few documents are
-pivots.  A shingle's pivots are paired with its groups that hold another component, pairs of document and group are
-filtered by their sizes and whole prefixes, and the groups that remain are expanded to members, which are
-verified on their whole sets.  In the first round the pivot is the first document by hash,
-so that lists which share documents share pivots, and each document is verified against one pivot only:
-a family of near copies gathers about its leaders at the cost of one pair for each member.  Then each
-pivot is compared with all that the filters leave, and is done with under that shingle.  Rounds go on, with 16 times the
+pivots.  A shingle's pivots are paired with its groups that hold another component, if it is the first that
+both prefixes hold and their sizes and its places there allow the similarity; the groups that remain are
+expanded to members, which are verified on their whole sets.  In the first two rounds the pivot is the first document by a (new)
+hash, so that lists which share documents share pivots, and each group is paired with one pivot only, the one
+that may share most with it: a family of near copies gathers about its leaders at the cost of one pair for each
+member.  Then each
+pivot is compared with all that the filters leave, and is done with under that shingle.  Rounds go on, with 4 times the
 pivots of the last, until the documents left under every shingle belong to one component.
 Members that share prefixes but do not link are compared pair by pair in the end,
 and no link between components is missed.
@@ -222,23 +223,30 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def place_of(doc: Column) -> Column:
+LEADER_ROUNDS = 2
+
+
+def place_of(doc: Column, turn: int = 0) -> Column:
     """A document's place among others, from 0 to 1, by a hash: the same under every shingle."""
-    return F.shiftrightunsigned(F.xxhash64(doc), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(doc, F.lit(turn)), 11) / F.lit(float(1 << 53))
 
 
-def near_groups(hits: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """The (p, p_label, group) of ``hits`` whose sizes and prefixes allow the similarity.
+def near_groups(chosen: DataFrame, target: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, p_group, p_label, group, rest): pivots and groups of another component under one shingle, where sizes and
+    prefixes allow the similarity.
 
-    The first shingle that both prefixes hold is the first that both sets hold, so their overlap is at most
-    what either has from there on."""
+    A pair meets under its first common shingle only: none before it in either prefix is common.  That one is
+    the first that both whole sets hold, so their overlap is at most ``rest``, what either has from there on."""
     g = lambda c: groups.select(F.col("group").alias(f"{c}g"), F.col("size").alias(f"{c}size"), F.col("lead").alias(f"{c}lead"), F.col("prefix").alias(f"{c}prefix"))
-    rows = (hits.join(g("p_"), F.col("p_group") == F.col("p_g")).join(g("t_"), F.col("group") == F.col("t_g"))
-            .where((F.col("p_size") * den >= F.col("t_size") * num) & (F.col("t_size") * den >= F.col("p_size") * num)))
-    first = F.get(F.array_intersect("p_prefix", "t_prefix"), F.lit(0))
-    rest = lambda c: F.col(f"{c}size") - F.col(f"{c}lead") - F.array_position(F.col(f"{c}prefix"), F.col("first")) + 1
+    p = chosen.join(g("p_"), F.col("p_group") == F.col("p_g")).withColumn("p_at", F.array_position("p_prefix", F.col("token")))
+    t = (target.join(g("t_"), F.col("group") == F.col("t_g")).withColumn("t_at", F.array_position("t_prefix", F.col("token")))
+         .withColumnRenamed("token", "t"))
+    rest = F.least(*[F.col(f"{c}_size") - F.col(f"{c}_lead") - F.col(f"{c}_at") + 1 for c in "pt"])
     need = F.ceil((F.col("p_size") + F.col("t_size")) * num / (num + den))
-    return rows.withColumn("first", first).where(F.least(rest("p_"), rest("t_")) >= need).select("p", "p_label", "group")
+    before = [F.slice(f"{c}_prefix", F.lit(1), (F.col(f"{c}_at") - 1).cast("int")) for c in "pt"]
+    may = ((F.col("p_size") * den >= F.col("t_size") * num) & (F.col("t_size") * den >= F.col("p_size") * num)
+           & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label"))) & (rest >= need) & ~F.arrays_overlap(*before))
+    return p.join(t, (F.col("token") == F.col("t")) & may).select("p", "p_group", "p_label", "group", rest.alias("rest"))
 
 
 def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFrame:
@@ -253,7 +261,8 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
     open_ = groups.select(F.explode("prefix").alias("token"), "group")
     state = members.select("doc_id", F.col("doc_id").alias("label"))
     counted, done, upto = False, 0, 0  # pivots under each shingle: those up to ``done`` are done with
-    while True:
+    for turn in itertools.count():
+        leading = turn < LEADER_ROUNDS
         state = write_scratch(state, "state")
         labels = members.join(state.withColumnRenamed("doc_id", "s_doc"), F.col("doc_id") == F.col("s_doc")).drop("s_doc")
         under = open_.join(labels.withColumnRenamed("group", "m_group"), F.col("group") == F.col("m_group")).drop("m_group")
@@ -265,24 +274,24 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
         # Shingles under which documents of more than one component are left.
         left = F.col("place") * F.col("n") >= done
         span = under.where(left).groupBy(F.col("token").alias("t")).agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("place", "doc_id")).alias("leader"))
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(place_of(F.col("doc_id"), turn), "doc_id")).alias("leader"))
         span = span.where("low <> high").select("t", "leader")
         under = write_scratch(under.join(span, F.col("token") == F.col("t")).drop("t"), "open")
         if not under.limit(1).collect():
             return state
         open_ = under.select("token", "group", "n").distinct()
-        # Pivots: in the first round the first document under each shingle, then ever more.
-        pivot = F.col("doc_id") == F.col("leader.doc_id") if not upto else left & (F.col("place") * F.col("n") < upto)
+        # Pivots: in the first rounds one document under each shingle, then ever more.
+        pivot = F.col("doc_id") == F.col("leader.doc_id") if leading else left & (F.col("place") * F.col("n") < upto)
         chosen = under.where(pivot).select("token", F.col("doc_id").alias("p"), F.col("group").alias("p_group"), F.col("label").alias("p_label"))
         # Probe: groups under the same shingle that hold another component.
-        target = under.groupBy(F.col("token").alias("t"), "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        hits = (chosen.join(target, (F.col("token") == F.col("t")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label"))))
-                .select("p", "p_group", "p_label", "group").distinct())
+        target = under.groupBy("token", "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        hits = near_groups(chosen, target, groups, num, den)
+        if leading:  # each group with one leader only: the one that may share most with it
+            best = F.max(F.struct("rest", place_of(F.col("p"), turn), "p", "p_label")).alias("best")
+            hits = hits.groupBy("group").agg(best).select("group", "best.p", "best.p_label")
         # Expand to members in another component; two pivots meet once.
-        pairs = (near_groups(hits, groups, num, den).withColumnRenamed("group", "h_group")
-                 .join(labels, F.col("h_group") == F.col("group")).where(F.col("p_label") != F.col("label")))
-        if not upto:  # each document with one leader only, to begin with
-            pairs = pairs.groupBy("doc_id").agg(F.min_by("p", place_of(F.col("p"))).alias("p"))
+        pairs = (hits.withColumnRenamed("group", "h_group").join(labels, F.col("h_group") == F.col("group"))
+                 .where(F.col("p_label") != F.col("label")))
         pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         new = write_scratch(verify(pairs, sets, num, den), "verified")
         if new.limit(1).collect():
@@ -291,7 +300,8 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
                        .select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
             label = components(between).withColumnsRenamed({"v": "c", "label": "c_label"})
             state = state.join(label, F.col("label") == F.col("c"), "left").select("doc_id", F.coalesce("c_label", "label").alias("label"))
-        done, upto = upto, upto * 16 or pivots
+        if not leading or turn == LEADER_ROUNDS - 1:
+            done, upto = upto, upto * 4 or pivots
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, chunk_bytes: int = 4 << 20) -> DataFrame:
