@@ -68,7 +68,7 @@ _SCRATCH: list[str] = []
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared checkpoint folder, removed when the driver ends.
 
-    It cannot go earlier: frames that read it may still be evaluated."""
+    Frames that read it may be evaluated until then; ``drop_scratch`` is for what is surely spent."""
     if not _SCRATCH:
         atexit.register(remove_scratch)
     path = os.path.join(ensure_checkpoint_dir(spark), "provguard-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
@@ -76,12 +76,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_made() -> list[str]:
+    """The scratch folders that this driver has handed out and not dropped, oldest first."""
+    return list(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders that no frame still to be evaluated reads."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.remove(name)
+
+
 def remove_scratch() -> None:
     """Delete this driver's scratch folders, if its session still runs."""
     spark = SparkSession.getActiveSession()
-    while _SCRATCH and spark is not None and spark.sparkContext._jsc is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_scratch(spark, scratch_made())
 
 
 def plan_bytes(df: DataFrame) -> int:
