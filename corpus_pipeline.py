@@ -16,6 +16,9 @@ Stages 2 and 4 judge rows, whatever their doc_id: each writes its rows with a ro
 the operators see the key as the id.  Rows of a null or a repeated id go only where they
 are near copies or overlap an item themselves.  In stage 3 rows of equal ids do not take words
 from each other.  Empty tables pass through.
+
+Stages 2 and 4 write their decisions (row keys) and then drop what their operators wrote on the way, so
+that only the keyed rows stay until the driver ends.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from provguard.llm import decontaminate, mixing, ngram_join, quality_rules, substring_dedup
 from provguard.llm.common import read_table, write_scratch
+from provguard.session import drop_scratch, scratch_made
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +48,23 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
 
 
+def decided(spark: SparkSession, keys: DataFrame, before: list[str]) -> DataFrame:
+    """A stage's decisions, written; what was written since ``before`` to reach them goes."""
+    spent = [p for p in scratch_made() if p not in before]
+    out = write_scratch(keys, "decided")
+    drop_scratch(spark, spent)
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = row_keys(docs, "near-rows")
+    before = scratch_made()
     groups = ngram_join.ngram_join(rows.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row_hash(docs).alias("hash"), F.col(key).alias("row"))
     ranks = rows.select(F.col(key).alias("ranked"), rank.alias("rank"))
     first = (groups.join(ranks, F.col("doc_id") == F.col("ranked")).groupBy("component_id")
              .agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(f"{key}_first")))
-    first = first.hint("shuffle_hash")  # keys only, so the texts need no sort
+    first = decided(spark, first, before).hint("shuffle_hash")  # keys only, so the texts need no sort
     return rows.join(first, F.col(key) == F.col(f"{key}_first"), "left_semi").drop(key)
 
 
@@ -65,8 +78,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = row_keys(docs, "decontamination-rows")
+    before = scratch_made()
     found = decontaminate.find_overlaps(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     bad = found.select(F.col("doc_id").alias(f"{key}_bad")).distinct()
+    bad = decided(spark, bad, before)
     return rows.join(bad, F.col(key) == F.col(f"{key}_bad"), "left_anti").drop(key)
 
 
