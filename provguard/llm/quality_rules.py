@@ -61,20 +61,23 @@ def language_counts(docs: DataFrame) -> DataFrame:
         for b in (s for b in batches for s in slices([b])):
             data, off = text_bytes(b.column(0))
             langs = b.column(1).to_pylist()
-            names = list(dict.fromkeys(langs))
-            owner = np.array([names.index(x) for x in langs])
+            names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+            owner = np.array([names[x] for x in langs])
             s, e, woff = word_spans(data, off)
             h = span_hashes(data, s, e)
-            lang_of_word = owner[text_of_item(woff)]
-            classes = _class_table(data, off)
-            for k, x in enumerate(names):
-                items, n = np.unique(h[lang_of_word == k], return_counts=True)
-                c = classes[owner == k].sum(0)
-                items = np.concatenate([np.arange(N_CLASSES), items.astype(np.int64)])
-                kind = np.repeat([0, 1], [N_CLASSES, len(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(items), pa.string()), pa.array(kind), pa.array(items), pa.array(np.concatenate([c, n]))],
-                    names=["lang", "kind", "item", "n"])
+            of = owner[text_of_item(woff)]
+            classes = np.zeros((len(names), N_CLASSES), np.int64)
+            np.add.at(classes, owner, _class_table(data, off))
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+            lang = np.concatenate([np.repeat(np.arange(len(names)), N_CLASSES), of[first]])
+            items = np.concatenate([np.tile(np.arange(N_CLASSES), len(names)), h[first].astype(np.int64)])
+            n = np.concatenate([classes.ravel(), np.diff(np.append(first, len(h)))])
+            kind = np.repeat([0, 1], [classes.size, len(first)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(names), pa.string()).take(pa.array(lang)), pa.array(kind), pa.array(items), pa.array(n)],
+                names=["lang", "kind", "item", "n"])
 
     return (map_arrow(rows, run, "lang string, kind int, item long, n long")
             .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
@@ -89,14 +92,17 @@ def language_references(docs: DataFrame, common_share: float = 0.004) -> dict[st
     got = (counts.join(F.broadcast(totals), (F.col("lang") == F.col("l")) & (F.col("kind") == F.col("k")))  # two rows a language
            .where((F.col("kind") == 0) | (F.col("n") >= common_share * F.col("total")))
            .select("lang", "kind", "item", (F.col("n") / F.greatest(F.col("total"), F.lit(1))).alias("share")).collect())
+    by_lang: dict[str, list] = {}
+    for r in got:
+        by_lang.setdefault(r.lang, []).append(r)
     out: dict[str, dict] = {}
-    for lang in sorted({r.lang for r in got}):
+    for lang in sorted(by_lang):
         classes = np.zeros(N_CLASSES)
         words = {}
-        for r in got:
-            if r.lang == lang and r.kind == 0:
+        for r in by_lang[lang]:
+            if r.kind == 0:
                 classes[r.item] = r.share
-            elif r.lang == lang:
+            else:
                 words[np.int64(r.item).astype(U64)] = r.share
         keys = np.array(sorted(words), U64)
         shares = np.array([words[k] for k in keys])
