@@ -7,16 +7,15 @@ their first size - ceil(size * num / den) + 1.  Shingles of one set only cannot
 leave the prefix, and with them most documents.
 
 Sets with equal prefixes and size form a group.  Under each prefix shingle a few documents are
-pivots.  A shingle's pivots are paired with its groups that hold another component, if it is the first that
-both prefixes hold and their sizes and its places there allow the similarity; the groups that remain are
-expanded to members, which are verified on their whole sets.  In the first two rounds the pivot is the first document by a (new)
-hash, so that lists which share documents share pivots, and each group is paired with one pivot only, the one
-that may share most with it: a family of near copies gathers about its leaders at the cost of one pair for each
-member.  Then each
-pivot is compared with all that the filters leave, and is done with under that shingle.  Rounds go on, with 4 times the
-pivots of the last, until the documents left under every shingle belong to one component.
-Members that share prefixes but do not link are compared pair by pair in the end,
-and no link between components is missed.
+pivots.  A shingle's pivots are paired with its groups that hold another component, if sizes and places
+allow the similarity; pairs of document and group are filtered once more by their whole prefixes, and the
+groups that remain are expanded to members, which are verified on their whole sets.  In the first two
+rounds the pivot is the first document by a hash, so that lists which share documents share pivots, and
+each group is paired with one pivot only, the one it shares most shingles with: a family of near copies
+gathers about its leaders at the cost of one pair for each member.  Then each pivot is compared with
+all that the filters leave, and is done with under that shingle.  Rounds go on, with 4 times the pivots of
+the last, until the documents left under every shingle belong to one component.  Members that
+share prefixes but do not link are compared pair by pair in the end, and no link between components is missed.
 
 Frequencies come through ``packed``: each chunk sends its distinct shingles once.
 
@@ -231,22 +230,18 @@ def place_of(doc: Column, turn: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc, F.lit(turn)), 11) / F.lit(float(1 << 53))
 
 
-def near_groups(chosen: DataFrame, target: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(p, p_group, p_label, group, rest): pivots and groups of another component under one shingle, where sizes and
-    prefixes allow the similarity.
+def near_groups(hits: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``hits`` (p_group, group) whose prefixes allow the similarity.
 
-    A pair meets under its first common shingle only: none before it in either prefix is common.  That one is
-    the first that both whole sets hold, so their overlap is at most ``rest``, what either has from there on."""
-    g = lambda c: groups.select(F.col("group").alias(f"{c}g"), F.col("size").alias(f"{c}size"), F.col("lead").alias(f"{c}lead"), F.col("prefix").alias(f"{c}prefix"))
-    p = chosen.join(g("p_"), F.col("p_group") == F.col("p_g")).withColumn("p_at", F.array_position("p_prefix", F.col("token")))
-    t = (target.join(g("t_"), F.col("group") == F.col("t_g")).withColumn("t_at", F.array_position("t_prefix", F.col("token")))
-         .withColumnRenamed("token", "t"))
-    rest = F.least(*[F.col(f"{c}_size") - F.col(f"{c}_lead") - F.col(f"{c}_at") + 1 for c in "pt"])
+    The first shingle that both prefixes hold is the first that both sets hold, so their overlap is at most
+    what either has from there on.  Prefixes come as 4-byte hashes: two that meet by chance only let a pair through."""
+    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    g = lambda c: groups.select(F.col("group").alias(f"{c}g"), F.col("size").alias(f"{c}size"), F.col("lead").alias(f"{c}lead"), short.alias(f"{c}prefix"))
+    rows = hits.join(g("p_"), F.col("p_group") == F.col("p_g")).join(g("t_"), F.col("group") == F.col("t_g"))
+    rest = lambda c: F.col(f"{c}size") - F.col(f"{c}lead") - F.array_position(F.col(f"{c}prefix"), F.col("first")) + 1
     need = F.ceil((F.col("p_size") + F.col("t_size")) * num / (num + den))
-    before = [F.slice(f"{c}_prefix", F.lit(1), (F.col(f"{c}_at") - 1).cast("int")) for c in "pt"]
-    may = ((F.col("p_size") * den >= F.col("t_size") * num) & (F.col("t_size") * den >= F.col("p_size") * num)
-           & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label"))) & (rest >= need) & ~F.arrays_overlap(*before))
-    return p.join(t, (F.col("token") == F.col("t")) & may).select("p", "p_group", "p_label", "group", rest.alias("rest"))
+    first = F.get(F.array_intersect("p_prefix", "t_prefix"), F.lit(0))
+    return rows.withColumn("first", first).where(F.least(rest("p_"), rest("t_")) >= need).select("p", "p_label", "group")
 
 
 def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFrame:
@@ -258,7 +253,9 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
     members = sets.select("doc_id", "size", "lead", F.xxhash64("size", "lead", "prefix").alias("group"), "prefix")
     groups = write_scratch(members.dropDuplicates(["group"]).select("group", "size", "lead", "prefix"), "groups")
     members = write_scratch(members.select("doc_id", "group", place_of(F.col("doc_id")).alias("place")), "members")
-    open_ = groups.select(F.explode("prefix").alias("token"), "group")
+    # A shared shingle has ``at`` shared ones before it and at most ``rest`` from it on.
+    open_ = groups.select(F.posexplode("prefix").alias("at", "token"), "group", "size", "lead")
+    open_ = open_.select("token", "group", "size", "at", (F.col("size") - F.col("lead") - F.col("at")).alias("rest"))
     state = members.select("doc_id", F.col("doc_id").alias("label"))
     counted, done, upto = False, 0, 0  # pivots under each shingle: those up to ``done`` are done with
     for turn in itertools.count():
@@ -279,16 +276,22 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
         under = write_scratch(under.join(span, F.col("token") == F.col("t")).drop("t"), "open")
         if not under.limit(1).collect():
             return state
-        open_ = under.select("token", "group", "n").distinct()
+        light = ["token", "group", "size", "at", "rest"]
+        open_ = under.select(*light, "n").distinct()
         # Pivots: in the first rounds one document under each shingle, then ever more.
         pivot = F.col("doc_id") == F.col("leader.doc_id") if leading else left & (F.col("place") * F.col("n") < upto)
-        chosen = under.where(pivot).select("token", F.col("doc_id").alias("p"), F.col("group").alias("p_group"), F.col("label").alias("p_label"))
-        # Probe: groups under the same shingle that hold another component.
-        target = under.groupBy("token", "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        hits = near_groups(chosen, target, groups, num, den)
-        if leading:  # each group with one leader only: the one that may share most with it
-            best = F.max(F.struct("rest", place_of(F.col("p"), turn), "p", "p_label")).alias("best")
-            hits = hits.groupBy("group").agg(best).select("group", "best.p", "best.p_label")
+        chosen = under.where(pivot).select("token", F.col("doc_id").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in light[1:]])
+        # Probe: groups under the same shingle that hold another component, by sizes and places.
+        target = under.groupBy(F.col("token").alias("t"), *light[1:]).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        need = F.ceil((F.col("p_size") + F.col("size")) * num / (num + den))
+        may = ((F.col("token") == F.col("t")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label")))
+               & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
+               & (F.least("p_at", "at") + F.least("p_rest", "rest") >= need))
+        hits = chosen.join(target, may).groupBy("p", "p_group", "p_label", "group").agg(F.count(F.lit(1)).alias("shared"))
+        if leading:  # each group with one leader only: the one of most of its shingles
+            best = F.max(F.struct("shared", place_of(F.col("p"), turn), "p", "p_group", "p_label")).alias("best")
+            hits = hits.groupBy("group").agg(best).select("group", "best.p", "best.p_group", "best.p_label")
+        hits = near_groups(hits, groups, num, den)
         # Expand to members in another component; two pivots meet once.
         pairs = (hits.withColumnRenamed("group", "h_group").join(labels, F.col("h_group") == F.col("group"))
                  .where(F.col("p_label") != F.col("label")))
