@@ -8,7 +8,7 @@ where a bit weighs as much as it parted the languages in training.  Texts whose
 codewords lie close are flagged ambiguous.
 
 Counts come from a bounded sample of labelled rows (``sample_rows``, chosen by an md5
-of the id); the model has n_languages x 2**table_bits counts.  Predictions read only text.
+of the id, of the text where the id is null); the model has n_languages x 2**table_bits counts.  Predictions read only text.
 
 Defined cases: null text, or one without a letter, gives ``und`` with score 0; null
 labels do not train; no labels at all: every prediction is ``und``; one language:
@@ -18,8 +18,10 @@ it is predicted with score 1; rows repeat as they are; extra columns are ignored
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +68,8 @@ def fit(train: DataFrame, n: int = 3, table_bits: int = 14, sample_rows: int = 2
     total = rows.count()
     if total > sample_rows:
         share = int(sample_rows / total * (1 << 28))
-        rows = rows.where(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("long") < share)
+        name = F.coalesce(F.col("doc_id").cast("string"), "text")  # rows without an id are drawn by their text
+        rows = rows.where(F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long") < share)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -84,12 +87,15 @@ def fit(train: DataFrame, n: int = 3, table_bits: int = 14, sample_rows: int = 2
                                              names=["lang", "slot", "n"])
 
     counts = map_arrow(rows, count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    got = counts.collect()  # at most n_languages * 2**table_bits rows
-    langs = sorted({r.lang for r in got})
-    table = np.zeros((len(langs), 1 << table_bits))
-    number = {x: i for i, x in enumerate(langs)}
-    for r in got:
-        table[number[r.lang], r.slot] = r.n
+    # One row a language for the driver: its slots' counts as one blob.
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(1 << table_bits, np.int64)
+        c[pdf["slot"]] = pdf["n"]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [zlib.compress(c.tobytes())]})
+
+    got = sorted((r.lang, r.counts) for r in counts.groupBy("lang").applyInPandas(gather, "lang string, counts binary").collect())
+    langs = [x for x, _ in got]
+    table = np.array([np.frombuffer(zlib.decompress(c), np.int64) for _, c in got], float).reshape(len(langs), 1 << table_bits)
     rate = (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * (1 << table_bits))
     code = codewords(len(langs))
     if len(langs) > 1:
