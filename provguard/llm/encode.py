@@ -9,7 +9,7 @@ make no boundary.
 
 Pieces are named by a 64-bit hash of their bytes and length.  Those a worker has seen
 come from its table; new ones go to the tokenizer in batches of bounded bytes.  The table
-holds at most ``TABLE_BYTES`` of pieces, none above ``LONG_PIECE`` bytes, and starts anew when it
+holds about ``TABLE_BYTES`` of pieces, none above ``LONG_PIECE`` bytes, and starts anew when it
 is full.  Texts are worked through ``BLOCK`` bytes at a time, so memory does not follow the
 length of a text, but for one piece without any safe boundary, which is encoded whole.
 """
@@ -63,13 +63,14 @@ def safe_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by a ``tokenizers`` vocabulary whose pieces part at safe boundaries."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, table_bytes: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tok.no_truncation()
         self.tok.no_padding()
         self.line, = self.tok.encode("\n", add_special_tokens=False).ids
+        self.table_bytes = table_bytes
         self.clear()
 
     def clear(self):
@@ -108,7 +109,7 @@ class Encoder:
         if len(s) == 1:
             return self._encode([raw.decode()])
         h, first, which = np.unique(span_hashes(data[s[0]:e[-1]], s - base, e - base), return_index=True, return_inverse=True)
-        if self.bytes > TABLE_BYTES:
+        if self.bytes > self.table_bytes:
             self.clear()
         at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
         old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
@@ -139,22 +140,32 @@ class Encoder:
         self.known, self.slot = np.insert(self.known, place, keys), np.insert(self.slot, place, kept)
         return out, n
 
+    def _blocks(self, data: np.ndarray, s: np.ndarray):
+        """(ids, ids of each piece) of the pieces that start at ``s``, block by block."""
+        e = np.append(s[1:], len(data))
+        i = 0
+        while i < len(s):  # at least one piece, else up to BLOCK bytes
+            j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
+            yield self._block(data, s[i:j], e[i:j])
+            i = j
+
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts as bytes and n+1 offsets -> all their ids and n+1 offsets into them."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         s = safe_starts(data, off)
-        e = np.append(s[1:], len(data))
-        ids, counts, i = [], [], 0
-        while i < len(s):  # at least one piece, else up to BLOCK bytes
-            j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
-            x, n = self._block(data, s[i:j], e[i:j])
-            ids.append(x)
-            counts.append(n)
-            i = j
+        ids, counts = zip(*self._blocks(data, s))
         total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return np.concatenate(ids), total[np.searchsorted(s, off)]
 
+    def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Number of ids of each text; no block's ids outlive it."""
+        if not len(data):
+            return np.zeros(len(off) - 1, np.int64)
+        s = safe_starts(data, off)
+        total = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in self._blocks(data, s)]))])
+        return np.diff(total[np.searchsorted(s, off)])
+
 
 _LOADED: dict[str, Encoder] = {}
 

@@ -1,95 +1,81 @@
 """Token counts: Arrow batches go to the tokenizer, only lengths come back.
 
-Texts are split at safe boundaries: before a single space between two characters that
-are not white space.  There a byte-level pre-tokenizer always starts a new piece (a space
-opens the next word, and no special string holds a space), so the pieces' counts add up
-to the whole text's, and no piece of a long text is long unless its words are.  Each
-distinct piece is encoded once and its length kept in a table of at most ``keep`` pieces
-for each Python worker; pieces not in the table go to the tokenizer in batches of about
-``batch_bytes`` bytes.  A vocabulary whose model crosses spaces is not split (``split``
-is off by default for sentencepiece and word_bpe): there whole texts make the batches.
-
-Defined cases: null or empty text has 0 bytes and 0 tokens; a long text without a safe
-boundary is encoded whole; rows repeat as they are; an empty table gives no rows; extra
+A byte-level vocabulary counts by pieces (``encode``): texts are split at safe boundaries, where the
+tokenizer starts a new piece anyway, so the pieces' counts add up to the whole text's, and no
+piece of a long text is long unless it has no boundary.  The pieces of a whole Arrow batch
+are taken together and dealt into blocks of bounded bytes, whatever texts they come from; each distinct
+piece of a block goes to the tokenizer once, and short ones are kept in a table of
+bounded bytes (``table_bytes``) for each Python worker.
+
+A vocabulary whose model crosses spaces is not split (sentencepiece and word_bpe): there whole
+texts make batches of about ``batch_bytes`` bytes.
+
+Defined cases: null or empty text has 0 bytes and 0 tokens; a text or a stretch of it without a
+safe boundary is encoded whole; rows repeat as they are; an empty table gives no rows; extra
 columns are ignored.  Strings of special tokens inside texts follow the library's default.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import checked_columns, map_arrow
+from .common import checked_columns, map_arrow, slices, text_bytes
+from .encode import TABLE_BYTES, Encoder, vocabulary_path
 
-SAFE = re.compile(r"(?<=\S)(?= \S)")
-_LOADED: dict[str, object] = {}
-_LENGTHS: dict[str, dict[str, int]] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
+def _whole(name: str):
+    """texts -> token counts of whole texts."""
+    if name.endswith(".model"):
+        import sentencepiece
+        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
+        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(vocabulary_path(name))
+    tok.no_truncation()
+    tok.no_padding()
+    return lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _encoder(name: str):
-    """texts -> token counts, loaded once for each Python worker."""
-    if name not in _LOADED:
-        if name.endswith(".model"):
-            import sentencepiece
-            sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
-            _LOADED[name] = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-            tok = Tokenizer.from_file(vocabulary_path(name))
-            tok.no_truncation()
-            tok.no_padding()
-            _LOADED[name] = lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    return _LOADED[name]
+def _loaded(*key):
+    """The worker's encoder for (vocabulary, table_bytes), or its whole-text counter for (vocabulary,)."""
+    if key not in _LOADED:
+        _LOADED[key] = _whole(*key) if len(key) == 1 else Encoder(*key)
+    return _LOADED[key]
 
 
-def encode_by_bytes(encode, texts: list[str], batch_bytes: int) -> list[int]:
-    """Token counts of texts, handed over in batches of about ``batch_bytes`` characters."""
+def encode_by_bytes(encode, texts: list[str], sizes: np.ndarray, batch_bytes: int) -> np.ndarray:
+    """Token counts of texts of ``sizes`` bytes, handed over in batches of about ``batch_bytes``."""
     out: list[int] = []
     at = weight = 0
-    for i, t in enumerate(texts):
-        weight += len(t)
+    for i, n in enumerate(sizes.tolist()):
+        weight += n
         if weight >= batch_bytes:
             out += encode(texts[at:i + 1])
             at, weight = i + 1, 0
-    return out + (encode(texts[at:]) if at < len(texts) else [])
+    return np.array(out + (encode(texts[at:]) if at < len(texts) else []), np.int64)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024,
-                 batch_bytes: int = 1 << 18, keep: int = 400_000, split: bool | None = None) -> DataFrame:
+                 batch_bytes: int = 1 << 18, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
-    cut = vocabulary.startswith("byte_bpe") if split is None else split
+    cut = vocabulary.startswith("byte_bpe")
 
     def run(batches):
-        encode = _encoder(vocabulary)
-        lengths = _LENGTHS.setdefault(vocabulary, {})
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+        for b in slices(batches, 16 << 20):
+            data, off = text_bytes(b.column(1))
             if cut:
-                total = []
-                for t in texts:
-                    pieces = SAFE.split(t) if t else []
-                    new = [p for p in dict.fromkeys(pieces) if p not in lengths]
-                    if len(lengths) + len(new) > keep:
-                        lengths.clear()
-                        new = list(dict.fromkeys(pieces))
-                    if new:
-                        lengths.update(zip(new, encode_by_bytes(encode, new, batch_bytes)))
-                    total.append(sum(map(lengths.__getitem__, pieces)))
+                total = _loaded(vocabulary, table_bytes).lengths(data, off)
             else:
-                total = encode_by_bytes(encode, texts, batch_bytes)
-            total = np.array(total, np.int64)
+                total = encode_by_bytes(_loaded(vocabulary), [t or "" for t in b.column(1).to_pylist()], np.diff(off), batch_bytes)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(total), pa.array(total > limit)],
+                [b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(total), pa.array(total > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = checked_columns(docs, ["doc_id", "text"])

@@ -1,13 +1,16 @@
 """Quality rules, licence scan, mixing and token counts against plain Python."""
 
+import itertools
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from provguard.llm import license_scan, mixing, quality_rules, token_count
+from provguard.llm import encode, license_scan, mixing, quality_rules, token_count
+from provguard.llm.common import text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -204,7 +207,7 @@ def test_mixing_budgets(docs, rows):
 
 @pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, rows, vocabulary, spark):
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs, vocabulary, keep=50, batch_bytes=300).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs, vocabulary, table_bytes=50, batch_bytes=300).collect())
     path = token_count.vocabulary_path(vocabulary)
     if vocabulary.endswith(".model"):
         import sentencepiece
@@ -224,8 +227,31 @@ def test_token_counts(docs, rows, vocabulary, spark):
 def test_token_pieces_add_up():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(token_count.vocabulary_path("byte_bpe_50k.json"))
-    for t in ("a  b c\n d", "x <|endoftext|> y<|endoftext|>z", "it's  we'll é ü  x", " lead trail ", "a  b", "1 2 33 !! ?? a.b c"):
-        assert sum(len(tok.encode(p, add_special_tokens=False).ids) for p in token_count.SAFE.split(t)) == len(tok.encode(t, add_special_tokens=False).ids)
+    whole = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    texts = ["a  b c\n d", "x <|endoftext|> y<|endoftext|>z", "it's  we'll \u00e9 \u00fc  x", " lead trail ", "a\u00a0 b", "1 2 33 !! ?? a.b c"]
+    for t in texts:
+        data, off = text_bytes(pa.array([t]))
+        at = [*encode.safe_starts(data, off).tolist(), len(data)]
+        assert sum(whole(data[a:z].tobytes().decode()) for a, z in itertools.pairwise(at)) == whole(t)
+    rng = random.Random(12)
+    marks = ["a", "Be", "'s", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u4e2d", "\u00e9", "7", ".", "-", "_", "|", "<|endoftext|>", "\x0b", "\U0001f600", "\u2028", "\x00", "\u0301"]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(1, 30))) for _ in range(4000)]
+    for table in (0, 1 << 20):
+        enc = encode.Encoder("byte_bpe_50k.json", table)
+        for k in range(0, len(texts), 500):
+            data, off = text_bytes(pa.array(texts[k:k + 500]))
+            assert enc.lengths(data, off).tolist() == [whole(t) for t in texts[k:k + 500]]
+
+
+def test_long_pieces_stay_out_of_the_table(monkeypatch):
+    """Texts without a boundary, longer than a block: counted whole, and no table of them is kept."""
+    monkeypatch.setattr(encode, "BLOCK", 1000)
+    enc = encode.Encoder("byte_bpe_50k.json", 5000)
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcXYZ019", k=3000)) for _ in range(20)] + ["\u4e2d\u6587" * 900, " ".join(f"w{rng.randrange(10**9)}" for _ in range(3000))]
+    data, off = text_bytes(pa.array(texts))
+    assert enc.lengths(data, off).tolist() == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert enc.bytes < 5000 + 1000 * 40 and enc.ids.nbytes < 50_000
 
 
 def test_empty_tables(empty):
