@@ -137,6 +137,16 @@ def key_groups(payloads: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray]
     return inv, len(u), off
 
 
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair's number among the distinct pairs (a, b) in order, and a place of each distinct pair."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    number = np.zeros(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
 def ask(packed: DataFrame, answer) -> DataFrame:
     """Rows (bucket, chunk_id, keys, extra) -> (chunk_id, replies) with one reply a bucket.
 

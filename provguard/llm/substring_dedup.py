@@ -8,11 +8,12 @@ probe them with every rolling window of ``block`` words.
 1. Block keys are indexed and probed by all rolling keys, across documents (packed keys:
    see ``packed``).  Both sides learn which of their blocks and probes hit.
 2. Hits are extended: every full window around a hit, on either side, is looked up by
-   its 64-bit key for the smallest document that holds it.
+   its key for the smallest document that holds it.
 3. Runs of windows found in a smaller document are maximal exact repeats; their words go.
 
 Windows are judged on the input.  Keys are 64-bit hashes of word hashes; the hashes in step
-1 only choose candidates, the ones of step 2 decide.
+1 only choose candidates.  In step 2, which decides, each window has a second hash beside its key, so
+that windows are taken for equal by 128 bits.
 
 Defined cases: null or empty text has no words and an empty kept text; texts of fewer
 words than a window lose nothing; a null doc_id counts as larger than all others; rows
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import packed as P
-from .common import U64, map_arrow, ngram_hashes, span_hashes, text_bytes, text_of_item, window_ok, word_spans, write_scratch
+from .common import U64, map_arrow, mix, ngram_hashes, span_hashes, text_bytes, text_of_item, window_ok, word_spans, write_scratch
 
 OUT = ["doc_id", "n_words", "n_removed", "kept"]
+SECOND = U64(0xA24BAED4963EE407)  # makes the second word hashes
 
 
 class Chunk:
@@ -74,13 +76,15 @@ class Chunk:
         return w[total[w + window - block + 1] > total[w]]
 
     def window_keys(self, starts: np.ndarray, window: int):
-        """Sorted distinct keys of full windows (by bucket), each start's key, each key's smallest document."""
-        g = ngram_hashes(self.h, window)[starts] if len(starts) else np.zeros(0, U64)
+        """Distinct full windows in order (keys by bucket, second hashes), each start's window, each window's smallest document."""
+        none = np.zeros(0, U64)
+        g = ngram_hashes(self.h, window)[starts] if len(starts) else none
+        second = ngram_hashes(mix(self.h ^ SECOND), window)[starts] if len(starts) else none
         ids = self.ids[self.doc[starts]]
-        keys, inv = np.unique((g << U64(32)) | (g >> U64(32)), return_inverse=True)  # low half first: sorted by bucket
-        low = np.full(len(keys), P.NULL_ID)
+        inv, at = P.numbered(_swap(g), second)  # low half first: sorted by bucket
+        low = np.full(len(at), P.NULL_ID)
         np.minimum.at(low, inv, ids)
-        return keys, inv, low, ids
+        return _swap(g)[at], second[at], inv, low, ids
 
 
 def _swap(k: np.ndarray) -> np.ndarray:
@@ -116,15 +120,16 @@ def ask_windows(found: DataFrame, block: int, window: int, buckets: int, ranges:
         for b in batches:
             for cid, body, replies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 c = Chunk(body.as_py())
-                keys, _, low, _ = c.window_keys(c.candidates(block, window, buckets, replies), window)
+                keys, second, _, low, _ = c.window_keys(c.candidates(block, window, buckets, replies), window)
                 at = P.edges(P.route(_swap(keys), ranges), ranges)
-                yield P.packed_rows(cid, [(i, P.pack(keys[a:z], 48), P._zip(low[a:z])) for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
+                yield P.packed_rows(cid, [(i, P.pack(keys[a:z], 48), second[a:z].tobytes() + P._zip(low[a:z])) for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
 
     def answer(keys, extra):
         lists = [P.unpack(k, 48) for k in keys]
-        inv, n, off = P.key_groups(lists)
-        ids = np.concatenate([P._unzip(x, len(k), np.int64) for x, k in zip(extra, lists)])
-        low = np.full(n, P.NULL_ID)
+        off = np.concatenate([[0], np.cumsum([len(k) for k in lists])])
+        inv, distinct = P.numbered(np.concatenate(lists), np.concatenate([np.frombuffer(x, U64, len(k)) for x, k in zip(extra, lists)]))
+        ids = np.concatenate([P._unzip(x[8 * len(k):], len(k), np.int64) for x, k in zip(extra, lists)])
+        low = np.full(len(distinct), P.NULL_ID)
         np.minimum.at(low, inv, ids)
         earlier = low[inv] < ids
         return [np.packbits(earlier[a:z]).tobytes() for a, z in itertools.pairwise(off)]
@@ -149,7 +154,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20
             for body, r1, r2 in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 c = Chunk(body.as_py())
                 starts = c.candidates(block, window, buckets, r1)
-                keys, inv, low, ids = c.window_keys(starts, window)
+                keys, _, inv, low, ids = c.window_keys(starts, window)
                 earlier = P.bits_of(r2, P.edges(P.route(_swap(keys), ranges), ranges), 1)[0]
                 gone = starts[earlier[inv] | (low[inv] < ids)]
                 mark = np.zeros(len(c.h) + 1, np.int64)
