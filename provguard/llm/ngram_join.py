@@ -13,7 +13,9 @@ groups that remain are expanded to members, which are verified on their whole se
 rounds the pivot is the first document by a hash, so that lists which share documents share pivots, and
 each group is paired with one pivot only, the one it shares most shingles with: a family of near copies
 gathers about its leaders at the cost of one pair for each member.  Then each pivot is compared with
-all that the filters leave, and is done with under that shingle.  Rounds go on, with 4 times the pivots of
+all that the filters leave, and is done with under that shingle.  Sets that share a shingle and the one before
+it in both prefixes are left to the one before, so that a passage that many documents share, a run of equal
+shingles in their prefixes, pairs them once and not under each of its shingles.  Rounds go on, with 4 times the pivots of
 the last, until the documents left under every shingle belong to one component.  Members that
 share prefixes but do not link are compared pair by pair in the end, and no link between components is missed.
 
@@ -74,16 +76,16 @@ class Chunk:
         return out[0], out[1]
 
     def copies(self):
-        """Sorted keys of the distinct sets, each document's key (empty sets too), and the smallest id of each."""
-        a, _ = self.signatures()
-        keys, inv = np.unique((a << U64(32)) | (a >> U64(32)), return_inverse=True)
-        low = np.full(len(keys), P.NULL_ID)
-        np.minimum.at(low, inv, np.asarray(self.ids.fill_null(P.NULL_ID)))
-        return keys, inv, low
+        """Both signatures of the distinct sets, in order, each document's set (empty sets too), and the smallest id of each."""
+        a, b = self.signatures()
+        number, first = P.numbered(_swap(a), b)
+        low = np.full(len(first), P.NULL_ID)
+        np.minimum.at(low, number, np.asarray(self.ids.fill_null(P.NULL_ID)))
+        return _swap(a)[first], b[first], number, low
 
     def first_of_copies(self, replies, ranges: int) -> np.ndarray:
         """Documents that stand for their set: the smallest id, the first row of those."""
-        keys, inv, low = self.copies()
+        keys, _, inv, low = self.copies()
         elsewhere = P.bits_of(replies, P.edges(P.route(_swap(keys), ranges), ranges), 1)[0]
         ids = np.asarray(self.ids.fill_null(P.NULL_ID))
         mine = np.flatnonzero((ids == low[inv]) & ~elsewhere[inv] & (self.size > 0))
@@ -111,11 +113,15 @@ def _swap(k: np.ndarray) -> np.ndarray:
     return (k << U64(32)) | (k >> U64(32))
 
 
+
 def answer_copies(keys, extra):
     """Whether another chunk holds the set under a smaller id (or an equal one, in an earlier row)."""
     lists = [P.unpack(k, 48) for k in keys]
-    inv, n, off = P.key_groups(lists)
-    ids = np.concatenate([P._unzip(x, len(k), np.int64) for x, k in zip(extra, lists)])
+    off = np.concatenate([[0], np.cumsum([len(k) for k in lists])])
+    beside = [P._unzip(x, 2 * len(k), np.int64) for x, k in zip(extra, lists)]  # smallest ids, then second signatures
+    ids = np.concatenate([x[:len(k)] for x, k in zip(beside, lists)])
+    inv, distinct = P.numbered(np.concatenate(lists), np.concatenate([x[len(k):] for x, k in zip(beside, lists)]))
+    n = len(distinct)
     low = np.full(n, P.NULL_ID)
     np.minimum.at(low, inv, ids)
     first = np.full(n, len(inv))
@@ -147,9 +153,9 @@ def prefix_sets(docs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -
     def emit_copies(batches):
         for b in batches:
             for cid, body in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, _, low = Chunk(body.as_py(), n).copies()
+                keys, second, _, low = Chunk(body.as_py(), n).copies()
                 at = P.edges(P.route(_swap(keys), ranges), ranges)
-                yield P.packed_rows(cid, [(i, P.pack(keys[a:z], 48), P._zip(low[a:z])) for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
+                yield P.packed_rows(cid, [(i, P.pack(keys[a:z], 48), P._zip(np.concatenate([low[a:z], second[a:z].view(np.int64)]))) for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
 
     def emit_shingles(batches):
         for b in batches:
@@ -254,8 +260,9 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
     groups = write_scratch(members.dropDuplicates(["group"]).select("group", "size", "lead", "prefix"), "groups")
     members = write_scratch(members.select("doc_id", "group", place_of(F.col("doc_id")).alias("place")), "members")
     # A shared shingle has ``at`` shared ones before it and at most ``rest`` from it on.
-    open_ = groups.select(F.posexplode("prefix").alias("at", "token"), "group", "size", "lead")
-    open_ = open_.select("token", "group", "size", "at", (F.col("size") - F.col("lead") - F.col("at")).alias("rest"))
+    open_ = groups.select(F.posexplode("prefix").alias("at", "token"), "group", "size", "lead", "prefix")
+    open_ = open_.select("token", "group", "size", "at", (F.col("size") - F.col("lead") - F.col("at")).alias("rest"),
+                         F.get("prefix", F.col("at") - 1).alias("prev"))
     state = members.select("doc_id", F.col("doc_id").alias("label"))
     counted, done, upto = False, 0, 0  # pivots under each shingle: those up to ``done`` are done with
     for turn in itertools.count():
@@ -276,7 +283,7 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
         under = write_scratch(under.join(span, F.col("token") == F.col("t")).drop("t"), "open")
         if not under.limit(1).collect():
             return state
-        light = ["token", "group", "size", "at", "rest"]
+        light = ["token", "group", "size", "at", "rest", "prev"]
         open_ = under.select(*light, "n").distinct()
         # Pivots: in the first rounds one document under each shingle, then ever more.
         pivot = F.col("doc_id") == F.col("leader.doc_id") if leading else left & (F.col("place") * F.col("n") < upto)
@@ -287,6 +294,8 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
         may = ((F.col("token") == F.col("t")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label")))
                & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
                & (F.least("p_at", "at") + F.least("p_rest", "rest") >= need))
+        if not leading:  # sets that share the shingle before this one too meet there
+            may = may & F.coalesce(F.col("p_prev") != F.col("prev"), F.lit(True))
         hits = chosen.join(target, may).groupBy("p", "p_group", "p_label", "group").agg(F.count(F.lit(1)).alias("shared"))
         if leading:  # each group with one leader only: the one of most of its shingles
             best = F.max(F.struct("shared", place_of(F.col("p"), turn), "p", "p_group", "p_label")).alias("best")
