@@ -1,7 +1,9 @@
 """Language ID and site quality on held-out rows; the pipeline; registered queries against SQL."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -46,6 +48,93 @@ def test_language_id_edges(spark, docs, empty):
     assert language_id.predict(empty, model).collect() == []
 
 
+@pytest.mark.parametrize("langs", [2, 3, 9])
+def test_language_id_against_plain_decoding(spark, langs):
+    """Counts, bit weights and loss-weighted decoding, one n-gram and one text at a time."""
+    rng = random.Random(langs)
+    letters = ["abcdeé", "efghij", "ijklmñ", "aeioub", "qrstuv", "xyzabc", "ßöäüab", "mnopqr", "bdfhjl"][:langs]
+    text = lambda k: "".join(rng.choice(letters[k] + " A") for _ in range(rng.randrange(3, 60)))
+    rows = [(i if i % 5 else None, text(i % langs), f"l{i % langs}", f"h{i}", 1) for i in range(120)] + [(900, "zz", "l0", "h", 1), (901, "a", None, "h", 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 3), r.ambiguous) for r in language_id.predict(df, language_id.fit(df)).collect())
+
+    def slots(t):
+        b = t.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+        return [((b[i] * 257 * 257 + b[i + 1] * 257 + b[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(b) - 2)]
+
+    names = sorted({r[2] for r in rows if r[2]})
+    count = {x: Counter(s for r in rows if r[2] == x for s in slots(r[1])) for x in names}
+    rate = np.array([[(count[x][s] + 0.5) / (sum(count[x].values()) + 0.5 * 2**14) for s in range(2**14)] for x in names])
+    code = language_id.codewords(len(names))
+    weight = np.array([np.log(rate[c > 0].mean(0)) - np.log(rate[c < 0].mean(0)) for c in code.T])
+    bit = np.maximum([min(float(rate[k] @ w) * c[k] for k in range(len(names))) for w, c in zip(weight, code.T)], 1e-3)
+    bit = bit / bit.sum()
+    want = Counter()
+    for i, t, *_ in rows:
+        if not any(map(str.isalpha, t)):
+            want[(i, "und", 0.0, False)] += 1
+            continue
+        s = slots(t)
+        margin = [sum(w[x] for x in s) / max(1, len(s)) for w in weight]
+        loss = [sum(b * math.log1p(math.exp(-20 * m * c)) for b, m, c in zip(bit, margin, word)) for word in code]
+        p = sorted((math.exp(min(loss) - x) for x in loss), reverse=True)
+        want[(i, names[int(np.argmin(loss))], round(p[0] / sum(p), 3), (p[0] - p[1]) / sum(p) < 0.2)] += 1
+    assert sum((got - want).values()) <= 2  # roundings of the third digit
+
+
+def test_language_id_sample_takes_rows_without_ids(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 6), "en" if i % 2 else "fr", "h", 1) for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), sample_rows=100)
+    assert model["langs"] == ["en", "fr"]
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.6])
+def test_site_posteriors_against_plain_arithmetic(spark, hot):
+    """Shrunk rates and posteriors by loops over groups; a host with most rows, repeated rows, null hosts, clashing columns."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        host = "hot" if rng.random() < hot else rng.choice(["a", "b", "c", "d", None])
+        lang = rng.choice(["en", "fr", None])
+        bad = rng.random() < {"a": 0.9, "b": 0.1}.get(host, 0.4)
+        rows.append((i, prose(rng, 40, 200) + (" zork ### blarg" if bad else ""), lang, host, 1))
+        labels.append((i, int(not bad), int(bad)))
+    rows += rows[:50]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("host", "path", "n", "s", "k", "p_quality", "e_toxic", "slot")})
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = site_quality.classify(docs.repartition(6), y, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    assert len(got) == len(rows)
+    sigmoid, logit = lambda x: 1 / (1 + math.exp(-x)), lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for column, task in ((1, "quality"), (2, "toxic")):
+        prior = (sum(r[column] for r in labels) + 0.5) / (len(labels) + 1)
+        own = [sigmoid(r[f"e_{task}"] + math.log(prior / (1 - prior))) for r in got]
+        group, host = Counter(), Counter()
+        n_group, n_host = Counter(), Counter()
+        for r, p in zip(got, own):
+            group[r.host, r.path] += p
+            host[r.host] += p
+            n_group[r.host, r.path] += 1
+            n_host[r.host] += 1
+
+        def strength(rate, n, prior_of):
+            total = sum(n.values())
+            m = sum(prior_of(g) * n[g] for g in n) / total
+            spread = sum(n[g] * (rate(g) - prior_of(g)) ** 2 for g in n) / total
+            return max(1.0, m * (1 - m) / max(spread - m * (1 - m) * len(n) / total, 1e-6) - 1)
+
+        world = sum(own) / len(own)
+        h_k = strength(lambda g: host[g] / n_host[g], n_host, lambda g: world)
+        mean = {h: (host[h] + h_k * world) / (n_host[h] + h_k) for h in n_host}
+        k = strength(lambda g: group[g] / n_group[g], n_group, lambda g: mean[g[0]])
+        for r, p in zip(got, own):
+            g = (r.host, r.path)
+            site = (group[g] - p + k * mean[r.host]) / (n_group[g] - 1 + k)
+            assert r[f"site_{task}"] == pytest.approx(site, rel=1e-9)
+            assert r[f"p_{task}"] == pytest.approx(sigmoid(r[f"e_{task}"] + logit(site)), rel=1e-9)
+    assert all(r.kept == (r.p_quality >= 0.05 and r.p_toxic < 0.99) for r in got)
+
+
 def test_site_quality_learns_and_shrinks(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -95,6 +95,46 @@ def test_ngram_join_chain_and_unlinked_family(spark):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_ngram_join_passage_in_every_prefix(spark):
+    """A passage rare enough to stand in all prefixes: most documents that share it don't link, some do."""
+    import random
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(24)]
+    common = [[word() for _ in range(60)] for _ in range(3)]
+    rows = []
+    for k in range(90):
+        body = list(rng.choice(common)) if k % 2 else [word() for _ in range(40)]
+        for _ in range(rng.randrange(4)):
+            body[rng.randrange(len(body))] = word()
+        rows.append((k, " ".join(body[:20] + passage[rng.randrange(3):] + body[20:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, num in ((3, 90), (3, 60), (5, 80)):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, n, num, 100, SMALL).collect()}
+        sets = {i: {tuple(t.split()[k:k + n]) for k in range(len(t.split()) - n + 1)} for i, t in rows}
+        label = {i: i for i in sets}
+        moved = True
+        while moved:
+            moved = False
+            for a in sets:
+                for b in sets:
+                    if label[b] < label[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                        label[a], moved = label[b], True
+        assert got == {(i, len(x), label[i]) for i, x in sets.items()}
+
+
+def test_sets_apart_by_both_signatures():
+    """Two sets that meet in the first 64-bit sum alone both stay."""
+    u = lambda *x: np.array(x, np.uint64)
+    pay = lambda keys, ids, second: (packed.pack(u(*keys), 48), packed._zip(np.array([*ids, *second], np.int64)))
+    chunks = [pay((5, 5, 9), (7, 3, 1), (10, 11, 12)), pay((5, 9), (4, 1), (10, 12))]
+    got = [np.unpackbits(np.frombuffer(r, np.uint8))[:n].tolist()
+           for r, n in zip(ngram_join.answer_copies(*map(list, zip(*chunks))), (3, 2))]
+    assert got == [[1, 0, 0], [0, 1]]
+    number, at = packed.numbered(u(5, 9, 5, 5), u(2, 0, 1, 2))
+    assert number.tolist() == [1, 2, 0, 1] and u(5, 9, 5, 5)[at].tolist() == [5, 5, 9]
+
+
 def test_decontaminate_tolerates_substitutions(spark, docs):
     item = [f"q{k}" for k in range(30)]
     changed = [*item[:8], "zzz", *item[9:21], "yyy", *item[22:]]
