@@ -87,14 +87,26 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE
     return s, e, np.searchsorted(s, off)
 
 
+SPAN_BLOCK = 1 << 20
+
+
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes, equal hash, wherever they stand."""
-    if len(s) == 0:
-        return np.zeros(0, U64)
-    m, inv = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_HASH[data] * m[:-1], out=total[1:])
-    return mix((total[e] - total[s]) * inv[s] + (e - s).astype(U64))
+    """64-bit hashes of byte spans, in order of place: equal bytes, equal hash, wherever they stand.
+
+    Sums run over ``SPAN_BLOCK`` bytes at a time, so that memory follows the longest span and not the data."""
+    out = np.zeros(len(s), U64)
+    i = 0
+    while i < len(s):
+        first = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, first + SPAN_BLOCK, "right")))
+        part = data[first:int(e[j - 1])]
+        m, inv = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(BYTE_HASH[part] * m[:-1], out=total[1:])
+        a, z = s[i:j] - first, e[i:j] - first
+        out[i:j] = mix((total[z] - total[a]) * inv[a] + (z - a).astype(U64))
+        i = j
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

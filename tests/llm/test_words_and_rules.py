@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
-from provguard.llm import encode, license_scan, mixing, quality_rules, token_count
+from provguard.llm import common, encode, license_scan, mixing, quality_rules, token_count
 from provguard.llm.common import text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,6 +243,19 @@ def test_token_pieces_add_up():
             assert enc.lengths(data, off).tolist() == [whole(t) for t in texts[k:k + 500]]
 
 
+def test_span_hashes_by_bytes_alone(monkeypatch):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abc", k=rng.choice([1, 2, 3, 40]))) for _ in range(500)]
+    data, off = text_bytes(pa.array([" ".join(words), "", "abc " * 30 + "x" * 900]))
+    s, e, _ = common.word_spans(data, off)
+    whole = common.span_hashes(data, s, e)
+    of = {data[a:z].tobytes(): h for a, z, h in zip(s, e, whole.tolist())}
+    assert [of[data[a:z].tobytes()] for a, z in zip(s, e)] == whole.tolist() and len(set(of.values())) == len(of)
+    for block in (1, 50, 700):
+        monkeypatch.setattr(common, "SPAN_BLOCK", block)
+        assert common.span_hashes(data, s, e).tolist() == whole.tolist()
+
+
 def test_long_pieces_stay_out_of_the_table(monkeypatch):
     """Texts without a boundary, longer than a block: counted whole, and no table of them is kept."""
     monkeypatch.setattr(encode, "BLOCK", 1000)
