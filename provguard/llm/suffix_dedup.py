@@ -1,16 +1,17 @@
-"""Repeated byte strings by distributed prefix doubling over sparse suffixes.
+"""Repeated byte strings by prefix doubling over sparse suffixes, with hash names in place of ranks.
 
 A suffix array by prefix doubling names every position by the rank of the string of
 length h that starts there, sorts pairs of names (position p, position p + h), names
 the pairs, and goes on with 2h until a name is unique or the length passes the threshold.
-Two things keep the sorted data small:
+Here names are hashes: Spark deals them to key ranges and counts them there, but ranks nothing anew.
+Two things keep the data that is dealt small:
 
 * Only anchors are sorted.  The anchor of a ``length``-byte window is the position of the
   least 16-byte hash among its first ``length - core + 1`` positions (``core`` a power of
   two).  It depends on the window's bytes alone, so equal windows have equal anchors, and
   all windows of an anchor hold the ``core`` bytes from it.
 * Ranks are 64-bit names instead of dense numbers.  Names up to a quarter of the core are
-  made inside a task; from there on Spark sorts the pairs by key ranges (``packed``).
+  made inside a task; from there on Spark deals the pairs to key ranges (``packed``).
 
 Rounds: pairs at core/4 and at core/2; anchors with a unique name leave after each.  Past the
 core, anchors with one name are sorted by the whole string their windows cover: if that
