@@ -15,7 +15,7 @@ from provguard.operators import sparse as SP
 from provguard.operators import windows as W
 from provguard.plans import pipelines as PL
 from provguard.plans import standins as S
-from provguard.session import scratch_path
+from provguard.session import compiled_projections, scratch_path
 from provguard.sources import store
 
 from .conftest import SF_SMALL
@@ -123,6 +123,38 @@ def test_corr_blocks(spark, p, block):
     assert p > 3 or len(P.corr_blocks(df, cols, lower_only=False).collect()) == p * p
 
 
+def test_corr_blocks_reads_rows_once_as_compiled_code(spark):
+    """One pass over the rows, under the limit of methods that the JVM compiles, which is put back."""
+    key, rows, limits = "spark.sql.codegen.hugeMethodLimit", spark.sparkContext.accumulator(0), []
+    before = spark.conf.get(key)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    df = spark.range(4000, numPartitions=4).select(*[F.when(F.col("id") % (k + 3) != 0, F.col("id") * k % 17 + 1e7).alias(f"c{k}") for k in range(20)],
+                                                   F.lit(0.1).alias("same"), F.lit(None).cast("double").alias("none"))
+    out = P.corr_blocks(df.mapInArrow(counted, df.schema), df.columns)
+    got = {(r.x, r.y): r.r for r in out.collect()}
+    assert rows.value == 4000 and spark.conf.get(key) == before
+    with pytest.raises(ValueError), compiled_projections(spark):
+        limits.append(spark.conf.get(key))
+        raise ValueError
+    assert limits == ["8000"] and spark.conf.get(key) == before
+    assert len(got) == 22 * 21 // 2 and all(v is None for (x, y), v in got.items() if {x, y} & {"same", "none", "c0"})
+    want = df.select(F.corr("c7", "c3")).first()[0]
+    assert abs(got["c7", "c3"] - want) < 1e-9
+
+
+def test_corr_blocks_of_sorted_rows(spark):
+    """Tasks with centres far apart, and a column that some tasks never see."""
+    df = spark.range(9000, numPartitions=6).select((F.col("id") * 1e3).alias("a"), (F.col("id") ** 2 / 7).alias("b"), F.when(F.col("id") > 4000, -F.col("id") + F.col("id") % 5).alias("c"))
+    got = {(r.x, r.y): r.r for r in P.corr_blocks(df, df.columns, block=2).collect()}
+    for x, y in got:
+        assert abs(got[x, y] - df.where(f"{x} is not null and {y} is not null").select(F.corr(x, y)).first()[0]) < 1e-9
+
+
 def test_corr_blocks_agrees_with_corr(spark):
     df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
