@@ -10,11 +10,21 @@ once); where providers are that uneven, ``joins.label_by_membership`` spreads th
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provguard.session import input_bytes
+
+BUCKET_BYTES = 8 << 20  # of the tables that a frame reads, for each bucket
+
+
+def bucket_count(df: DataFrame, least: int = 8) -> int:
+    """Buckets for a store of ``df``: a task sorts a whole bucket, so their number grows with the tables read."""
+    return max(least, math.ceil(input_bytes(df) / BUCKET_BYTES))
+
 
 def table_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex[:12]}"

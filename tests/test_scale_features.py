@@ -13,6 +13,7 @@ from provguard.operators import reshape as R
 from provguard.operators import sketches as SK
 from provguard.operators import sparse as SP
 from provguard.operators import windows as W
+from provguard.plans import catalog
 from provguard.plans import pipelines as PL
 from provguard.plans import standins as S
 from provguard.session import compiled_projections, scratch_path
@@ -230,6 +231,16 @@ def test_claim_store_joins_without_exchange(spark):
     assert "Exchange" not in plan and "SortMergeJoin" in plan and "PartitionFilters: [isnotnull(year" in plan
 
 
+def test_claim_store_buckets_grow_with_the_claims(spark, monkeypatch):
+    """Both stores get as many buckets as the tables need, and the labels stay."""
+    few = sorted(map(tuple, catalog.QUERIES["claim_store"](spark, SF_SMALL).collect()))
+    seen, write = [], store.write_bucketed
+    monkeypatch.setattr(store, "BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(store, "write_bucketed", lambda df, table, path, key, buckets, *a, **k: seen.append(buckets) or write(df, table, path, key, buckets, *a, **k))
+    assert sorted(map(tuple, catalog.QUERIES["claim_store"](spark, SF_SMALL).collect())) == few
+    assert len(seen) == 2 and seen[0] == seen[1] > 8
+
+
 # --- sketches -----------------------------------------------------------------------
 
 def test_distinct_sketches_merge(spark):
