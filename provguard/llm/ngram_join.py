@@ -117,27 +117,31 @@ def _swap(k: np.ndarray) -> np.ndarray:
 def answer_copies(keys, extra):
     """Whether another chunk holds the set under a smaller id (or an equal one, in an earlier row)."""
     lists = [P.unpack(k, 48) for k in keys]
-    off = np.concatenate([[0], np.cumsum([len(k) for k in lists])])
     beside = [P._unzip(x, 2 * len(k), np.int64) for x, k in zip(extra, lists)]  # smallest ids, then second signatures
-    ids = np.concatenate([x[:len(k)] for x, k in zip(beside, lists)])
-    inv, distinct = P.numbered(np.concatenate(lists), np.concatenate([x[len(k):] for x, k in zip(beside, lists)]))
-    n = len(distinct)
-    low = np.full(n, P.NULL_ID)
-    np.minimum.at(low, inv, ids)
-    first = np.full(n, len(inv))
-    mine = np.flatnonzero(ids == low[inv])
-    first[inv[mine][::-1]] = mine[::-1]
-    other = first[inv] != np.arange(len(inv))
-    return [np.packbits(other[a:z]).tobytes() for a, z in itertools.pairwise(off)]
+
+    def judge(k, ids, second):
+        inv, distinct = P.numbered(k, second)
+        low = np.full(len(distinct), P.NULL_ID)
+        np.minimum.at(low, inv, ids)
+        first = np.full(len(distinct), len(inv))
+        mine = np.flatnonzero(ids == low[inv])
+        first[inv[mine][::-1]] = mine[::-1]
+        return first[inv] != np.arange(len(inv))
+
+    found = P.by_parts(judge, lists, [x[:len(k)] for x, k in zip(beside, lists)], [x[len(k):] for x, k in zip(beside, lists)])
+    return [np.packbits(other).tobytes() for other in found]
 
 
 def answer_frequency(keys, extra):
     """Frequency class of each key: 0 for one set, else the power of two of the number of sets, plus one."""
     lists = [P.unpack(k, 16) for k in keys]
-    inv, n, off = P.key_groups(lists)
-    df = np.bincount(inv, weights=np.concatenate([P._unzip(x, len(k), np.uint32) for x, k in zip(extra, lists)]), minlength=n)
-    cls = np.where(df > 1, np.floor(np.log2(np.maximum(df, 1))) + 1, 0).astype(np.uint8)[inv]
-    return [P._zip(cls[a:z]) for a, z in itertools.pairwise(off)]
+
+    def judge(k, sets):
+        inv, n = P.key_groups(k)
+        df = np.bincount(inv, weights=sets, minlength=n)
+        return np.where(df > 1, np.floor(np.log2(np.maximum(df, 1))) + 1, 0).astype(np.uint8)[inv]
+
+    return [P._zip(cls) for cls in P.by_parts(judge, lists, [P._unzip(x, len(k), np.uint32) for x, k in zip(extra, lists)])]
 
 
 def prefix_sets(docs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -> DataFrame:

@@ -91,6 +91,34 @@ def _swap(k: np.ndarray) -> np.ndarray:
     return (k << U64(32)) | (k >> U64(32))
 
 
+def answer_blocks(keys, extra):
+    """For each key: whether it is a block of another chunk; whether it is a block that another chunk holds anywhere."""
+    lists = [P.unpack(k, 16) for k in keys]
+
+    def judge(k, flag):
+        inv, n = P.key_groups(k)
+        probes, blocks = np.bincount(inv, minlength=n), np.bincount(inv[flag], minlength=n)
+        return np.stack([blocks[inv] - flag > 0, flag & (probes[inv] > 1)])
+
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(k)].astype(bool) for x, k in zip(extra, lists)]
+    return [np.packbits(hits).tobytes() + np.packbits(hit).tobytes() for hits, hit in P.by_parts(judge, lists, flags)]
+
+
+def answer_windows(keys, extra):
+    """Whether a document with a smaller id, in another chunk, holds the window."""
+    lists = [P.unpack(k, 48) for k in keys]
+
+    def judge(k, second, ids):
+        inv, distinct = P.numbered(k, second)
+        low = np.full(len(distinct), P.NULL_ID)
+        np.minimum.at(low, inv, ids)
+        return low[inv] < ids
+
+    second = [np.frombuffer(x, U64, len(k)) for x, k in zip(extra, lists)]
+    ids = [P._unzip(memoryview(x)[8 * len(k):], len(k), np.int64) for x, k in zip(extra, lists)]
+    return [np.packbits(earlier).tobytes() for earlier in P.by_parts(judge, lists, second, ids)]
+
+
 def ask_blocks(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -103,16 +131,7 @@ def ask_blocks(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
                 yield P.packed_rows(cid, [(i, P.pack(keys[a:z] & U64(0xFFFFFFFF), 16), np.packbits(flag[a:z]).tobytes())
                                           for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
 
-    def answer(keys, extra):
-        lists = [P.unpack(k, 16) for k in keys]
-        inv, n, off = P.key_groups(lists)
-        flag = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:len(k)] for x, k in zip(extra, lists)]).astype(bool)
-        probes, blocks = np.bincount(inv, minlength=n), np.bincount(inv[flag], minlength=n)
-        hits = blocks[inv] - flag > 0
-        hit = flag & (probes[inv] > 1)
-        return [np.packbits(hits[a:z]).tobytes() + np.packbits(hit[a:z]).tobytes() for a, z in itertools.pairwise(off)]
-
-    return P.ask(map_arrow(chunks.select("chunk_id", "body"), run, P.PACKED), answer)
+    return P.ask(map_arrow(chunks.select("chunk_id", "body"), run, P.PACKED), answer_blocks)
 
 
 def ask_windows(found: DataFrame, block: int, window: int, buckets: int, ranges: int) -> DataFrame:
@@ -124,17 +143,7 @@ def ask_windows(found: DataFrame, block: int, window: int, buckets: int, ranges:
                 at = P.edges(P.route(_swap(keys), ranges), ranges)
                 yield P.packed_rows(cid, [(i, P.pack(keys[a:z], 48), second[a:z].tobytes() + P._zip(low[a:z])) for i, (a, z) in enumerate(itertools.pairwise(at)) if z > a])
 
-    def answer(keys, extra):
-        lists = [P.unpack(k, 48) for k in keys]
-        off = np.concatenate([[0], np.cumsum([len(k) for k in lists])])
-        inv, distinct = P.numbered(np.concatenate(lists), np.concatenate([np.frombuffer(x, U64, len(k)) for x, k in zip(extra, lists)]))
-        ids = np.concatenate([P._unzip(x[8 * len(k):], len(k), np.int64) for x, k in zip(extra, lists)])
-        low = np.full(len(distinct), P.NULL_ID)
-        np.minimum.at(low, inv, ids)
-        earlier = low[inv] < ids
-        return [np.packbits(earlier[a:z]).tobytes() for a, z in itertools.pairwise(off)]
-
-    return P.ask(map_arrow(found, run, P.PACKED), answer)
+    return P.ask(map_arrow(found, run, P.PACKED), answer_windows)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Substring, suffix and n-gram joins and decontamination against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +136,47 @@ def test_sets_apart_by_both_signatures():
     assert number.tolist() == [1, 2, 0, 1] and u(5, 9, 5, 5)[at].tolist() == [5, 5, 9]
 
 
+def test_by_parts():
+    """Any part size gives the same answers, and a key's entries come together."""
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.integers(0, 60, n).astype(np.uint64) << np.uint64(s)) for n, s in ((0, 0), (40, 0), (1, 58), (90, 58))]
+    for some in (lists, lists[:2], lists[:1], [lists[1][:1]] * 3, [np.array([2**64 - 1], np.uint64)] * 2):
+        beside = [np.arange(len(k)) for k in some]
+
+        def judge(k, x):
+            of, n = packed.key_groups(k)
+            return np.stack([np.bincount(of, minlength=n)[of], x])
+
+        whole = judge(np.concatenate(some), np.concatenate(beside))
+        for size in (1, 7, 10**6):
+            got = packed.by_parts(judge, some, beside, size=size)
+            assert [g.shape[1] for g in got] == [len(k) for k in some]
+            assert (np.concatenate(got, 1) == whole).all()
+
+
+def test_answers_need_little_memory():
+    """A full bucket of keys is sorted part by part: its task takes far less than the bucket's sort would."""
+    rng = np.random.default_rng(4)
+    keys = [np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64)) for _ in range(50)]
+    short, long = ([packed.pack(k, bits) for k in keys] for bits in (16, 48))
+    flags = [np.packbits(np.ones(len(k), bool)).tobytes() for k in keys]
+    ones = [packed._zip(np.ones(len(k), np.uint32)) for k in keys]
+    whole = [k.tobytes() for k in keys]
+    ids = [k.tobytes() + packed._zip(np.arange(len(k))) for k in keys]
+    pairs = [packed._zip(np.concatenate([np.arange(len(k)), k.view(np.int64)])) for k in keys]
+    n = sum(map(len, keys))
+    for answer, asked, extra, most in (
+            (substring_dedup.answer_blocks, short, flags, 36), (substring_dedup.answer_windows, long, ids, 48),
+            (ngram_join.answer_frequency, short, ones, 40), (ngram_join.answer_copies, long, pairs, 52),
+            (suffix_dedup.elsewhere(16), short, flags, 32), (suffix_dedup.answer_covers, short, whole, 38)):
+        tracemalloc.start()
+        answer(asked, extra)
+        peak = tracemalloc.get_traced_memory()[1] / n
+        tracemalloc.stop()
+        print(answer.__name__, round(peak, 1))
+        assert peak < most
+
+
 def test_decontaminate_tolerates_substitutions(spark, docs):
     item = [f"q{k}" for k in range(30)]
     changed = [*item[:8], "zzz", *item[9:21], "yyy", *item[22:]]
