@@ -173,7 +173,6 @@ def test_answers_need_little_memory():
         answer(asked, extra)
         peak = tracemalloc.get_traced_memory()[1] / n
         tracemalloc.stop()
-        print(answer.__name__, round(peak, 1))
         assert peak < most
 
 
