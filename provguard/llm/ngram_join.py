@@ -16,8 +16,10 @@ gathers about its leaders at the cost of one pair for each member.  Then each pi
 all that the filters leave, and is done with under that shingle.  Sets that share a shingle and the one before
 it in both prefixes are left to the one before, so that a passage that many documents share, a run of equal
 shingles in their prefixes, pairs them once and not under each of its shingles.  Rounds go on, with 4 times the pivots of
-the last, until the documents left under every shingle belong to one component.  Members that
-share prefixes but do not link are compared pair by pair in the end, and no link between components is missed.
+the last, until the documents left under every shingle belong to one component; what a shingle is done with is no
+target under it either.  Members that share prefixes but do not link meet their pivots in the end, so those rounds also
+compare parities: two sets differ in at least as many shingles as the 256 parities of their shingles' hashes do, and of
+a group the parities count that its members have in common.  No link between components is missed.
 
 Frequencies come through ``packed``: each chunk sends its distinct shingles once.
 
@@ -41,6 +43,17 @@ from .common import U64, lower_ascii, map_arrow, mix, ngram_hashes, span_hashes,
 from .components import components
 
 
+PARITIES = 256
+
+
+def parities(g: np.ndarray) -> list[int]:
+    """Of the hashes that end in each number below ``PARITIES``, whether there is an odd number: bits of four 64-bit integers.
+
+    A hash that one of two sets holds alone changes one bit, so sets differ in no fewer hashes than bits."""
+    odd = np.bincount((g % U64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 class Chunk:
     """Distinct shingles of a chunk's documents: hashes and the document of each, document by document."""
 
@@ -145,11 +158,11 @@ def answer_frequency(keys, extra):
 
 
 def prefix_sets(docs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -> DataFrame:
-    """One row a document: (doc_id, size, sig1, sig2, lead, prefix, shared).
+    """One row a document: (doc_id, size, sig1, sig2, lead, prefix, shared, odd).
 
     ``lead``: shingles of this set alone, which come first in the order; ``prefix``: the
     others of the prefix, in order; ``shared``: all shingles of more than one set, sorted, 8
-    bytes each.  Only documents that stand for their set and have a prefix carry both."""
+    bytes each; ``odd``: their parities.  Only documents that stand for their set and have a prefix carry these."""
     chunks = P.write_chunks(docs, "chunks", chunk_bytes)
     ranges = P.bucket_count(chunks, 1 / 400)
     buckets = P.bucket_count(chunks, 1 / 6)
@@ -184,7 +197,7 @@ def prefix_sets(docs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -
                 cls = np.zeros(len(c.g), np.uint8)
                 cls[of] = by_key[inv]
                 s1, s2 = c.signatures()
-                prefix, shared, lead = [], [], []
+                prefix, shared, lead, odd = [], [], [], []
                 for i in range(c.rows):
                     a, z, size = int(c.off[i]), int(c.off[i + 1]), int(c.size[i])
                     k, g = cls[a:z], c.g[a:z]
@@ -192,21 +205,22 @@ def prefix_sets(docs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -
                     alone = size - int(many.sum())
                     room = size - -(-size * num // den) + 1 - alone
                     if not use[i] or room <= 0 or alone == size:
-                        prefix.append(None), shared.append(None), lead.append(0)
+                        prefix.append(None), shared.append(None), lead.append(0), odd.append(None)
                         continue
                     g, k = g[many], k[many]
                     prefix.append(g[np.lexsort((g, k))[:room]].astype(np.int64).tolist())
                     shared.append(g.tobytes())
                     lead.append(alone)
+                    odd.append(parities(g))
                 yield pa.RecordBatch.from_arrays(
                     [c.ids.combine_chunks(), pa.array(c.size, pa.int64()), pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)),
-                     pa.array(lead, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())],
-                    names=["doc_id", "size", "sig1", "sig2", "lead", "prefix", "shared"])
+                     pa.array(lead, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary()), pa.array(odd, pa.list_(pa.int64()))],
+                    names=["doc_id", "size", "sig1", "sig2", "lead", "prefix", "shared", "odd"])
 
     copies = write_scratch(P.ask(map_arrow(chunks.select("chunk_id", "body"), emit_copies, P.PACKED), answer_copies), "copies")
     freq = P.ask(map_arrow(P.replies_by(chunks, copies=copies), emit_shingles, P.PACKED), answer_frequency)
     return write_scratch(map_arrow(P.replies_by(chunks, copies=copies, freq=freq), emit_sets,
-                                   "doc_id long, size long, sig1 long, sig2 long, lead long, prefix array<long>, shared binary"), "sets")
+                                   "doc_id long, size long, sig1 long, sig2 long, lead long, prefix array<long>, shared binary, odd array<long>"), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,6 +247,16 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 LEADER_ROUNDS = 2
+ODD = [f"odd{i}" for i in range(PARITIES // 64)]
+SAME = [f"same{i}" for i in range(PARITIES // 64)]
+
+
+def differing() -> Column:
+    """The least number of shingles in which a pivot's set and each set of a group differ.
+
+    Those of one set alone, and the parities apart among those that the group's sets have in common."""
+    apart = [F.bit_count(F.col(f"p_{o}").bitwiseXOR(F.col(o)).bitwiseAND(F.col(s))) for o, s in zip(ODD, SAME)]
+    return sum(apart, F.col("p_lead") + F.col("lead"))
 
 
 def place_of(doc: Column, turn: int = 0) -> Column:
@@ -260,9 +284,15 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
     After each round the new links are contracted to links between labels, so a round's
     work on components follows its own links only."""
     sets = sets.where("prefix is not null and doc_id is not null")
-    members = sets.select("doc_id", "size", "lead", F.xxhash64("size", "lead", "prefix").alias("group"), "prefix")
-    groups = write_scratch(members.dropDuplicates(["group"]).select("group", "size", "lead", "prefix"), "groups")
-    members = write_scratch(members.select("doc_id", "group", place_of(F.col("doc_id")).alias("place")), "members")
+    members = sets.select("doc_id", "size", "lead", F.xxhash64("size", "lead", "prefix").alias("group"), "prefix",
+                          *[F.get("odd", F.lit(i)).alias(c) for i, c in enumerate(ODD)])
+    groups = write_scratch(members.groupBy("group").agg(
+        *[F.first(c).alias(c) for c in ("size", "lead", "prefix")], *[F.bit_and(c).alias(c) for c in ODD],
+        *[F.bitwise_not(F.bit_and(c).bitwiseXOR(F.bit_or(c))).alias(s) for c, s in zip(ODD, SAME)]), "groups")
+    members = write_scratch(members.select("doc_id", "group", place_of(F.col("doc_id")).alias("place"), *ODD), "members")
+    odd_of = members.select(F.col("doc_id").alias("o_doc"), *[F.col(c).alias(f"p_{c}") for c in ODD])
+    odd_in = groups.select(F.col("group").alias("o_group"), "lead", *ODD, *SAME)
+    members = members.drop(*ODD)
     # A shared shingle has ``at`` shared ones before it and at most ``rest`` from it on.
     open_ = groups.select(F.posexplode("prefix").alias("at", "token"), "group", "size", "lead", "prefix")
     open_ = open_.select("token", "group", "size", "at", (F.col("size") - F.col("lead") - F.col("at")).alias("rest"),
@@ -293,13 +323,16 @@ def linked_sets(sets: DataFrame, num: int, den: int, pivots: int = 4) -> DataFra
         pivot = F.col("doc_id") == F.col("leader.doc_id") if leading else left & (F.col("place") * F.col("n") < upto)
         chosen = under.where(pivot).select("token", F.col("doc_id").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in light[1:]])
         # Probe: groups under the same shingle that hold another component, by sizes and places.
-        target = under.groupBy(F.col("token").alias("t"), *light[1:]).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        # Documents done with have met all others there.
+        target = under.where(left).groupBy(F.col("token").alias("t"), *light[1:]).agg(F.min("label").alias("low"), F.max("label").alias("high"))
         need = F.ceil((F.col("p_size") + F.col("size")) * num / (num + den))
         may = ((F.col("token") == F.col("t")) & ((F.col("low") != F.col("p_label")) | (F.col("high") != F.col("p_label")))
                & (F.col("p_size") * den >= F.col("size") * num) & (F.col("size") * den >= F.col("p_size") * num)
                & (F.least("p_at", "at") + F.least("p_rest", "rest") >= need))
         if not leading:  # sets that share the shingle before this one too meet there
-            may = may & F.coalesce(F.col("p_prev") != F.col("prev"), F.lit(True))
+            may = may & F.coalesce(F.col("p_prev") != F.col("prev"), F.lit(True)) & (differing() <= F.col("p_size") + F.col("size") - 2 * need)
+            chosen = chosen.join(odd_of, F.col("p") == F.col("o_doc")).withColumn("p_lead", F.col("p_size") - F.col("p_rest") - F.col("p_at"))
+            target = target.join(odd_in, F.col("group") == F.col("o_group"))
         hits = chosen.join(target, may).groupBy("p", "p_group", "p_label", "group").agg(F.count(F.lit(1)).alias("shared"))
         if leading:  # each group with one leader only: the one of most of its shingles
             best = F.max(F.struct("shared", place_of(F.col("p"), turn), "p", "p_group", "p_label")).alias("best")

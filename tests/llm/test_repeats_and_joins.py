@@ -124,6 +124,60 @@ def test_ngram_join_passage_in_every_prefix(spark):
         assert got == {(i, len(x), label[i]) for i, x in sets.items()}
 
 
+def test_ngram_join_unlinked_members_leave_few_rows(spark, monkeypatch):
+    """Members of a family that share all prefixes but do not link leave no row for each pair of them."""
+    import random
+    rng = random.Random(8)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(120):
+        w = list(base)
+        at = [7 * x + 3 for x in rng.sample(range(20), 4)]
+        if k % 2:  # linked with the base: one word is another
+            w[at[0]] = f"x{k}"
+        else:  # four words are others, two of them as in some other documents
+            for j, i in enumerate(at):
+                w[i] = f"y{k}_{j}" if j < 2 else f"z{i}_{k % 8}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, f"{rows[0][1]} {' '.join(base[k:])}") for k in range(4)]
+    made, near_groups = [], ngram_join.near_groups
+
+    def counted(hits, *args):
+        made.append(hits.count())
+        return near_groups(hits, *args)
+
+    monkeypatch.setattr(ngram_join, "near_groups", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, 5, 80, 100, SMALL).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+    assert len({i for _, _, i in got}) > 40
+    assert sum(made) < 10 * len(rows), made
+
+
+def test_parities_never_exceed_the_difference(spark):
+    """Parities count no more than two sets differ in; a group's count no more than any of its sets differs in."""
+    rng = np.random.default_rng(3)
+    of = lambda x: np.array(ngram_join.parities(np.array(sorted(x), np.uint64))).view(np.uint64)
+    bits = lambda x: int(np.bitwise_count(x).sum())
+    for size in (0, 1, 30, 400):
+        base = set(rng.integers(0, 1 << 64, size, dtype=np.uint64).tolist())
+        sets = []
+        for edits in (0, 1, 5, 40):
+            kept = set(rng.permutation(sorted(base)).tolist()[edits:])
+            sets.append(kept | set(rng.integers(0, 1 << 64, edits, dtype=np.uint64).tolist()))
+        for x in sets:
+            assert all(bits(of(x) ^ of(y)) <= len(x ^ y) for y in sets)
+    assert bits(of({1, 2, 3}) ^ of({2, 3, 4, 5})) == 3 and bits(of({7, 7 + ngram_join.PARITIES})) == 0
+    group = [{1, 2, 3, 4}, {1, 2, 3, 9}, {1, 2, 3, 70}]
+    both = np.bitwise_and.reduce([of(x) for x in group])
+    same = ~(both ^ np.bitwise_or.reduce([of(x) for x in group]))
+    pivot, lead, group_lead = {3, 5, 200}, 2, 1
+    cols = {f"p_odd{i}": int(v) for i, v in enumerate(of(pivot).view(np.int64))} | {f"odd{i}": int(v) for i, v in enumerate(both.view(np.int64))}
+    cols |= {f"same{i}": int(v) for i, v in enumerate(same.view(np.int64))} | {"p_lead": lead, "lead": group_lead}
+    got = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{c} long" for c in cols)).select(ngram_join.differing().alias("d")).first().d
+    assert got == lead + group_lead + 4  # 1, 2, 5 and 200 differ from all; 4, 9 and 70 are not in common
+    assert all(got - lead - group_lead <= len(pivot ^ x) for x in group)
+
+
 def test_sets_apart_by_both_signatures():
     """Two sets that meet in the first 64-bit sum alone both stay."""
     u = lambda *x: np.array(x, np.uint64)
